@@ -95,5 +95,20 @@ def _radix_round(rows: DataFrame, part: str, key: str, weight: str, state: DataF
     )
 
 
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose doc_id is in `ids` (doc_id; null counts); one row for each id.
+
+    Texts move only for ids that several rows share, which a light count finds first.
+    """
+    kept = checkpoint(ids.select(F.col("doc_id").alias("__id")).distinct())
+    shared = checkpoint(docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    held = docs.join(sized(kept), same, "left_semi")
+    if shared.isEmpty():
+        return held
+    once = held.join(sized(shared), same, "left_semi").dropDuplicates(["doc_id"])
+    return held.join(sized(shared), same, "left_anti").unionByName(once)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
