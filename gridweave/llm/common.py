@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,12 +18,31 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = "file://" + tempfile.mkdtemp(prefix="gridweave-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/gridweave-{spark.sparkContext.applicationId}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder, named by spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridweave-checkpoint-"))
-    return df.checkpoint()
+    """Cut the lineage: write a table in the shared folder and read it again.
+
+    Unlike a checkpointed plan, whose estimated size is that of all joins it came from, a table has the size of its
+    files; in loops the estimates would otherwise multiply.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete what `checkpoint` has written in this application; frames that still read it must be done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
