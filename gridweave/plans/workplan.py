@@ -83,26 +83,35 @@ def _rows(source: str) -> str:
     return f"__rows_{source}"
 
 
+def _from(parent: str) -> str:
+    """Column of the parent's row that a row comes from."""
+    return f"__from_{parent}"
+
+
 def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, str]]:
     """Product of the parents' states; columns and sources that they share must agree, or reading raises."""
     state, columns = None, {}
     for parent in dict.fromkeys(step.after):
-        mine, own = plan.states[parent].withColumnRenamed("row", "__row"), plan.columns[parent]
+        own = plan.columns[parent]
+        drawn = [c for c in plan.states[parent].columns if c.startswith("__rows_")]
+        mine = plan.states[parent].select(F.col("row").alias("__row"), F.col("row").alias(_from(parent)), *own, *drawn)
         if state is None:
             state, columns = mine, dict(own)
             continue
         size = mine.agg(F.count(F.lit(1)).alias("__n"))
         renamed = mine.select(*(F.col(c).alias(f"__r_{c}") for c in mine.columns))
         joined = state.crossJoin(renamed).crossJoin(F.broadcast(size))  # a product by definition
-        for c in set(state.columns) & set(mine.columns) - {"__row"}:
-            same = F.size(F.array_intersect(c, f"__r_{c}")) > 0 if c.startswith("__rows_") else F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-            if not c.startswith("__rows_"):
-                same = F.when(same, True).otherwise(F.raise_error(F.lit(f"E500: parents of {step.name} differ in {c}")).cast("boolean"))
-            joined = joined.where(same)
-        merged = [
-            F.array_intersect(c, f"__r_{c}").alias(c) if c.startswith("__rows_") and c in mine.columns else F.col(c)
-            for c in state.columns if c != "__row"
-        ]
+        shared = [c for c in state.columns if c in mine.columns and c != "__row"]
+        agree, compatible = F.lit(True), F.lit(True)
+        for c in shared:
+            if c.startswith("__rows_"):
+                compatible = compatible & (F.size(F.array_intersect(c, f"__r_{c}")) > 0)
+            else:
+                agree = agree & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        # One condition, so that no part of it can hide a difference.
+        failed = F.raise_error(F.lit(f"E500: parents of {step.name} differ in what they share")).cast("boolean")
+        joined = joined.where(F.when(agree, compatible).otherwise(failed))
+        merged = [F.array_intersect(c, f"__r_{c}").alias(c) if c in shared and c.startswith("__rows_") else F.col(c) for c in state.columns if c != "__row"]
         extra = [F.col(f"__r_{c}").alias(c) for c in mine.columns if c != "__row" and c not in state.columns]
         state = joined.select((F.col("__row") * F.col("__n") + F.col("__r___row")).alias("__row"), *merged, *extra)
         columns |= own
@@ -182,17 +191,12 @@ def limited(plan: Plan, step: str, n: int) -> DataFrame:
 
 
 def limited_parents(plan: Plan, step: str, n: int) -> dict[str, DataFrame]:
-    """For each ancestor of a limited step, its rows that the kept rows come from; row numbers keep their gaps.
-
-    Rows are matched by the values and source rows that the child inherited.
-    """
-    kept = {step: limited(plan, step, n)}
-    for name in reversed([x for x in plan.order if x in ancestors(plan, [step])]):
-        for parent in plan.steps[name].after:
-            own = list(plan.columns[parent])
-            match = kept[name].select(*own).distinct()
-            same = [plan.states[parent][c].eqNullSafe(match[c]) for c in own]
-            needed = plan.states[parent].join(match, same, "left_semi")
+    """For a limited step and each of its ancestors, the rows that the kept rows come from; numbers keep their gaps."""
+    kept, chosen = {step: limited(plan, step, n)}, ancestors(plan, [step])
+    for name in reversed([x for x in plan.order if x in chosen]):
+        for parent in dict.fromkeys(plan.steps[name].after):
+            used = kept[name].select(F.col(_from(parent)).alias("row")).distinct()
+            needed = plan.states[parent].join(used, "row", "left_semi")
             kept[parent] = kept[parent].union(needed).dropDuplicates(["row"]) if parent in kept else needed
     return kept
 
