@@ -5,7 +5,7 @@ picks those closest to "every document once" in entropy, sum(r * ln r - r). They
 r = min(3, exp(lambda * size / mean size)), one multiplier per source. The convex dual is solved by Newton steps, kept
 inside a bracket; each step sums over all documents, pre-aggregated to (source, size, count). Rates become copies by
 sequential Poisson rounding: whole parts are taken, and documents in the order of hash / fraction get one copy more
-until the words left to take run out; two documents of fitting size then close the gap per source.
+until the words left to take run out; a few documents of fitting size then close the gap per source.
 
 Defined cases: null texts have size 0; documents of size 0 are taken once, for no words; a null source is a source of
 its own, the last in order; sources without words get the target 0; rows that repeat a doc_id and size share one
@@ -23,7 +23,7 @@ from .common import BROADCAST_ROWS, checkpoint, radix_cut, sized, word_count
 WEIGHTS = (5, 2, 1)
 MOST = 3
 STEPS, PRECISE = 60, 1e-9
-FILLERS = 2
+FILLERS = 4
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
