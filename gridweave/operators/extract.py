@@ -48,16 +48,16 @@ def extract(df: DataFrame, patterns: Mapping[str, str | tuple[str, str]], keep:
     return zipped.select(*kept, "match_ix", *(F.col(f"__row.{c}").alias(n) for c, n in zip(flat, names, strict=True)))
 
 
-def extract_weak(work: DataFrame, patterns: Mapping[str, str], key: str, keep: Sequence[str] = (), text: str = "text", status: str = "status") -> DataFrame:
-    """As `extract`, with `jbs_status` first: unfinished work gives one row in which all but the key is missing.
+def extract_weak(work: DataFrame, patterns: Mapping[str, str], key: str, keep: Sequence[str] = (), text: str = "text", status: str = "status", title: str = "run_status") -> DataFrame:
+    """As `extract`, with the status as column `title`: unfinished work gives one row in which all but the key is missing.
 
     Finished work without matches gives no row.
     """
-    if "jbs_status" in keep:
-        raise GridError("E413", "the column jbs_status is taken")
+    if title in keep or title in patterns:
+        raise GridError("E413", f"the column {title} is taken")
     finished = F.coalesce(F.col(status) == FINISHED, F.lit(False))
-    rows = extract(work.where(finished), patterns, [key, *keep], text).withColumn("jbs_status", F.lit(FINISHED))
-    open_work = work.where(~finished).select(F.col(key), F.lit(0).alias("match_ix"), F.col(status).alias("jbs_status"))
+    rows = extract(work.where(finished), patterns, [key, *keep], text).withColumn(title, F.lit(FINISHED))
+    open_work = work.where(~finished).select(F.col(key), F.lit(0).alias("match_ix"), F.col(status).alias(title))
     return rows.unionByName(open_work, allowMissingColumns=True)
 
 

@@ -281,7 +281,7 @@ def extract_values_only(s: SparkSession, d: str) -> DataFrame:
 @query(r"""
 WITH w AS (SELECT *, CASE WHEN page_id % 4 = 1 THEN 'ERROR' ELSE 'FINISHED' END AS status FROM pages),
 f AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<title>([A-Za-z]+)', 1)) AS title FROM w WHERE status = 'FINISHED')
-SELECT page_id, url, title, 'FINISHED' AS jbs_status FROM f UNION ALL SELECT page_id, NULL, NULL, status FROM w WHERE status <> 'FINISHED'
+SELECT page_id, url, title, 'FINISHED' AS run_status FROM f UNION ALL SELECT page_id, NULL, NULL, status FROM w WHERE status <> 'FINISHED'
 """)
 def extract_weak_mode(s: SparkSession, d: str) -> DataFrame:
     work = _t(s, d, "pages").withColumn("status", F.when(F.col("page_id") % 4 == 1, "ERROR").otherwise("FINISHED"))

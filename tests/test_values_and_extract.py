@@ -86,7 +86,7 @@ def test_extraction_cases(spark):
 
 def test_weak_and_strict_modes(spark):
     df = work(spark, "v=1", "v=2", "none").withColumn("status", F.when(F.col("run_id") == "000001", "ERROR").otherwise("FINISHED")).withColumn("p", F.lit(9))
-    got = [(r.run_id, r.v, r.p, r.jbs_status) for r in extract_weak(df, {"v": "v=%d"}, "run_id", ["p"]).orderBy("run_id").collect()]
+    got = [(r.run_id, r.v, r.p, r.run_status) for r in extract_weak(df, {"v": "v=%d"}, "run_id", ["p"]).orderBy("run_id").collect()]
     assert got == [("000000", 1, 9, "FINISHED"), ("000001", None, None, "ERROR")]
     with pytest.raises(Exception, match="unfinished work"):
         extract_strict(df, {"v": "v=%d"}, "run_id").collect()
