@@ -202,7 +202,8 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     prints = checkpoint(rows.select("fp").distinct())
     roots = components(close_pairs(prints, distance, bucket))
     placed = rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # As a table of its own, so that the join can split a root that many rows share.
+    least = checkpoint(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return placed.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -130,6 +130,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, broadcast_rows: int
         windows = whole_windows(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "alive"), window)
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     firsts = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last").select("h1", "h2", "first")
+    firsts = checkpoint(firsts)  # as a table of its own, so that the join can split a window that many documents share
     later = windows.join(firsts, ["h1", "h2"]).filter(order > F.col("first"))
     found = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
     # Neighbouring starts become runs: most documents have a few.

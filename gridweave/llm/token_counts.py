@@ -1,9 +1,9 @@
 """Token counts of a unigram tokenizer by dynamic programming over a trie of pre-tokens.
 
 A text's pre-tokens are its words, each behind the mark U+2581. A word's best segmentation maximises the sum of its
-pieces' scores; the score of a prefix depends on that prefix alone, so the pre-tokens of a task are inserted into one
-trie and each node's best score and token count are computed once, however many pre-tokens share it. A terminal
-keeps its count for all later occurrences. When the trie reaches its bound it is begun anew, which changes no result.
+pieces' scores; the score of a prefix depends on that prefix alone, so the distinct pre-tokens of a group of documents
+form a trie and each node's best score and token count are computed once, however many pre-tokens share it. A terminal
+keeps its count for later groups of the task; beyond a bound they are computed anew, which changes no result.
 
 The vocabulary is a public one; its order stands in for frequencies: log p falls with the log of a piece's rank. A
 character that no piece covers costs its UTF-8 bytes, each one token. Of equal scores the fewer tokens count.
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Nodes that a task's trie may hold.
-NODES = 300_000
+#: Words whose documents are segmented together, and terminals that a task keeps.
+GROUP_WORDS, HELD = 500_000, 500_000
 BYTE_SCORE = -16.0
 
 
@@ -37,58 +37,69 @@ def piece_scores(path: str = VOCABULARY) -> dict[str, float]:
     return {p: -math.log(rank + 2) - 2.0 for rank, p in enumerate(pieces)}
 
 
-class Trie:
-    """Nodes hold their children, best score and token count."""
-
-    def __init__(self, scores: dict[str, float], nodes: int = NODES) -> None:
-        self.scores, self.longest, self.bound = scores, max(map(len, scores), default=1), nodes
-        self.clear()
-
-    def clear(self) -> None:
-        self.root: tuple[dict, float, int] = ({}, 0.0, 0)
-        self.size, self.ends = 0, {}
-
-    def count(self, token: str) -> int:
-        """Tokens of the best segmentation."""
-        known = self.ends.get(token)
-        if known is not None:
-            return known
-        if self.size > self.bound:
-            self.clear()
-        node, scores, longest = self.root, self.scores, self.longest
-        path = [node]  # the node of each prefix
-        for i, char in enumerate(token, 1):
-            child = node[0].get(char)
-            if child is None:
-                before, size = path[i - 1], len(char.encode("utf-8", "surrogatepass"))
-                best, tokens = before[1] + BYTE_SCORE * size, before[2] + size
-                for j in range(max(0, i - longest), i):
-                    score = scores.get(token[j:i])
-                    if score is not None:
-                        start = path[j]
-                        total = start[1] + score
-                        if total > best or (total == best and start[2] + 1 < tokens):
-                            best, tokens = total, start[2] + 1
-                child = node[0][char] = ({}, best, tokens)
-                self.size += 1
-            path.append(child)
-            node = child
-        self.ends[token] = node[2]
-        return node[2]
-
-
-def token_counts(docs: DataFrame, scores: dict[str, float] | None = None, nodes: int = NODES) -> DataFrame:
+def endings(scores: dict[str, float]) -> dict[str, list[int]]:
+    """By last character, the lengths of the pieces that end in it."""
+    lengths: dict[str, set[int]] = {}
+    for piece in scores:
+        lengths.setdefault(piece[-1], set()).add(len(piece))
+    return {char: sorted(found) for char, found in lengths.items()}
+
+
+def trie_counts(tokens: list[str], scores: dict[str, float], ends_in: dict[str, list[int]]) -> dict[str, int]:
+    """Tokens of the best segmentation of each of the sorted, distinct pre-tokens.
+
+    In sorted order the pre-tokens are the terminals of a depth-first walk over their trie: `best` and `count` hold the
+    nodes from the root to the present one, and a step goes back to the longest prefix shared with the last terminal.
+    """
+    best, count, out, last = [0.0], [0], {}, ""
+    get = scores.get
+    for token in tokens:
+        shared, most = 0, min(len(last), len(token))
+        while shared < most and last[shared] == token[shared]:
+            shared += 1
+        del best[shared + 1 :], count[shared + 1 :]
+        for i in range(shared + 1, len(token) + 1):
+            char = token[i - 1]
+            size = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
+            top, n = best[i - 1] + BYTE_SCORE * size, count[i - 1] + size
+            for length in ends_in.get(char, ()):
+                if length > i:
+                    break
+                score = get(token[i - length : i])
+                if score is not None:
+                    total = best[i - length] + score
+                    if total > top or (total == top and count[i - length] + 1 < n):
+                        top, n = total, count[i - length] + 1
+            best.append(top)
+            count.append(n)
+        out[token] = count[-1]
+        last = token
+    return out
+
+
+def token_counts(docs: DataFrame, scores: dict[str, float] | None = None, held: int = HELD) -> DataFrame:
     """Per row: doc_id, n_pretokens, n_tokens. The vocabulary, of fixed size, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(piece_scores() if scores is None else scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value, nodes)
+        scores, ends = shared.value, {}
+        ends_in = endings(scores)
         for batch in batches:
-            n_words, n_tokens = [], []
-            for text in batch.column(1):
-                found = Counter((text.as_py() or "").split())
-                n_words.append(found.total())
-                n_tokens.append(sum(n * trie.count(MARK + word) for word, n in found.items()))
+            n_words, n_tokens, found, size = [], [], [], 0
+            for k, text in enumerate(batch.column(1), 1):
+                words = (text.as_py() or "").split()
+                found.append(Counter(words))
+                n_words.append(len(words))
+                size += len(words)
+                if size < GROUP_WORDS and k < batch.num_rows:
+                    continue
+                if len(ends) > held:
+                    ends.clear()
+                fresh = set().union(*found).difference(ends)
+                counted = trie_counts(sorted(MARK + w for w in fresh), scores, ends_in)
+                ends.update((token[1:], n) for token, n in counted.items())
+                n_tokens += (sum(n * ends[w] for w, n in x.items()) for x in found)
+                found, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import keep_ids
 from .labelled import fold, scramble, training_rows, words
 
-BITS = 20
+BITS = 18
 #: Bound of the sample of labelled rows, its shards, and passes over it.
 SAMPLE, SHARDS, ROUNDS = 9_000, 3, 6
 FOLDS, HELD_OUT = 3, 1
@@ -93,17 +93,17 @@ def train(sample: DataFrame) -> np.ndarray:
     z, n = np.zeros(size), np.zeros(size)
     dealt = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)).cast("int"))
     for step in range(ROUNDS):
-        start = spark.sparkContext.broadcast((z, n))  # of fixed size
+        start = spark.sparkContext.broadcast((z.astype("f4"), n.astype("f4")))  # of fixed size
 
         def run(rows: pd.DataFrame, *, start=start, step=step) -> pd.DataFrame:
-            z, n = (x.copy() for x in start.value)
+            z, n = (x.astype("f8") for x in start.value)
             rows = rows.sort_values("doc_id").sample(frac=1, random_state=step)
             ftrl([(*sparse(t), y) for t, y in zip(rows["text"], rows["y"], strict=True)], z, n)
             return pd.DataFrame({"z": [z.astype("f4").tobytes()], "n": [n.astype("f4").tobytes()]})
 
         # A shard is a third of the bounded sample; a state has fixed size.
         states = dealt.groupBy("shard").applyInPandas(run, "z binary, n binary").collect()
-        start.unpersist()
+        start.destroy()
         if states:
             z, n = (np.mean([np.frombuffer(s[c], "f4").astype("f8") for s in states], axis=0) for c in ("z", "n"))
     return weights_of(z, n)
