@@ -45,9 +45,17 @@ def clear_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, already checkpointed, with a broadcast hint if its counted rows stay within the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether `df`, already checkpointed, has few enough rows to be broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+    """`df`, already checkpointed, with a broadcast hint if its counted rows stay within the bound.
+
+    `small` is the answer of `within`, where a loop has counted as many rows before.
+    """
+    return F.broadcast(df) if (within(df, rows) if small is None else small) else df
 
 
 def sized_text(df: DataFrame, text: str, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -82,13 +90,14 @@ def radix_cut(rows: DataFrame, part: str, key: str, weight: str, targets: DataFr
         F.col(part).alias("__part"), F.col(target).cast("double").alias("__target"),
         F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__below"),
     )
+    small = within(targets)
     for shift in range(KEY_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
-        state = checkpoint(_radix_round(rows, part, key, weight, state, shift))
+        state = checkpoint(_radix_round(rows, part, key, weight, state, shift, small))
     return state.select(F.col("__part").alias(part), F.col("__prefix").alias("cut"), F.col("__below").alias("below"))
 
 
-def _radix_round(rows: DataFrame, part: str, key: str, weight: str, state: DataFrame, shift: int) -> DataFrame:
-    prefixes = sized(state.select(F.col("__part").alias("__p"), F.col("__prefix").alias("__in")))
+def _radix_round(rows: DataFrame, part: str, key: str, weight: str, state: DataFrame, shift: int, small: bool) -> DataFrame:
+    prefixes = sized(state.select(F.col("__part").alias("__p"), F.col("__prefix").alias("__in")), small=small)
     inside = F.col(part).eqNullSafe(F.col("__p")) & (F.shiftright(F.col(key), shift + DIGIT_BITS) == F.col("__in"))
     digits = (
         rows.join(prefixes, inside)

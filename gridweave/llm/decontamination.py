@@ -56,12 +56,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def _literals(windows: DataFrame, name: str, set_bits: int) -> tuple[int, dict[int, str]]:
     """A mask, and by window length the values of `name` under that mask, as SQL: 2**set_bits values at most."""
     mask = -1
-    values = windows.select("len", name).distinct().limit((1 << set_bits) + 1)
-    if values.count() > 1 << set_bits:  # as many residues as there can be, still a bounded literal
+    values = windows.select("len", name).distinct().limit((1 << set_bits) + 1).collect()
+    if len(values) > 1 << set_bits:  # as many residues as there can be, still a bounded literal
         mask = (1 << set_bits) - 1
-        values = windows.select("len", F.col(name).bitwiseAND(mask).alias(name)).distinct()
+        values = windows.select("len", F.col(name).bitwiseAND(mask).alias(name)).distinct().collect()
     sets: dict[int, list[str]] = {}
-    for n, h in values.collect():
+    for n, h in values:
         sets.setdefault(n, []).append(f"{h}L" if h > -(1 << 63) else "CAST(-9223372036854775808 AS BIGINT)")
     return mask, {n: ", ".join(sorted(has)) for n, has in sets.items()}
 

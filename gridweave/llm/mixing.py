@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, radix_cut, sized, word_count
+from .common import checkpoint, radix_cut, sized, within, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 STEPS, PRECISE = 60, 1e-9
+#: Newton steps between two looks at whether all sources have arrived; those that have stay as they are.
+LOOK = 4
 FILLERS = 4
 
 
@@ -65,15 +67,16 @@ def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         (F.col("mean").isNull() | (ratio >= MOST * (1 - PRECISE))).alias("done"),
     )
     state = checkpoint(state)
-    for _ in range(STEPS):
-        state = checkpoint(_newton(sizes, state))
-        if state.filter("NOT done").isEmpty():
+    small = within(state)
+    for step in range(1, STEPS + 1):
+        state = checkpoint(_newton(sizes, state, small))
+        if step % LOOK == 0 and state.filter("NOT done").isEmpty():
             break
     return state.select("source", "source_size", "target", "mean", "lam")
 
 
-def _newton(sizes: DataFrame, state: DataFrame) -> DataFrame:
-    here = sized(state.select(F.col("source").alias("__s"), "mean", "lam").filter("NOT done"))
+def _newton(sizes: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    here = sized(state.filter("NOT done").select(F.col("source").alias("__s"), "mean", "lam"), small=small)
     rate, x = _rate(F.col("lam"), F.col("size"), F.col("mean")), F.col("size") / F.col("mean")
     words = F.col("size") * F.col("n")
     sums = (
@@ -103,10 +106,10 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__size", word_count("text"))
 
 
-def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, plan: DataFrame, small: bool | None = None) -> DataFrame:
     """`rows` (doc_id, source, __size) with their source's plan, whole copies and place in the order of rounding."""
     named = plan.withColumnRenamed("source", "__s")
-    joined = rows.join(sized(named), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    joined = rows.join(sized(named, small=small), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     rate = F.when(F.col("mean").isNull() | (F.col("__size") == 0), 1.0).otherwise(_rate(F.col("lam"), F.col("__size"), F.col("mean")))
     whole = F.floor(rate + 1e-9)
     joined = joined.withColumn("__whole", whole).withColumn("__part", F.greatest(rate - whole, F.lit(0.0)))
@@ -121,8 +124,8 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     sources = rows.groupBy("source").agg(F.sum("__size").alias("source_size"))
     targets = checkpoint(source_targets(sources, weights))
     sizes = checkpoint(rows.groupBy("source", F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n")))
-    plan = balance(sizes, targets)
-    placed = _placed(rows, plan)
+    plan, small = balance(sizes, targets), within(targets)
+    placed = _placed(rows, plan, small)
     whole = placed.groupBy("source").agg(F.sum(F.col("__whole") * F.col("__size")).alias("whole")).withColumnRenamed("source", "__s")
     left = checkpoint(targets.join(whole, F.col("source").eqNullSafe(F.col("__s")), "left").select("source", (F.col("target") - F.coalesce("whole", F.lit(0))).alias("left")))
     cuts = radix_cut(placed.filter("__part > 1e-9 AND __size > 0"), "source", "__place", "__size", left, "left").withColumnRenamed("source", "__c")
@@ -130,7 +133,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     plan = plan.join(left.withColumnRenamed("source", "__l"), F.col("source").eqNullSafe(F.col("__l"))).drop("__l")
     plan = checkpoint(plan.withColumn("gap", F.col("left") - F.col("below")).withColumn("fillers", F.expr("CAST(array() AS array<struct<doc_id: string, size: bigint>>)")))
     for _ in range(FILLERS):
-        plan = checkpoint(_fill(rows, plan))
+        plan = checkpoint(_fill(rows, plan, small))
     return plan.select("source", "source_size", "target", "mean", "lam", "cut", "fillers")
 
 
@@ -139,9 +142,9 @@ def _copies() -> Column:
     return (F.col("__whole") + F.when((F.col("__place") < F.col("cut")) & (F.col("__part") > 1e-9), 1).otherwise(0) + F.when(F.coalesce(filler, F.lit(False)), 1).otherwise(0)).cast("long")
 
 
-def _fill(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def _fill(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     """Add to each source the largest document that still fits into its gap and isn't taken MOST times."""
-    fits = _placed(rows, plan).withColumn("__copies", _copies()).filter(f"__size > 0 AND __size <= gap AND __copies < {MOST}")
+    fits = _placed(rows, plan, small).withColumn("__copies", _copies()).filter(f"__size > 0 AND __size <= gap AND __copies < {MOST}")
     already = F.exists("fillers", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id").cast("string")))
     best = fits.filter(~already).groupBy("source").agg(F.max(F.struct("__size", _draw().alias("draw"), F.col("doc_id").cast("string").alias("doc_id"))).alias("best"))
     best = best.withColumnRenamed("source", "__s")
