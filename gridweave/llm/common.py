@@ -124,19 +124,36 @@ def _radix_round(rows: DataFrame, part: str, key: str, weight: str, state: DataF
     )
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id is in `ids` (doc_id; null counts); one row for each id.
+#: What tells rows that share a doc_id apart: hash and bytes of the text, -1 for null.
+TEXT_KEY = ("__hash", "__bytes")
+
+
+def with_text_key(df: DataFrame) -> DataFrame:
+    """`df` with the columns of TEXT_KEY for its text."""
+    found = F.xxhash64("text"), F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long")
+    return df.select("*", *(c.alias(name) for c, name in zip(found, TEXT_KEY, strict=True)))
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Join `docs`, given their text key, with `rows` on doc_id (null counts) and text key; `rows` go to the right."""
+    names = ["doc_id", *TEXT_KEY]
+    right = rows.select(*(F.col(c).alias(f"__of_{c}") for c in names), *(c for c in rows.columns if c not in names))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in names))
+    return docs.join(sized(checkpoint(right)), same, how)
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose doc_id and text key are in `rows`; one of those that share both.
 
     Texts move only for ids that several rows share, which a light count finds first.
     """
-    kept = checkpoint(ids.select(F.col("doc_id").alias("__id")).distinct())
+    held = join_rows(with_text_key(docs), rows.select("doc_id", *TEXT_KEY).distinct(), "left_semi")
     shared = checkpoint(docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    held = docs.join(sized(kept), same, "left_semi")
     if shared.isEmpty():
-        return held
-    once = held.join(sized(shared), same, "left_semi").dropDuplicates(["doc_id"])
-    return held.join(sized(shared), same, "left_anti").unionByName(once)
+        return held.drop(*TEXT_KEY)
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = held.join(sized(shared), same, "left_semi").dropDuplicates(["doc_id", *TEXT_KEY])
+    return held.join(sized(shared), same, "left_anti").unionByName(once).drop(*TEXT_KEY)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, sized, sized_text
+from .common import TEXT_KEY, checkpoint, join_rows, sized_text, with_text_key
 
 WINDOW = 13
 #: The set holds whole hashes up to this many windows, and their lowest bits beyond; it never has more entries.
@@ -77,33 +77,37 @@ def _hit_array(windows: DataFrame, set_bits: int) -> F.Column:
     return F.expr(f"concat({', '.join(found)})" if found else "CAST(array() AS array<struct<pos: int, len: int, win: string>>)")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_bits: int = SET_BITS) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, spans hit as array of (pos, end), item_ids, n_hit, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_bits: int = SET_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of `docs`: doc_id, the columns `carry`, n_words, spans hit as array of (pos, end), item_ids, n_hit, contaminated."""
+    fields = ["doc_id", *carry]
     windows = checkpoint(benchmark_windows(benchmark, window))
-    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words().alias("w"))
-    scanned = cut.select("*", F.expr(HASHED).alias("v")).select("doc_id", "row", F.size("w").cast("long").alias("n_words"), _hit_array(windows, set_bits).alias("hits"))
+    cut = docs.select(*fields, F.monotonically_increasing_id().alias("row"), words().alias("w"))
+    scanned = cut.select("*", F.expr(HASHED).alias("v")).select(*fields, "row", F.size("w").cast("long").alias("n_words"), _hit_array(windows, set_bits).alias("hits"))
     by_window = windows.groupBy("win", F.col("len").alias("win_len")).agg(F.collect_set("item_id").alias("items"))
     # The words themselves are compared here, so a hash that agrees by chance drops out.
-    candidates = scanned.select("doc_id", "row", "n_words", F.explode_outer("hits").alias("hit"))
+    candidates = scanned.select(*fields, "row", "n_words", F.explode_outer("hits").alias("hit"))
     verified = candidates.join(sized_text(checkpoint(by_window), "win"), (F.col("hit.win") == F.col("win")) & (F.col("hit.len") == F.col("win_len")), "left")
     hit = F.when(F.col("items").isNotNull(), F.struct(F.col("hit.pos").alias("pos"), (F.col("hit.pos") + F.col("hit.len")).alias("end")))
-    grouped = verified.groupBy("row", "doc_id", "n_words").agg(F.collect_set(hit).alias("spans"), F.collect_set("items").alias("items"))
+    grouped = verified.groupBy("row", *fields, "n_words").agg(F.collect_set(hit).alias("spans"), F.collect_set("items").alias("items"))
     covered = "aggregate(sort_array(spans), named_struct('to', 0, 'n', 0L), (a, s) -> named_struct('to', greatest(a.to, s.end), 'n', a.n + greatest(0, s.end - greatest(a.to, s.pos))), a -> a.n)"
     return grouped.select(
-        "doc_id", "n_words", F.sort_array("spans").alias("spans"),
+        *fields, "n_words", F.sort_array("spans").alias("spans"),
         F.sort_array(F.array_distinct(F.flatten("items"))).alias("item_ids"), F.expr(covered).alias("n_hit"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that the report doesn't call contaminated, all columns."""
-    bad = checkpoint(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(sized(bad, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of `docs` that the report doesn't call contaminated, all columns; rows that share a doc_id are told apart by text."""
+    docs = with_text_key(docs)
+    bad = contamination(docs, benchmark, carry=TEXT_KEY).filter("contaminated").select("doc_id", *TEXT_KEY).distinct()
+    return join_rows(docs, bad, "left_anti").drop(*TEXT_KEY)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text): the normalised words of each document without those that a benchmark window covers."""
-    spans = contamination(docs, benchmark).filter("n_hit > 0").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    cut = docs.select("doc_id", "text", words().alias("w")).join(spans.withColumnRenamed("doc_id", "__hit"), F.col("doc_id").eqNullSafe(F.col("__hit")), "left")
+    docs = with_text_key(docs)
+    # Rows alike in id and text have the same spans.
+    spans = contamination(docs, benchmark, carry=TEXT_KEY).filter("n_hit > 0").groupBy("doc_id", *TEXT_KEY).agg(F.first("spans").alias("spans"))
+    cut = join_rows(docs.select("doc_id", *TEXT_KEY, "text", words().alias("w")), spans, "left")
     left = F.expr("array_join(filter(w, (x, i) -> NOT exists(spans, s -> i + 1 >= s.pos AND i + 1 < s.end)), ' ')")
     return cut.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left).alias("text"))

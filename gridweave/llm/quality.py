@@ -13,14 +13,14 @@ that repeat a doc_id score by their own text; other columns, and labels outside
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids
 from .labelled import fold, training_rows, words
 
 #: Bound of the labelled sample, latent dimensions, and voters.
@@ -115,22 +115,30 @@ def vote(cosines: np.ndarray, y: np.ndarray, neighbours: int = NEIGHBOURS) -> np
     return np.divide((weight * y[near]).sum(axis=1), total, out=np.full(len(total), y.mean(), "f8"), where=total > 1e-12)
 
 
+def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Callable[[list[str | None]], np.ndarray]:
+    """The function from texts to scores, for use in tasks."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "quality", FOLDS, HELD_OUT, sample)))
+
+    def score(texts: list[str | None]) -> np.ndarray:
+        weight, project, held, y = model.value
+        if not len(y):
+            return np.full(len(texts), 0.5)
+        out = [np.empty(0)]
+        for a in range(0, len(texts), BLOCK):
+            counts = np.array([terms(x) for x in texts[a : a + BLOCK]])
+            out.append(vote(unit(_latent(counts, weight, project)) @ held.T, y))
+        return np.clip(np.concatenate(out).astype("f8"), 0, 1)
+
+    return score
+
+
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score (likelihood of the label 1), predicted (1 from THRESHOLD on)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "quality", FOLDS, HELD_OUT, sample)))
+    score = scorer(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, project, held, y = model.value
         for batch in batches:
-            out = []
-            for a in range(0, batch.num_rows, BLOCK):
-                if not len(y):
-                    out.append(np.full(min(BLOCK, batch.num_rows - a), 0.5))
-                    continue
-                counts = np.array([terms(x.as_py()) for x in batch.column(1)[a : a + BLOCK]])
-                out.append(vote(unit(_latent(counts, weight, project)) @ held.T, y))
-            score = np.clip(np.concatenate(out).astype("f8"), 0, 1) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score([x.as_py() for x in batch.column(1)]))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -138,5 +146,11 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` predicted good, all columns; of rows that repeat an id, one."""
-    return keep_ids(docs, quality(docs, labels).filter("predicted = 1"))
+    """The rows of `docs` whose own text is predicted good, all columns; doc_ids play no part in it."""
+    score = scorer(docs, labels)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(score(list(texts)))
+
+    return docs.filter(F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.coalesce("text", F.lit(""))) >= THRESHOLD)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep_ids
+from .common import TEXT_KEY, checkpoint, keep_rows, with_text_key
 from .components import components
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
@@ -58,16 +58,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(bits.tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row of `docs`."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns `carry`, fp long) for every row of `docs`."""
+    fields = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("text")], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(found, pa.int64())], [*fields, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in fields)
+    return docs.select(*fields, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -196,17 +197,24 @@ def close_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKE
     return paired.unionByName(sought.join(prints.withColumnRenamed("fp", "b"), "b", "left_semi").select("a", "b"))
 
 
-def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """Per document: doc_id, fingerprint (hex), component_id (least doc_id of its component)."""
-    rows = checkpoint(fingerprints(docs, shingle))
+def _placed(docs: DataFrame, distance: int, shingle: int, bucket: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns `carry`, fp, root of its component) for every row of `docs`."""
+    rows = checkpoint(fingerprints(docs, shingle, carry))
     prints = checkpoint(rows.select("fp").distinct())
     roots = components(close_pairs(prints, distance, bucket))
-    placed = rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    return rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", *carry, "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """Per document: doc_id, fingerprint (hex), component_id (least doc_id of its component)."""
+    placed = _placed(docs, distance, shingle, bucket)
     # As a table of its own, so that the join can split a root that many rows share.
     least = checkpoint(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return placed.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Of each component the rows with its least doc_id, all columns; of rows that repeat it, one."""
-    return keep_ids(docs, near_groups(docs).select(F.col("component_id").alias("doc_id")))
+    """Of each component one row, all columns: that of its least doc_id (null last) and then of the least text hash."""
+    placed = _placed(with_text_key(docs), DISTANCE, SHINGLE, BUCKET, TEXT_KEY)
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *TEXT_KEY)).alias("best"))
+    return keep_rows(docs, best.select("best.doc_id", *(f"best.{c}" for c in TEXT_KEY)))

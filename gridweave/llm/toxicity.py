@@ -13,15 +13,14 @@ columns other than doc_id and text, and labels outside the training folds, are n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_ids
 from .labelled import fold, scramble, training_rows, words
 
 BITS = 18
@@ -109,25 +108,39 @@ def train(sample: DataFrame) -> np.ndarray:
     return weights_of(z, n)
 
 
-def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, score) of every row."""
+def scorer(spark: SparkSession, weights: np.ndarray) -> Callable[[], Callable[[Iterable[str | None]], np.ndarray]]:
+    """To be called once a task: the function from texts to scores."""
     at = np.flatnonzero(weights)
-    compact = docs.sparkSession.sparkContext.broadcast((at.astype("i4"), weights[at].astype("f4")))
+    compact = spark.sparkContext.broadcast((at.astype("i4"), weights[at].astype("f4")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[Iterable[str | None]], np.ndarray]:
         where, values = compact.value
         w = np.zeros((1 << BITS) + 1, "f4")
         w[where] = values
-        for batch in batches:
+
+        def score(texts: Iterable[str | None]) -> np.ndarray:
             out = []
-            for text in batch.column(1):
+            for text in texts:
                 total, n_words = 0.0, 0
-                for k, ids in enumerate(feature_ids((text.as_py() or "").lower().encode())):
+                for k, ids in enumerate(feature_ids((text or "").lower().encode())):
                     total += KINDS[k % len(KINDS)] * float(w[ids].sum(dtype="f8"))
                     n_words += len(ids) if k % len(KINDS) == 0 else 0
                 out.append(float(w[-1]) + total * SCALE / (n_words + SMOOTH))
-            score = 1 / (1 + np.exp(-np.clip(np.array(out, "f8"), -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            return 1 / (1 + np.exp(-np.clip(np.array(out, "f8"), -35, 35)))
+
+        return score
+
+    return start
+
+
+def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, score) of every row."""
+    start = scorer(docs.sparkSession, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(x.as_py() for x in batch.column(1)))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -140,6 +153,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id has no text predicted toxic, all columns; of rows that repeat an id, one."""
-    judged = toxicity(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("toxic"))
-    return keep_ids(docs, judged.filter("toxic = 0"))
+    """The rows of `docs` whose own text isn't predicted toxic, all columns; doc_ids play no part in it."""
+    start = scorer(docs.sparkSession, train(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE)))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = start()
+        for texts in batches:
+            yield pd.Series(score(texts))
+
+    return docs.filter(F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.coalesce("text", F.lit(""))) < THRESHOLD)

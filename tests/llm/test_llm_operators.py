@@ -391,3 +391,51 @@ def test_repeated_rows_and_null_ids(spark):
     assert sharding.assign(docs).count() == 5
     bench = spark.createDataFrame([(1, "text here")], "item_id long, text string")
     assert sorted(r.n_hit for r in decontamination.contamination(docs, bench).collect()) == [0, 0, 2, 2, 2]
+
+
+def shared_ids(docs):
+    """The documents twice over, first under null alone and then under one id for every three."""
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit("null"))
+    return nulls.unionByName(docs.withColumn("doc_id", F.expr("doc_id DIV 3")).withColumn("source", F.lit("third")))
+
+
+@pytest.mark.parametrize(("judge", "drop", "label", "keeps"), [(toxicity.toxicity, toxicity.drop_toxic, "toxic", 0), (quality.quality, quality.keep_good, "quality", 1)])
+def test_classifiers_drop_row_by_row(spark, judge, drop, label, keeps):
+    docs, labels = labelled(spark, 120)
+    mixed = docs.unionByName(shared_ids(docs).withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    rows = judge(mixed, labels)
+    text_of = {r.doc_id: r.text for r in docs.collect()}
+    kept_texts = {text_of[r.doc_id] for r in rows.filter("doc_id < 1000000").collect() if r.predicted == keeps}
+    assert 0 < len(kept_texts) < len(text_of)
+    expected = Counter((r.doc_id, r.text, r.source) for r in mixed.collect() if r.text in kept_texts)
+    kept = drop(mixed, labels)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text, r.source) for r in kept.collect()) == expected
+
+
+def test_near_duplicates_keep_one_row_a_component(spark, texts):
+    docs = shared_ids(documents(spark, texts))
+    prints = {t: brute_fingerprint(t) for t in texts}
+    order = list(prints)
+    component = dict(zip(order, (c for _, c in sorted(brute_components([prints[t] for t in order], list(range(len(order)))).items())), strict=True))
+    least = {}
+    for i, t in enumerate(texts):
+        least[component[t]] = min(least.get(component[t], i // 3), i // 3)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((component[r.text], r.doc_id) for r in kept.collect()) == sorted(least.items())
+    nulls = docs.filter("doc_id IS NULL")
+    assert sorted(component[r.text] for r in simhash.drop_near_duplicates(nulls).collect()) == sorted(least)
+
+
+def test_decontamination_drops_row_by_row(spark, texts):
+    items = [(1, texts[0]), (2, texts[3]), (15, texts[-3])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    judged = brute_contamination(texts, items, 13)
+    docs = shared_ids(documents(spark, texts))
+    expected = Counter((i, t) for k, t in enumerate(texts) for i in (None, k // 3) if not judged[k][3])
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == expected
+    left = Counter((r.doc_id, len(r.text.split())) for r in decontamination.remove_spans(docs, bench).collect() if r.text and r.text.strip())
+    assert left == Counter((i, n) for k, t in enumerate(texts) for i in (None, k // 3) if (n := judged[k][0] - judged[k][1] if judged[k][1] else len((t or "").split())))
