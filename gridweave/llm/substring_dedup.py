@@ -7,13 +7,15 @@ the length: those windows' 128-bit hashes are grouped, and the first document of
 or earlier if no candidates survive. Last, each document removes the words under windows that start in an earlier one.
 
 Defined cases: null texts have no words; texts shorter than a window lose nothing; a window that repeats within one
-document only is kept; rows that share a doc_id are one document for this purpose (none is smaller than the other);
-a null doc_id comes after all others; an empty table gives an empty result; only doc_id and text are read.
+document only is kept; no row is smaller than another of the same doc_id, but each loses only words of its own text;
+rows without a doc_id come after all others, by the hash of their text, so only equal texts among them are kept side by
+side; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,37 +70,65 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+#: Hash of the text; it tells rows apart that share a doc_id or have none.
+KEY = "__text"
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(text, doc_id), and KEY unless a light count finds that the doc_id alone tells all rows apart."""
+    unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return docs.select("text", "doc_id", *([] if unique else [F.xxhash64("text").alias(KEY)]))
+
+
+def _named(docs: DataFrame) -> list[str]:
+    return ["doc_id", KEY] if KEY in docs.columns else ["doc_id"]
+
+
+def _kinds(docs: DataFrame) -> str:
+    return ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in _named(docs))
+
+
+def _joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`docs` with the other columns of `rows`, by the columns that tell rows apart."""
+    names = _named(docs)
+    right = rows.select(*(F.col(c).alias(f"__of_{c}") for c in names), *(c for c in rows.columns if c not in names))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in names))
+    return docs.join(_small(right) if "first" in rows.columns else right, same, "left").drop(*(f"__of_{c}" for c in names))
+
+
 def half_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor long, doc_id): the anchors of each document, each once."""
+    """(anchor long, doc_id, KEY if `docs` has it): the anchors of each document, each once."""
+    names = _named(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column("text")):
                 words = _words(text.as_py())
                 if len(words) >= window:
                     found.append(np.unique(anchors(_word_hashes(words)[:, 0], window)))
                     ids.append(np.full(len(found[-1]), i))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("i8")), batch.column(0).take(pa.array(np.concatenate(ids)))], ["anchor", "doc_id"])
+                at = pa.array(np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("i8")), *(batch.column(c).take(at) for c in names)], ["anchor", *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, doc_id {kind}")
+    return docs.select("text", *names).mapInArrow(run, f"anchor long, {_kinds(docs)}")
 
 
 def whole_windows(docs: DataFrame, window: int, alive: object = None) -> DataFrame:
-    """(h1, h2, doc_id, at): windows whose anchor is alive, by the broadcast sorted array or the column `alive`."""
+    """(h1, h2, at, doc_id, KEY if `docs` has it): windows whose anchor is alive, by the broadcast sorted array or the column `alive`."""
+    names = _named(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column("text")):
                 words = _words(text.as_py())
                 if len(words) < window:
                     continue
                 if alive is not None:
                     held = alive.value
-                elif (mine := batch.column(2)[i].as_py()) is None:
+                elif (mine := batch.column("alive")[i].as_py()) is None:
                     continue
                 else:
                     held = np.sort(np.array(mine, "i8").view("u8"))
@@ -111,32 +141,39 @@ def whole_windows(docs: DataFrame, window: int, alive: object = None) -> DataFra
                     out.append((*pair, np.full(len(at), i), at))
             if out:
                 h1, h2, ids, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view("i8")), pa.array(h2.view("i8")), batch.column(0).take(pa.array(ids)), pa.array(at, pa.int32())], ["h1", "h2", "doc_id", "at"])
+                named = [batch.column(c).take(pa.array(ids)) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view("i8")), pa.array(h2.view("i8")), pa.array(at, pa.int32()), *named], ["h1", "h2", "at", *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, at int")
+    return docs.mapInArrow(run, f"h1 long, h2 long, at int, {_kinds(docs)}")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, first, last: array<int>): runs of windows, by start word, that also start in a document of smaller doc_id."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, KEY if `docs` has it, first, last: array<int>): runs of windows, by start word, that also start in a document before.
+
+    `docs` come from `told_apart`.
+    """
+    names = _named(docs)
     level = half_windows(docs, window)
     survivors = checkpoint(level.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     if survivors.limit(broadcast_rows + 1).count() <= broadcast_rows:
         held = np.sort(np.array(survivors.toPandas()["anchor"], "i8").view("u8"))
         windows = whole_windows(docs, window, docs.sparkSession.sparkContext.broadcast(held))
     else:
-        mine = level.join(survivors, "anchor", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("anchor").alias("alive"))
-        windows = whole_windows(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "alive"), window)
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    firsts = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last").select("h1", "h2", "first")
+        mine = level.join(survivors, "anchor", "left_semi").groupBy(*names).agg(F.collect_list("anchor").alias("alive"))
+        windows = whole_windows(_joined(docs, mine), window)
+    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("open")]
+    repeats, after = "(first < last OR first IS NOT NULL AND open)", "(doc_id > first OR doc_id IS NULL AND first IS NOT NULL)"
+    if KEY in names:  # rows without a doc_id, among themselves
+        ends += [F.min(F.when(F.col("doc_id").isNull(), F.col(KEY))).alias("least"), F.max(F.when(F.col("doc_id").isNull(), F.col(KEY))).alias("most")]
+        repeats, after = f"{repeats} OR first IS NULL AND least < most", f"{after} OR doc_id IS NULL AND first IS NULL AND {KEY} > least"
+    firsts = windows.groupBy("h1", "h2").agg(*ends).filter(repeats).drop("last", "open", "most")
     firsts = checkpoint(firsts)  # as a table of its own, so that the join can split a window that many documents share
-    later = windows.join(firsts, ["h1", "h2"]).filter(order > F.col("first"))
-    found = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    later = windows.join(firsts, ["h1", "h2"]).filter(after)
+    found = later.groupBy(*names).agg(F.sort_array(F.collect_set("at")).alias("at"))
     # Neighbouring starts become runs: most documents have a few.
     lows = F.expr("filter(at, (x, i) -> i = 0 OR at[greatest(i - 1, 0)] <> x - 1)")
     highs = F.expr("filter(at, (x, i) -> i = size(at) - 1 OR at[least(i + 1, size(at) - 1)] <> x + 1)")
-    return found.select("doc_id", lows.alias("first"), highs.alias("last"))
+    return found.select(*names, lows.alias("first"), highs.alias("last"))
 
 
 def covered(n: int, first: list[int], last: list[int], window: int) -> np.ndarray:
@@ -152,11 +189,10 @@ def covered(n: int, first: list[int], last: list[int], window: int) -> np.ndarra
 def remove_repeats(docs: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the kept words, joined by one space.
 
-    Texts shorter than a window can't lose words, and rows that share a doc_id but not a text keep starts that lie
-    beyond their end out.
+    Texts shorter than a window can't lose words; rows that share a doc_id lose what repeats in their own text.
     """
-    runs = checkpoint(repeated_windows(docs, window, broadcast_rows).withColumnRenamed("doc_id", "__id"))
-    marked = docs.select("doc_id", "text").join(_small(runs), F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "first", "last")
+    docs = told_apart(docs)
+    marked = _joined(docs, checkpoint(repeated_windows(docs, window, broadcast_rows))).select("doc_id", "text", "first", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

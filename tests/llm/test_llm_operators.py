@@ -439,3 +439,23 @@ def test_decontamination_drops_row_by_row(spark, texts):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == expected
     left = Counter((r.doc_id, len(r.text.split())) for r in decontamination.remove_spans(docs, bench).collect() if r.text and r.text.strip())
     assert left == Counter((i, n) for k, t in enumerate(texts) for i in (None, k // 3) if (n := judged[k][0] - judged[k][1] if judged[k][1] else len((t or "").split())))
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_repeats_under_shared_ids_cut_only_their_own_text(spark, broadcast_rows):
+    draw = random.Random(12)
+    make = lambda n: [f"v{draw.randrange(10**6)}" for _ in range(n)]
+    passage, other = make(8), make(8)
+    early, among = make(5) + passage + make(5), make(40)
+    twin = make(30)
+    unknown = [make(12) + other + make(k) for k in (3, 4)]
+    late = make(3) + passage + make(30)
+    rows = [(1, early), (2, among), (2, late), (3, twin), (3, twin), (None, make(2) + passage + make(9)), (None, make(40)), *((None, t) for t in unknown)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(docs, 8, broadcast_rows).collect())
+    without = lambda w, gone: " ".join(x for x in w if x not in gone)
+    sure = Counter((i, len(w), 8 * (i != 1 and passage[0] in w), without(w, passage if i != 1 else ())) for i, w in rows[:7])
+    a, b = unknown
+    one = Counter([(None, len(a), 0, " ".join(a)), (None, len(b), 8, without(b, other))])
+    two = Counter([(None, len(b), 0, " ".join(b)), (None, len(a), 8, without(a, other))])
+    assert got in (sure + one, sure + two)
