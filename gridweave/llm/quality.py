@@ -1,8 +1,10 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are trigrams of character classes over the whole text and counts of words, of words that repeat their
-predecessor or the one before it, and of distinct words. Weighted by log-entropy and reduced by a truncated SVD of the
-labelled sample, each document becomes a short unit vector. The labelled vectors are broadcast (a bounded sample);
+Terms are the words of the text, lower-cased and hashed into 2**BITS coordinates, and, as further terms, its form:
+trigrams of character classes and counts of words, of words that repeat their predecessor or the one before it, and of
+distinct words. Both kinds carry log-entropy weights, the logarithm of a term's count times one less its normalised
+entropy over the labelled sample, and each kind has unit length. By a truncated SVD of the centred term-document matrix
+of that sample, each document becomes a short unit vector. The labelled vectors are broadcast (a bounded sample);
 every document's cosines with all of them are exact products, block by block, and its nearest neighbours vote with
 their similarity.
 
@@ -43,28 +45,47 @@ def _class(c: int) -> int:
 
 CLASSES = np.array([_class(c) for c in range(256)], "i2")
 BLANK = np.array([c in b"\t\n\x0b\x0c\r " for c in range(256)])
+BREAKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 EXTRA = 4
-TERMS = KINDS**3 + EXTRA
+#: Words have 2**BITS coordinates; the SVD iterates so often on so many spare dimensions.
+BITS, STEPS, SPARE = 14, 8, 8
+TERMS = (1 << BITS) + KINDS**3 + EXTRA
 
 
-def terms(text: str | None) -> np.ndarray:
-    """Counts of all terms of a text."""
-    data = (text or "").encode()
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates, ascending, and counts of the terms in a text: hashed words below 2**BITS, form from there on."""
+    whole = text or ""
+    data = whole.encode()
     kinds = CLASSES[np.frombuffer(data, "u1")]
-    counts = np.zeros(TERMS)
+    form = np.zeros(KINDS**3 + EXTRA)
     if len(kinds) > 2:
-        counts[: KINDS**3] = np.bincount((kinds[:-2] * KINDS + kinds[1:-1]) * KINDS + kinds[2:], minlength=KINDS**3)
+        form[: KINDS**3] = np.bincount((kinds[:-2] * KINDS + kinds[1:-1]) * KINDS + kinds[2:], minlength=KINDS**3)
     h = words(data, BLANK)[2]
-    counts[KINDS**3 :] = len(h), (h[1:] == h[:-1]).sum(), (h[2:] == h[:-2]).sum(), len(np.unique(h))
-    return counts
+    form[KINDS**3 :] = len(h), (h[1:] == h[:-1]).sum(), (h[2:] == h[:-2]).sum(), len(np.unique(h))
+    at, counts = np.unique((words(whole.lower().encode(), BREAKS)[2] >> np.uint64(64 - BITS)).astype("i4"), return_counts=True)
+    used = np.flatnonzero(form).astype("i4")
+    return np.r_[at, used + (1 << BITS)].astype("i4"), np.r_[counts, form[used]].astype("f4")
 
 
-def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Rows of shares, dampened and weighted by term; trigrams and word counts are shares of their own totals."""
-    tri, extra = counts[:, : KINDS**3], counts[:, KINDS**3 :]
-    tri = tri / np.maximum(tri.sum(axis=1, keepdims=True), 1)
-    extra = np.c_[extra[:, :1] > 0, extra[:, 1:] / np.maximum(extra[:, :1], 1)]
-    return np.sqrt(np.c_[tri, extra]) * weight
+def entropy_weights(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Per term 1 + sum(p log p) / log(n), p being its share in each of the n rows; 0 for terms that none has."""
+    total, log = np.zeros(TERMS), np.zeros(TERMS)
+    for at, counts in rows:
+        total[at] += counts
+    for at, counts in rows:
+        p = counts / total[at]
+        log[at] += p * np.log(p)
+    return np.where(total > 0, np.clip(1 + log / np.log(max(len(rows), 2)), 0, 1), 0).astype("f4")
+
+
+def weighted(row: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """Values at a row's coordinates; its words and its form each have unit length."""
+    at, counts = row
+    values = np.log1p(counts) * weight[at]
+    split = np.searchsorted(at, 1 << BITS)
+    for part in (values[:split], values[split:]):
+        part /= max(np.linalg.norm(part), 1e-12)
+    return values
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -75,35 +96,55 @@ def unit(rows: np.ndarray) -> np.ndarray:
 def _counted(rows: DataFrame, fields: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(x.as_py()).astype("f4").tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(found, pa.binary())], [*fields, "terms"])
+            found = [terms(x.as_py()) for x in batch.column("text")]
+            packed = [pa.array([part[k].tobytes() for part in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), *packed], [*fields, "at", "counts"])
 
     kinds = ", ".join(f"{f} {rows.schema[f].dataType.simpleString()}" for f in fields)
-    return rows.select(*fields, "text").mapInArrow(run, f"{kinds}, terms binary")
+    return rows.select(*fields, "text").mapInArrow(run, f"{kinds}, at binary, counts binary")
+
+
+def truncated_svd(blocks: Callable[[], Iterator[np.ndarray]], centre: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors of the centred rows, by subspace iteration; `blocks` gives the rows anew each time."""
+    basis = np.random.default_rng(0).normal(size=(len(centre), rank + SPARE)).astype("f4")
+    for _ in range(STEPS):
+        basis, _ = np.linalg.qr(basis)
+        basis = sum(((m := block - centre).T @ (m @ basis) for block in blocks()), np.zeros_like(basis))
+    basis, _ = np.linalg.qr(basis)
+    inner = sum(((m := (block - centre) @ basis).T @ m for block in blocks()), np.zeros((rank + SPARE,) * 2, "f4"))
+    return basis @ np.linalg.eigh(inner)[1][:, ::-1][:, :rank]
 
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term weights, projection, labelled unit vectors and labels, from (doc_id, text, y).
 
-    The sample's term counts, a few KB a row, are gathered; its bound is a parameter.
+    The sample's distinct terms, a few KB a row, are gathered; its bound is a parameter.
     """
-    rows = sorted(_counted(sample, ["doc_id", "y"]).collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in rows], "f4")
-    counts = np.array([np.frombuffer(r["terms"], "f4") for r in rows], "f8").reshape(len(rows), TERMS)
-    plain = weighted(counts, np.ones(TERMS))
-    spread = plain.std(axis=0) if len(rows) else np.zeros(TERMS)
-    weight = np.divide(1.0, np.sqrt(spread), out=np.zeros(TERMS), where=spread > 1e-9)
-    matrix = plain * weight
-    centre = matrix.mean(axis=0) if len(rows) else np.zeros(TERMS)
-    _, vectors = np.linalg.eigh((matrix - centre).T @ (matrix - centre))
-    basis = vectors[:, ::-1][:, :RANK].astype("f4")
-    project = np.r_[basis, -(centre @ basis)[None, :].astype("f4")]
-    return weight, project, unit(_latent(counts, weight, project)), y
+    found = sorted(_counted(sample, ["doc_id", "y"]).collect(), key=lambda r: r["doc_id"])
+    y = np.array([r["y"] for r in found], "f4")
+    rows = [(np.frombuffer(r["at"], "i4"), np.frombuffer(r["counts"], "f4")) for r in found]
+    weight = entropy_weights(rows)
+    values = [weighted(r, weight) for r in rows]
+
+    def blocks() -> Iterator[np.ndarray]:
+        for a in range(0, len(rows), BLOCK):
+            block = np.zeros((min(BLOCK, len(rows) - a), TERMS), "f4")
+            for k, ((at, _), v) in enumerate(zip(rows[a : a + BLOCK], values[a : a + BLOCK], strict=True)):
+                block[k, at] = v
+            yield block
+
+    centre = (sum((b.sum(axis=0) for b in blocks()), np.zeros(TERMS)) / max(len(rows), 1)).astype("f4")
+    basis = truncated_svd(blocks, centre, RANK).astype("f4") if rows else np.zeros((TERMS, RANK), "f4")
+    project = np.r_[basis, -(centre @ basis)[None, :]]
+    return weight, project, unit(_latent(rows, weight, project)), y
 
 
-def _latent(counts: np.ndarray, weight: np.ndarray, project: np.ndarray) -> np.ndarray:
-    some = counts.any(axis=1, keepdims=True)
-    return (weighted(counts, weight).astype("f4") @ project[:-1] + project[-1]) * some
+def _latent(rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, project: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), project.shape[1]), "f4")
+    for k, row in enumerate(rows):
+        if len(row[0]):
+            out[k] = weighted(row, weight) @ project[row[0]] + project[-1]
+    return out
 
 
 def vote(cosines: np.ndarray, y: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -125,8 +166,8 @@ def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Callable
             return np.full(len(texts), 0.5)
         out = [np.empty(0)]
         for a in range(0, len(texts), BLOCK):
-            counts = np.array([terms(x) for x in texts[a : a + BLOCK]])
-            out.append(vote(unit(_latent(counts, weight, project)) @ held.T, y))
+            rows = [terms(x) for x in texts[a : a + BLOCK]]
+            out.append(vote(unit(_latent(rows, weight, project)) @ held.T, y))
         return np.clip(np.concatenate(out).astype("f8"), 0, 1)
 
     return score

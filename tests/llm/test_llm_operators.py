@@ -459,3 +459,21 @@ def test_repeats_under_shared_ids_cut_only_their_own_text(spark, broadcast_rows)
     one = Counter([(None, len(a), 0, " ".join(a)), (None, len(b), 8, without(b, other))])
     two = Counter([(None, len(b), 0, " ".join(b)), (None, len(a), 8, without(a, other))])
     assert got in (sure + one, sure + two)
+
+
+def test_quality_tells_prose_of_equal_form_by_its_words(spark):
+    draw = random.Random(13)
+    letters = "abcdefghij"
+    vocabulary = [["".join(draw.choice(letters) for _ in range(6)) for _ in range(80)] for _ in range(2)]
+    rows = [(i, i % 2, " ".join(draw.choice(vocabulary[i % 2]) for _ in range(60)) + ".") for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, quality int")
+    held = [r for r in quality.quality(docs, labels).collect() if r.held_out]
+    assert len(held) > 40
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+
+
+def test_quality_weights_are_log_entropy():
+    rows = [(np.array(at, "i4"), np.array(n, "f4")) for at, n in (([0, 1], [2, 1]), ([0, 2], [2, 1]), ([0, 2], [2, 3]), ([0], [2]))]
+    got = quality.entropy_weights(rows)
+    assert got[:4] == pytest.approx([0, 1, 1 + (0.25 * np.log(0.25) + 0.75 * np.log(0.75)) / np.log(4), 0], abs=1e-6)
