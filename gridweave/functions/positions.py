@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 POS = "__pos"
 #: Rows that one task ranks.
 BLOCK = 1 << 20
-BOUNDS = 512
+#: Rows that a block of sorted rows is to hold, and the most blocks; each has about 16 rows of the sample that cuts them.
+BLOCK_ROWS, BLOCKS, SAMPLED = 1 << 16, 4096, 16
 
 
 def _offsets(blocks: DataFrame) -> DataFrame:
@@ -19,7 +20,8 @@ def _offsets(blocks: DataFrame) -> DataFrame:
 
 def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1
-    joined = df.withColumn("__inside", inside).join(_offsets(df), "__block")
+    # Every block has its row; a left join spares the filter on null blocks that an inner one infers.
+    joined = df.withColumn("__inside", inside).join(_offsets(df), "__block", "left")
     return joined.withColumn(POS, (F.col("__before") + F.col("__inside")).cast("long")).drop("__block", "__before", "__inside")
 
 
@@ -28,16 +30,26 @@ def densify(df: DataFrame, block: int = BLOCK) -> DataFrame:
     return _ranked(df.withColumn("__block", F.floor(F.col(POS) / block)), [F.col(POS)])
 
 
-def position_by(df: DataFrame, keys: list[Column], bounds: int = BOUNDS) -> DataFrame:
+def position_by(df: DataFrame, keys: list[Column], rows: int = BLOCK_ROWS) -> DataFrame:
     """Number rows 0..n-1 in the order of `keys`, ties by the position they have.
 
-    Blocks are cut at keys of a sample, the old position included, so equal keys don't share a block; the sample only
-    decides how even the blocks are, never the order.
+    Blocks of about `rows` rows are cut at keys of a sample, the old position included, so equal keys don't share a
+    block; a row finds its block by bisection in a literal of at most BLOCKS cuts. The sample only decides how even the
+    blocks are, never the order.
     """
-    n = df.count()
     key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.col(POS).alias("at"))
-    picked = df.where(F.pmod(F.xxhash64(POS), F.lit(max(1, n // bounds))) == 0).limit(4 * bounds)
-    cuts = picked.agg(F.sort_array(F.collect_list(key)).alias("__cuts"))
-    keyed = df.withColumn("__key", key).crossJoin(F.broadcast(cuts))  # one row of at most 4 * bounds keys
-    block = F.size(F.expr("filter(__cuts, c -> c <= __key)")).cast("long")
-    return _ranked(keyed.withColumn("__block", block).drop("__cuts"), [F.col("__key")]).drop("__key")
+    keyed, n, blocks, cuts = df.select(key.alias("k")), df.count(), 1, []
+    while blocks < BLOCKS and n > blocks * rows:
+        blocks *= 2
+    if blocks > 1:
+        picked = keyed.where(F.pmod(F.xxhash64("k.at"), F.lit(max(1, n // (blocks * SAMPLED)))) == 0)
+        cuts = picked.agg(F.sort_array(F.collect_list("k")).alias("k")).first()["k"][SAMPLED - 1 :: SAMPLED]
+    if not cuts:
+        return _ranked(df.withColumn("__block", F.lit(0).cast("long")), [*keys, F.col(POS)])
+    kinds = keyed.schema["k"].dataType.fields
+    literals = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kinds, strict=True))) for c in cuts))
+    step = 1 << len(cuts).bit_length() >> 1
+    steps = [F.lit(step >> i) for i in range(step.bit_length())]
+    # The number of cuts up to the key; past the end of the cuts get() is null, and so is the comparison.
+    upto = F.aggregate(F.array(*steps), F.lit(0), lambda n, s: F.when(F.get(literals, n + s - 1) <= key, n + s).otherwise(n))
+    return _ranked(df.withColumn("__block", upto.cast("long")), [*keys, F.col(POS)])
