@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import decontamination, mixing, sharding, simhash, toxicity
-from gridweave.llm.common import checkpoint, table
+from gridweave.llm.common import checkpoint, passing_tables, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        with passing_tables(spark):  # what a stage writes for itself goes with it
+            docs = checkpoint(stage(spark, docs, sf_dir), lasting=True)
     return docs

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most so many rows of a few longs (tens of MB) may be broadcast; beyond it the join shuffles.
@@ -19,30 +22,56 @@ WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only in local mode, where driver and tasks are one process, is a folder of our own set where that is unset; a
+    cluster without it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridweave-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/gridweave-{spark.sparkContext.applicationId}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it again.
+#: Subfolders of the blocks of `passing_tables` that are open.
+_OPEN: list[str] = []
+
+
+def checkpoint(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder and read it again; `lasting` ones outlive `passing_tables`.
 
     Unlike a checkpointed plan, whose estimated size is that of all joins it came from, a table has the size of its
     files; in loops the estimates would otherwise multiply.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(df.sparkSession), *([] if lasting else _OPEN), uuid.uuid4().hex])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `checkpoint` writes within the block are deleted at its end; write what is to last before."""
+    _OPEN.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        folder = "/".join([shared_folder(spark), *_OPEN])
+        _OPEN.pop()
+        _delete(spark, folder)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete what `checkpoint` has written in this application; frames that still read it must be done."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
 
 
 def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -76,51 +105,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 KEY_BITS, DIGIT_BITS = 48, 12
+#: Digit of a sum that nothing crosses.
+BEYOND = 1 << 62
+
+
+def crossing(sums: Column, target: Column) -> Column:
+    """(digit, below) of `sums`, an array of (digit, w) in order: the first digit up to which more than `target` adds up.
+
+    `below` is the weight before it; without such a digit, BEYOND and all the weight.
+    """
+
+    def step(state: Column, x: Column) -> Column:
+        crosses = (state["digit"] == BEYOND) & (state["below"] + x["w"] > target)
+        digit = F.when(crosses, x["digit"]).otherwise(state["digit"])
+        return F.struct(digit.alias("digit"), (state["below"] + F.when(digit == BEYOND, x["w"]).otherwise(0)).alias("below"))
 
+    return F.aggregate(sums, F.struct(F.lit(BEYOND).alias("digit"), F.lit(0).cast("long").alias("below")), step)
 
-def radix_cut(rows: DataFrame, part: str, key: str, weight: str, targets: DataFrame, target: str) -> DataFrame:
+
+def radix_cut(rows: DataFrame, part: str, key: str, weight: str, targets: DataFrame, target: str, bits: int = KEY_BITS, small: bool | None = None) -> DataFrame:
     """Per part, the largest `cut` such that the weights of the keys below it add up to `target` at most.
 
-    Keys are longs in [0, 2**48). Four rounds of 12 bits each sum the weights by (part, digit), so a hot part is
-    pre-aggregated where its rows lie, and no task sees more than 4096 sums of a part. Returns (part, cut, below),
-    `below` being the weight under the cut; a key that straddles the target stays above. Parts without rows get the
-    cut 2**48 (nothing stays above it).
+    Keys are longs in [0, 2**bits). Every round of 12 bits sums the weights by (part, digit), so a hot part is
+    pre-aggregated where its rows lie, and no part has more than 4096 sums. Returns (part, cut, below), `below` being
+    the weight under the cut; a key that straddles the target stays above. Parts without rows, and those whose keys all
+    stay below, get the cut 2**bits.
     """
     state = targets.select(
         F.col(part).alias("__part"), F.col(target).cast("double").alias("__target"),
         F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__below"),
     )
-    small = within(targets)
-    for shift in range(KEY_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
-        state = checkpoint(_radix_round(rows, part, key, weight, state, shift, small))
+    small = within(targets) if small is None else small
+    for shift in range(bits - DIGIT_BITS, -1, -DIGIT_BITS):
+        state = checkpoint(_radix_round(rows, part, key, weight, state, shift, shift + DIGIT_BITS == bits, small))
     return state.select(F.col("__part").alias(part), F.col("__prefix").alias("cut"), F.col("__below").alias("below"))
 
 
-def _radix_round(rows: DataFrame, part: str, key: str, weight: str, state: DataFrame, shift: int, small: bool) -> DataFrame:
-    prefixes = sized(state.select(F.col("__part").alias("__p"), F.col("__prefix").alias("__in")), small=small)
+def _radix_round(rows: DataFrame, part: str, key: str, weight: str, state: DataFrame, shift: int, first: bool, small: bool) -> DataFrame:
+    prefixes = sized(state.select(F.col("__part").alias("__p"), F.col("__prefix").alias("__in"), (F.col("__target") - F.col("__below")).alias("__left")), small=small)
     inside = F.col(part).eqNullSafe(F.col("__p")) & (F.shiftright(F.col(key), shift + DIGIT_BITS) == F.col("__in"))
     digits = (
         rows.join(prefixes, inside)
-        .groupBy(F.col("__p"), F.shiftright(F.col(key), shift).alias("__digit"))
-        .agg(F.sum(F.col(weight).cast("long")).alias("__w"))
-    )
-    upto = Window.partitionBy("__p").orderBy("__digit").rowsBetween(Window.unboundedPreceding, 0)
-    summed = digits.withColumn("__upto", F.sum("__w").over(upto))
-    left = state.select("__part", (F.col("__target") - F.col("__below")).alias("__left"))
-    step = (
-        summed.join(left, F.col("__p").eqNullSafe(F.col("__part")))
-        .groupBy("__p")
-        .agg(
-            F.min(F.when(F.col("__upto") > F.col("__left"), F.col("__digit"))).alias("__next"),
-            F.max(F.when(F.col("__upto") <= F.col("__left"), F.col("__upto"))).alias("__more"),
-        )
+        .groupBy("__p", "__left", F.shiftright(F.col(key), shift).alias("digit"))
+        .agg(F.sum(F.col(weight).cast("long")).alias("w"))
     )
+    sums = digits.groupBy("__p", "__left").agg(F.sort_array(F.collect_list(F.struct("digit", "w"))).alias("sums"))
+    step = sums.select("__p", crossing(F.col("sums"), F.col("__left")).alias("at"))
     # Without a crossing, which only the first round can meet, the cut lies beyond every key.
-    beyond = F.lit(1 << DIGIT_BITS) if shift == KEY_BITS - DIGIT_BITS else F.shiftleft(F.col("__prefix"), DIGIT_BITS)
-    return state.join(step, F.col("__p").eqNullSafe(F.col("__part")), "left").select(
+    beyond = F.shiftleft(F.col("__prefix") + (1 if first else 0), DIGIT_BITS)
+    return state.join(sized(step, small=small), F.col("__p").eqNullSafe(F.col("__part")), "left").select(
         "__part", "__target",
-        F.coalesce(F.col("__next"), beyond).cast("long").alias("__prefix"),
-        (F.col("__below") + F.coalesce(F.col("__more"), F.lit(0))).alias("__below"),
+        F.coalesce(F.when(F.col("at.digit") < BEYOND, F.col("at.digit")), beyond).alias("__prefix"),
+        (F.col("__below") + F.coalesce(F.col("at.below"), F.lit(0))).alias("__below"),
     )
 
 

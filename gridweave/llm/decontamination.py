@@ -1,113 +1,122 @@
-"""Benchmark decontamination: a hash set of benchmark n-grams goes to every task, which scans its documents' windows.
+"""Benchmark decontamination: a broadcast hash set of benchmark n-grams, which a scan of all document windows probes.
 
-The whole scan is one pass of column functions. A document is cut into words, every window's hash is looked up in
-the set (a literal of at most 2**`SET_BITS` values, whatever the size of the benchmark), and what it lets through is
-verified by joining the window's words themselves with those of the benchmark.
+A document is cut into words; every window becomes a row of a stream that carries the hash of its first, middle and
+last word, and probes the broadcast table of the benchmark's hashes, whole hashes whatever the benchmark's size. No
+window is shuffled: what the set lets through is verified by joining the window's words themselves. A benchmark with
+more hashes than one broadcast may hold is split into blocks of hashes, and each block scans the documents anew.
+
+Items are kept apart from windows: windows that occur in the same items share the number of that set of items, so a hit
+carries two numbers, whatever the number of items that hold it.
 
 Defined cases: null or wordless texts have no words and no hits; a benchmark item with fewer words than the window is
-one window of its own length; wordless items match nothing; repeated documents are judged row by row; repeated items
-count each by its item_id; empty tables give an empty report, or one without hits.
+one window of its own length; wordless items match nothing; rows of equal doc_id and text are judged once and each
+reported; repeated items count each by its item_id; empty tables give an empty report, or one without hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, checkpoint, join_rows, sized_text, with_text_key
+from .common import BROADCAST_ROWS, TEXT_KEY, checkpoint, join_rows, sized_text, union_all, with_text_key
 
 WINDOW = 13
-#: The set holds whole hashes up to this many windows, and their lowest bits beyond; it never has more entries.
-SET_BITS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = "[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 
 
-def words(text: str = "text") -> F.Column:
+def words(text: str = "text") -> Column:
     return F.expr(f"array_remove(split(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{GAP}'), '')")
 
 
-HASHED = "transform(w, x -> xxhash64(x))"
+def _probe() -> Column:
+    """Hash of the length and the first, middle and last word of the window of `len` words from `pos`, counted from 1."""
+    return F.expr("xxhash64(len, w[pos - 1], w[pos - 1 + len DIV 2], w[pos + len - 2])")
 
 
-def _ends(length: str) -> str:
-    """SQL for a cheap hash of a window's first, middle and last word."""
-    return f"(v[i - 1] ^ v[i - 1 + {length} DIV 2] ^ v[i + {length} - 2])"
+def _window() -> Column:
+    return F.expr("array_join(slice(w, pos, len), ' ')")
 
 
-def _positions(length: str) -> str:
-    """SQL for the starts of a document's windows of that length."""
-    return f"IF(size(w) >= {length}, sequence(1, size(w) - {length} + 1), array())"
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(probe, len, win, items_key), each window once, and (items_key, items), the sets of items that hold them."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words().alias("w")).filter("size(w) > 0")
+    items = items.withColumn("len", F.least(F.size("w"), F.lit(window)))
+    starts = items.select("item_id", "len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("pos"))
+    held = starts.select("item_id", "len", _probe().alias("probe"), _window().alias("win"))
+    named = held.groupBy("probe", "len", "win").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    named = checkpoint(named.withColumn("items_key", F.sha2(F.to_json("items"), 256)))
+    return named.drop("items"), checkpoint(named.groupBy("items_key").agg(F.first("items").alias("items")))
+
+
+def _starts(lengths: list[int]) -> Column:
+    """The array of (pos, len) codes of a document's windows, pos * lengths + place of the length; 0 stands for the document itself."""
+    return F.sequence(F.lit(0), F.greatest(F.size("w") * len(lengths) + len(lengths) - 1, F.lit(0)))
+
+
+def window_hits(docs: DataFrame, windows: DataFrame, carry: list[str], block_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(carry, n_words, pos, len, items_key): one row with pos 0 per document row, and one per verified window."""
+    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most `window` of them
+    cut = docs.select(*carry, words().alias("w"))
+    document = lambda df: df.select(*carry, F.size("w").cast("long").alias("n_words"), F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("items_key"))
+    if not lengths:
+        return document(cut)
+    blocks = -(-windows.select("probe").distinct().count() // block_rows)
+    place = F.get(F.array(*map(F.lit, lengths)), F.col("at") % len(lengths))
+    parts = []
+    for block in range(blocks):
+        probes = windows.select("probe").distinct().filter(F.pmod("probe", F.lit(blocks)) == block)
+        if block == 0:  # the document's own row passes the set once
+            probes = probes.unionByName(windows.sparkSession.range(1).select(F.lit(0).cast("long").alias("probe"))).distinct()
+        rows = cut.select("*", F.explode(_starts(lengths)).alias("at"))
+        rows = rows.select(*carry, "w", (F.col("at") / len(lengths)).cast("int").alias("pos"), place.alias("len")).filter("pos > 0 AND pos + len <= size(w) + 1 OR pos = 0 AND len = %d" % lengths[0])
+        rows = rows.withColumn("probe", F.when(F.col("pos") == 0, F.lit(0).cast("long")).otherwise(_probe()))
+        found = rows.join(F.broadcast(probes), "probe")  # at most `block_rows` hashes, counted
+        parts.append(found.select(*carry, F.size("w").cast("long").alias("n_words"), "pos", F.when(F.col("pos") > 0, F.col("len")).otherwise(0).alias("len"), F.when(F.col("pos") > 0, _window()).alias("win")))
+    # The words themselves are compared here, so a hash that agrees by chance drops out.
+    known = sized_text(windows.select(F.col("win").alias("__win"), F.col("len").alias("__len"), "items_key"), "__win")
+    verified = union_all(parts).join(known, (F.col("win") == F.col("__win")) & (F.col("len") == F.col("__len")), "left")
+    return verified.filter("pos = 0 OR items_key IS NOT NULL").select(*carry, "n_words", "pos", "len", "items_key")
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id string, len int, win string, h long), each once."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words().alias("w")).filter("size(w) > 0")
-    items = items.select("item_id", "w", F.expr(HASHED).alias("v"), F.least(F.size("w"), F.lit(window)).alias("len"))
-    starts = items.select("item_id", "len", "w", "v", F.explode(F.expr(_positions("len"))).alias("i"))
-    return starts.select(
-        "item_id", "len", F.expr("array_join(slice(w, i, len), ' ')").alias("win"),
-        F.expr("xxhash64(slice(v, i, len))").alias("h"), F.expr(_ends("CAST(len AS INT)")).alias("ends"),
-    ).distinct()
-
-
-def _literals(windows: DataFrame, name: str, set_bits: int) -> tuple[int, dict[int, str]]:
-    """A mask, and by window length the values of `name` under that mask, as SQL: 2**set_bits values at most."""
-    mask = -1
-    values = windows.select("len", name).distinct().limit((1 << set_bits) + 1).collect()
-    if len(values) > 1 << set_bits:  # as many residues as there can be, still a bounded literal
-        mask = (1 << set_bits) - 1
-        values = windows.select("len", F.col(name).bitwiseAND(mask).alias(name)).distinct().collect()
-    sets: dict[int, list[str]] = {}
-    for n, h in values:
-        sets.setdefault(n, []).append(f"{h}L" if h > -(1 << 63) else "CAST(-9223372036854775808 AS BIGINT)")
-    return mask, {n: ", ".join(sorted(has)) for n, has in sets.items()}
-
-
-def _hit_array(windows: DataFrame, set_bits: int) -> F.Column:
-    """Per document, its windows whose hash is in the set: array of (pos, len, win)."""
-    (some, ends), (mask, whole) = (_literals(windows, name, set_bits) for name in ("ends", "h"))
-    found = [
-        f"transform(filter({_positions(str(n))}, i -> ({_ends(str(n))} & {some}L) IN ({ends[n]}) AND (xxhash64(slice(v, i, {n})) & {mask}L) IN ({has})), "
-        f"i -> struct(i AS pos, {n} AS len, array_join(slice(w, i, {n}), ' ') AS win))"
-        for n, has in sorted(whole.items())
-    ]
-    return F.expr(f"concat({', '.join(found)})" if found else "CAST(array() AS array<struct<pos: int, len: int, win: string>>)")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_bits: int = SET_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BROADCAST_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of `docs`: doc_id, the columns `carry`, n_words, spans hit as array of (pos, end), item_ids, n_hit, contaminated."""
-    fields = ["doc_id", *carry]
-    windows = checkpoint(benchmark_windows(benchmark, window))
-    cut = docs.select(*fields, F.monotonically_increasing_id().alias("row"), words().alias("w"))
-    scanned = cut.select("*", F.expr(HASHED).alias("v")).select(*fields, "row", F.size("w").cast("long").alias("n_words"), _hit_array(windows, set_bits).alias("hits"))
-    by_window = windows.groupBy("win", F.col("len").alias("win_len")).agg(F.collect_set("item_id").alias("items"))
-    # The words themselves are compared here, so a hash that agrees by chance drops out.
-    candidates = scanned.select(*fields, "row", "n_words", F.explode_outer("hits").alias("hit"))
-    verified = candidates.join(sized_text(checkpoint(by_window), "win"), (F.col("hit.win") == F.col("win")) & (F.col("hit.len") == F.col("win_len")), "left")
-    hit = F.when(F.col("items").isNotNull(), F.struct(F.col("hit.pos").alias("pos"), (F.col("hit.pos") + F.col("hit.len")).alias("end")))
-    grouped = verified.groupBy("row", *fields, "n_words").agg(F.collect_set(hit).alias("spans"), F.collect_set("items").alias("items"))
+    windows, item_sets = benchmark_windows(benchmark, window)
+    key = ["doc_id", *TEXT_KEY]
+    hits = window_hits(with_text_key(docs.select("doc_id", "text")), windows, key, block_rows)
+    span = F.when(F.col("pos") > 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))
+    rows = hits.groupBy(*key, "n_words").agg(F.count_if(F.col("pos") == 0).cast("int").alias("rows"), F.collect_set(span).alias("spans"), F.collect_set("items_key").alias("sets"))
+    rows = checkpoint(rows)
+    touched = rows.filter("size(sets) > 0").select(*key, F.explode("sets").alias("items_key")).join(sized_sets(item_sets), "items_key")
+    ids = touched.select(*key, F.explode("items").alias("item_id")).groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    clean = rows.filter("size(sets) = 0").withColumn("item_ids", F.expr("CAST(array() AS array<string>)"))
+    report = clean.unionByName(join_rows(rows.filter("size(sets) > 0"), ids, "inner").select(*clean.columns))
     covered = "aggregate(sort_array(spans), named_struct('to', 0, 'n', 0L), (a, s) -> named_struct('to', greatest(a.to, s.end), 'n', a.n + greatest(0, s.end - greatest(a.to, s.pos))), a -> a.n)"
-    return grouped.select(
-        *fields, "n_words", F.sort_array("spans").alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten("items"))).alias("item_ids"), F.expr(covered).alias("n_hit"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+    fields = ["doc_id", *carry]
+    report = report.select(*fields, "n_words", F.sort_array("spans").alias("spans"), "item_ids", F.expr(covered).alias("n_hit"), F.explode(F.array_repeat(F.lit(True), F.col("rows"))).alias("__row"))
+    return report.drop("__row").withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+
+
+def sized_sets(item_sets: DataFrame) -> DataFrame:
+    """Broadcast while all sets together hold few enough items."""
+    total = item_sets.agg(F.coalesce(F.sum(F.size("items").cast("long") + 8), F.lit(0))).first()[0]
+    return F.broadcast(item_sets) if total <= BROADCAST_ROWS else item_sets
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that the report doesn't call contaminated, all columns; rows that share a doc_id are told apart by text."""
     docs = with_text_key(docs)
-    bad = contamination(docs, benchmark, carry=TEXT_KEY).filter("contaminated").select("doc_id", *TEXT_KEY).distinct()
+    bad = contamination(docs.drop(*TEXT_KEY), benchmark, carry=TEXT_KEY).filter("contaminated").select("doc_id", *TEXT_KEY).distinct()
     return join_rows(docs, bad, "left_anti").drop(*TEXT_KEY)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text): the normalised words of each document without those that a benchmark window covers."""
-    docs = with_text_key(docs)
+    docs = with_text_key(docs.select("doc_id", "text"))
     # Rows alike in id and text have the same spans.
-    spans = contamination(docs, benchmark, carry=TEXT_KEY).filter("n_hit > 0").groupBy("doc_id", *TEXT_KEY).agg(F.first("spans").alias("spans"))
+    spans = contamination(docs.drop(*TEXT_KEY), benchmark, carry=TEXT_KEY).filter("n_hit > 0").groupBy("doc_id", *TEXT_KEY).agg(F.first("spans").alias("spans"))
     cut = join_rows(docs.select("doc_id", *TEXT_KEY, "text", words().alias("w")), spans, "left")
     left = F.expr("array_join(filter(w, (x, i) -> NOT exists(spans, s -> i + 1 >= s.pos AND i + 1 < s.end)), ' ')")
     return cut.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left).alias("text"))

@@ -2,9 +2,13 @@
 
 Points are groups of equal texts, weighted by their bytes. Dimensions are the size, source, language and a hash of the
 text; each coordinate holds the value in its high bits and the text's hash below, so equal texts never part while a
-popular value can still be split. Every round splits all nodes at once along the dimension that is widest in the node,
-at the weighted median of its bytes (for uneven leaf counts at the matching fraction), found by digit sums instead of
-sorting. A group of more than half a leaf's bytes is first cut into pieces by doc_id, for else no balance is possible.
+popular value can still be split. A round splits all nodes at once: one pass sums the bytes by node, dimension and
+value, which gives every dimension's width and the value at the weighted median; a second resolves the hash bits below
+that value on the widest dimension. What a round learns, two numbers a node, is part of the next round's expressions.
+
+Groups of over 1/64 of a leaf, 64 a leaf at most, are placed before: the largest first into the leaf with most room,
+and the tree fills what they leave, at fractions that follow the room on either side. A group that no leaf has room for
+is cut into pieces by doc_id, which the tree places like other points, for else the bytes can't be near equal.
 
 Defined cases: a null text is empty and, as any other, counts one byte for its end; null metadata count as empty;
 repeated rows are placed each; an empty table gives an empty result; other columns are ignored by the assignment.
@@ -15,13 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, radix_cut, sized
+from .common import BEYOND, checkpoint, crossing, sized
 
 SHARDS = 8
 LAW = "bytes"
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_text")
+#: Groups of over a leaf's bytes / HEAVY are placed one by one; others are points of the tree.
+HEAVY = 64
+#: What a leaf may exceed its share by for a group to stay whole.
+SLACK = 0.01
 #: Rows that one task numbers.
 SLOT_ROWS = 20_000
+KEY = ("hash", "crc", "size")
 
 
 def _text() -> Column:
@@ -29,63 +38,100 @@ def _text() -> Column:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, size, crc, hash): a few dozen bytes for each document."""
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), (F.octet_length(_text()).cast("long") + 1).alias("size"), F.crc32(_text().cast("binary")).alias("crc"), F.xxhash64(_text()).alias("hash"))
-
-
-def _groups(rows: DataFrame, leaf: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with the piece of their group that they belong to, and the groups with coordinates."""
-    key = ["hash", "crc", "size"]
-    heavy = rows.groupBy(*key).agg(F.sum("size").alias("all")).filter(F.col("all") > leaf / 2)
-    heavy = checkpoint(heavy.select(*key, F.ceil(F.col("all") * 8 / leaf).alias("pieces")))  # at most 2 a leaf
-    rows = rows.join(F.broadcast(heavy), key, "left")
-    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
-    groups = rows.groupBy(*key, "piece").agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"))
+    """(doc_id, source, lang, size, crc, hash, spread): a few dozen bytes for each document; `spread` deals rows to tasks."""
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
+    return docs.select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), (F.octet_length(_text()).cast("long") + 1).alias("size"),
+        F.crc32(_text().cast("binary")).alias("crc"), F.xxhash64(_text()).alias("hash"), spread.alias("spread"),
+    )
+
+
+def heavy_groups(rows: DataFrame, leaf: float, shards: int) -> tuple[list[tuple], list[float]]:
+    """(key, shard or None, pieces) of every group over leaf / HEAVY, and the room that each leaf has left.
+
+    They weigh more than 1/64 of a leaf each, so there are at most 64 a leaf.
+    """
+    found = rows.groupBy(*KEY).agg(F.sum("size").alias("weight")).filter(F.col("weight") > leaf / HEAVY).collect()
+    room, placed = [leaf] * shards, []
+    for *key, weight in sorted(map(tuple, found), key=lambda g: (-g[-1], g)):
+        most = max(range(shards), key=lambda s: (room[s], -s))
+        if fits := weight <= room[most] + SLACK * leaf:
+            room[most] -= weight
+        placed.append((*key, most if fits else None, 1 if fits else int(weight * HEAVY / leaf) + 1))
+    return placed, [max(r, 0.0) for r in room]
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """Groups of rows by key and piece with weight and coordinates of 48 bits: 16 of a value, 32 of the hash."""
+    groups = rows.groupBy(*KEY, "piece").agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     low = F.shiftrightunsigned(F.xxhash64("hash", "crc", "piece"), 32)
     at = lambda high: F.shiftleft(F.least(F.greatest(high, F.lit(0)), F.lit(65535)).cast("long"), 32).bitwiseOR(low)
     name = lambda c: F.shiftrightunsigned(F.crc32(F.col(c).cast("binary")).cast("long"), 16)
-    return rows, groups.select(*key, "piece", "weight", at(F.log2("size") * 2048).alias("d_size"), at(name("source")).alias("d_source"), at(name("lang")).alias("d_lang"), at(F.shiftrightunsigned("hash", 48)).alias("d_text"))
-
-
-def _round(points: DataFrame, leaves: dict[int, int]) -> DataFrame:
-    """For each node that has leaves to split into: (node, dim, cut)."""
-    high = lambda d: F.shiftright(F.col(d), 32)
-    spans = points.groupBy("node").agg(F.sum("weight").alias("weight"), *((F.max(high(d)) - F.min(high(d))).alias(d) for d in DIMENSIONS))
-    share = F.expr("CASE node " + " ".join(f"WHEN {n} THEN {(k // 2) / k}D" for n, k in leaves.items() if k > 1) + " END")
-    widest = F.greatest(*DIMENSIONS)
-    dim = F.coalesce(*(F.when(F.col(d) == widest, F.lit(i)) for i, d in enumerate(DIMENSIONS)))
-    split = checkpoint(spans.withColumn("share", share).filter("share IS NOT NULL").select("node", dim.alias("dim"), (F.col("weight") * F.col("share")).alias("half")))
-    named = F.broadcast(split.select(F.col("node").alias("__n"), "dim"))  # one row a node: fewer than the shards
-    keyed = points.join(named, F.col("node") == F.col("__n")).select("node", _along().alias("key"), "weight")
-    return split.join(radix_cut(keyed, "node", "key", "weight", split, "half").drop("below"), "node").select("node", "dim", "cut")
-
-
-def _along() -> Column:
-    return F.element_at(F.array(*DIMENSIONS), (F.col("dim") + 1).cast("int"))
-
-
-def tree(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """`groups` with their leaf, `shard`."""
-    points, leaves = checkpoint(groups.withColumn("node", F.lit(1).cast("long"))), {1: shards}
-    while max(leaves.values()) > 1:
-        cuts = checkpoint(_round(points, leaves)).select(F.col("node").alias("__n"), "dim", "cut")
-        right = F.when(F.col("cut").isNull(), F.lit(0)).when(_along() >= F.col("cut"), F.lit(1)).otherwise(F.lit(0))
-        points = points.join(F.broadcast(cuts), F.col("node") == F.col("__n"), "left").withColumn("node", F.col("node") * 2 + right)
-        points = checkpoint(points.drop("__n", "dim", "cut"))
-        leaves = {2 * n + s: (max(k - k // 2, 1) if s else max(k // 2, 1)) for n, k in leaves.items() for s in ((0, 1) if k > 1 else (0,))}
-    numbers = " ".join(f"WHEN {n} THEN {i}" for i, n in enumerate(sorted(leaves)))
-    return points.withColumn("shard", F.expr(f"CAST(CASE node {numbers} END AS INT)")).drop("node")
+    return groups.select(*KEY, "piece", "weight", at(F.log2("size") * 2048).alias("d_size"), at(name("source")).alias("d_source"), at(name("lang")).alias("d_lang"), at(F.shiftrightunsigned("hash", 48)).alias("d_text"))
+
+
+def _by_node(values: dict[int, float | int], node: str = "node") -> Column:
+    """The node's value, null for nodes without one."""
+    return F.get(F.array(*(F.lit(values.get(n)) for n in range(max(values, default=0) + 1))), F.col(node).cast("int"))
+
+
+def _sums(digits: DataFrame, *by: str) -> DataFrame:
+    """`by` with `sums`, the array of (digit, w) in order: at most 2**16 entries, pre-aggregated where the points lie."""
+    return digits.groupBy(*by, "digit").agg(F.sum("weight").alias("w")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("digit", "w"))).alias("sums"))
+
+
+def _cuts(points: DataFrame, shares: dict[int, float]) -> dict[int, tuple[int, int]]:
+    """(dimension, cut) of every node in `shares` that has points: the widest one, cut where that share of the bytes lies below."""
+    open_nodes = points.withColumn("__share", _by_node(shares)).filter("__share IS NOT NULL")
+    every = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.shiftright(F.col(d), 32).alias("digit")) for i, d in enumerate(DIMENSIONS))))
+    sums = _sums(open_nodes.select("node", "weight", every.alias("x")).select("node", "weight", "x.*"), "node", "dim")
+    total = F.expr("aggregate(sums, 0L, (a, x) -> a + x.w)")
+    first = sums.select("node", "dim", F.expr("element_at(sums, -1).digit - sums[0].digit").alias("span"), (total * _by_node(shares)).alias("target"), "sums")
+    first = first.select("node", "dim", "span", "target", crossing(F.col("sums"), F.col("target")).alias("at")).collect()  # four rows a node
+    widest = {n: max((r for r in first if r["node"] == n), key=lambda r: (r["span"], -r["dim"])) for n in {r["node"] for r in first}}
+    inner = {n: r for n, r in widest.items() if r["at"]["digit"] < BEYOND}
+    found = {n: (r["dim"], 1 << 48) for n, r in widest.items()}
+    if inner:
+        along = F.get(F.array(*DIMENSIONS), _by_node({n: r["dim"] for n, r in inner.items()}))
+        digit = _by_node({n: r["at"]["digit"] for n, r in inner.items()})
+        inside = points.withColumn("__key", along).filter(F.shiftright("__key", 32) == digit)
+        low = _sums(inside.select("node", "weight", (F.shiftright("__key", 16) % (1 << 16)).alias("digit")), "node")
+        left = {n: float(r["target"] - r["at"]["below"]) for n, r in inner.items()}
+        for n, at in low.select("node", crossing(F.col("sums"), _by_node(left)).alias("at")).collect():
+            high = inner[n]["at"]["digit"] << 32
+            found[n] = (inner[n]["dim"], high + (min(at["digit"], 1 << 16) << 16))
+    return found
+
+
+def tree(points: DataFrame, room: list[float]) -> DataFrame:
+    """`points`, a table of its own, with their leaf, `shard`; leaf i gets a share of the bytes by room[i]."""
+    spans = {1: (0, len(room))}  # the leaves below a node
+    placed = points.withColumn("node", F.lit(1).cast("long"))
+    while any(b - a > 1 for a, b in spans.values()):
+        middle = {n: (a + b) // 2 for n, (a, b) in spans.items() if b - a > 1}
+        shares = {n: sum(room[spans[n][0] : m]) / max(sum(room[slice(*spans[n])]), 1e-9) for n, m in middle.items()}
+        cuts = _cuts(placed, shares)
+        key = F.get(F.array(*DIMENSIONS), _by_node({n: d for n, (d, _) in cuts.items()}))
+        right = F.coalesce((key >= _by_node({n: c for n, (_, c) in cuts.items()})).cast("int"), F.lit(0))
+        placed = placed.withColumn("node", F.col("node") * 2 + right)
+        spans = {2 * n + s: (a, middle.get(n, b)) if s == 0 else (middle[n], b) for n, (a, b) in spans.items() for s in (0, 1) if s == 0 or n in middle}
+    return placed.withColumn("shard", _by_node({n: a for n, (a, _) in spans.items()}).cast("int")).drop("node")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per row: doc_id, size, crc, shard and slot, its number within the shard in the order of blocks of ids."""
     rows = checkpoint(sizes(docs))
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    rows, groups = _groups(rows, max(total, 1) / shards)
-    placed = tree(groups, shards).select("hash", "crc", "size", "piece", "shard")
-    rows = checkpoint(rows.join(placed, ["hash", "crc", "size", "piece"]).select("doc_id", "size", "crc", "shard"))
+    heavy, room = heavy_groups(rows, max(total, 1) / shards, shards)
+    known = rows.sparkSession.createDataFrame(heavy, "hash long, crc long, size long, fixed int, pieces int")
+    rows = rows.join(F.broadcast(known), list(KEY), "left")  # at most 64 rows a shard
+    rows = rows.withColumn("piece", F.coalesce(F.pmod("spread", F.col("pieces")), F.lit(0)).cast("int"))
+    light = rows.filter("fixed IS NULL")
+    where = tree(checkpoint(_points(light)), room).select(*KEY, "piece", "shard")
+    fields = ["doc_id", "size", "crc", "spread", "shard"]
+    rows = light.join(where, [*KEY, "piece"]).select(*fields).unionByName(rows.filter("fixed IS NOT NULL").withColumn("shard", F.col("fixed")).select(*fields))
     blocks = n // SLOT_ROWS // shards + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = checkpoint(rows.withColumn("block", F.pmod("spread", F.lit(blocks))))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "crc", "size")) - 1

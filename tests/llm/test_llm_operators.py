@@ -180,11 +180,11 @@ def brute_contamination(texts, items, window):
     return out
 
 
-@pytest.mark.parametrize("set_bits", [16, 3])
-def test_contamination(spark, texts, set_bits):
+@pytest.mark.parametrize("block_rows", [1_000_000, 100])
+def test_contamination(spark, texts, block_rows):
     items = [(1, texts[0]), (2, texts[3]), (10, "one"), (11, None), (12, "..."), (13, "two words"), (1, texts[0]), (14, texts[0].upper()), (15, texts[-3])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in decontamination.contamination(documents(spark, texts), bench, set_bits=set_bits).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in decontamination.contamination(documents(spark, texts), bench, block_rows=block_rows).collect()}
     expected = brute_contamination(texts, items, 13)
     assert got == expected
     kept = {r.doc_id for r in decontamination.drop_contaminated(documents(spark, texts), bench).collect()}
