@@ -10,8 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-INT = r"^[+-]?[0-9]+$"
-FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+INT = r"^[+-]?[0-9]+\z"
+FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+#: Longest text that repeating may give, in bytes.
+MOST_BYTES = 1 << 20
+NUMBERS = ("bigint", "double")
 
 
 class GridError(ValueError):
@@ -39,6 +42,106 @@ def wrap(op: str, a: Column, b: Column) -> Column:
     return (F.pmod(result.cast("decimal(38,0)") + half, whole) - half).cast("bigint")
 
 
+def _fail(code: str, message: str, kind: str) -> Column:
+    return F.raise_error(F.lit(f"{code}: {message}")).cast(kind)
+
+
+def arithmetic(op: str, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
+    """`+ - *` of two cells: whole numbers wrap, a float makes both floats, text is joined or repeated."""
+    if op == "+" and "string" in kinds:
+        return F.concat(text_of(a, kinds[0]), text_of(b, kinds[1]))
+    if op == "*" and sorted(kinds) == ["bigint", "string"]:
+        word, times = (a, b) if kinds[0] == "string" else (b, a)
+        bad = (times < 0) | (F.octet_length(word).cast("long") * times > MOST_BYTES)
+        return F.when(bad, _fail("E106", "text can't be repeated so often", "string")).otherwise(F.repeat(word, times.cast("int")))
+    if not set(kinds) <= set(NUMBERS):
+        raise GridError("E105", f"{op} isn't defined on {kinds[0]} and {kinds[1]}")
+    if kinds == ("bigint", "bigint"):
+        return wrap(op, a, b)
+    a, b = a.cast("double"), b.cast("double")
+    return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b}[op]()
+
+
+def divide(a: Column, b: Column) -> Column:
+    """Always a float; by zero is an error when the rows are read."""
+    return F.when(b == 0, _fail("E107", "division by zero", "double")).otherwise(a.cast("double") / b.cast("double"))
+
+
+def remainder(a: Column, b: Column) -> Column:
+    """Of whole numbers, with the sign of the dividend; by zero is an error when the rows are read."""
+    # The least number modulo -1 is 0, without the overflow of the division.
+    return F.when(b == 0, _fail("E107", "remainder by zero", "bigint")).when(b == -1, F.lit(0).cast("bigint")).otherwise(a % b)
+
+
+def negative(c: Column, kind: str) -> Column:
+    return wrap("-", F.lit(0), c) if kind == "bigint" else -c
+
+
+def equals(a: Column, b: Column, kinds: tuple[str, str]) -> Column:
+    """Numbers by their float values, null equal to null, NaN to nothing; other kinds that differ are unequal."""
+    if set(kinds) <= set(NUMBERS):
+        a, b = a.cast("double"), b.cast("double")
+        return a.eqNullSafe(b) & ~F.coalesce(F.isnan(a), F.lit(False))
+    return a.eqNullSafe(b) if kinds[0] == kinds[1] else a.isNull() & b.isNull()
+
+
+def compare(op: str, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
+    """`< <= > >=` of two texts by bytes or two numbers as floats; other kinds have no order."""
+    if set(kinds) <= set(NUMBERS):
+        a, b = a.cast("double"), b.cast("double")
+        ordered = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+        return ordered & ~F.isnan(a) & ~F.isnan(b)
+    if kinds != ("string", "string"):
+        raise GridError("E110", f"{kinds[0]} and {kinds[1]} have no order")
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+
+def logic(op: str, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
+    """`and`, `or` of truth values, never null."""
+    a, b = truthy(a, kinds[0]), truthy(b, kinds[1])
+    return a & b if op == "and" else a | b
+
+
+def choose(condition: Column, kind: str, yes: Column, no: Column) -> Column:
+    return F.when(truthy(condition, kind), yes).otherwise(no)
+
+
+def length(c: Column, kind: str) -> Column:
+    """Code points of a text, items of a list or map."""
+    if kind != "string" and not kind.startswith(("array", "map")):
+        raise GridError("E106", f"{kind} has no length")
+    return (F.length(c) if kind == "string" else F.size(c)).cast("bigint")
+
+
+def text_of(c: Column, kind: str) -> Column:
+    """A cell as text: None, true and false, whole floats with one decimal, others with six digits before an exponent."""
+    if kind.startswith("array<"):
+        inside = F.array_join(F.transform(c, lambda x: text_of(x, kind[6:-1])), ",")
+        return F.coalesce(F.concat(F.lit("["), inside, F.lit("]")), F.lit("None"))
+    if kind not in ("double", "float"):
+        return F.coalesce(c.cast("string"), F.lit("None"))
+    shown = F.abs(c).cast("string")
+    mantissa = F.regexp_extract(shown, r"^([0-9.]+)", 1)
+    digits = F.regexp_replace(F.translate(mantissa, ".", ""), "^0+|0+$", "")
+    # Place of the first digit: by the exponent, or by what stands before or after the point.
+    scale = F.coalesce(F.regexp_extract(shown, r"E(-?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    zeros = F.length(F.regexp_extract(mantissa, r"^0\.(0*)", 1))
+    first = scale + F.when(mantissa.startswith("0."), -zeros - 1).otherwise(F.instr(mantissa, ".") - 2)
+    tail = F.substring(digits, 2, 32)
+    power = F.concat(F.when(first < 0, "e-").otherwise("e+"), F.lpad(F.abs(first).cast("string"), 2, "0"))
+    power = F.when(F.abs(first) > 99, F.concat(F.when(first < 0, "e-").otherwise("e+"), F.abs(first).cast("string"))).otherwise(power)
+    short = F.concat(F.substring(digits, 1, 1), F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), power)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -first - 1), digits)
+    plain = F.when((first < -4) | (first >= 6), short).when(first < 0, small).otherwise(mantissa)
+    # A whole float in full: 62 bits at a time, since a cast to a decimal takes its shortest digits.
+    high = F.floor(F.abs(c) / float(1 << 62))
+    exact = high.cast("decimal(20,0)") * F.lit(str(1 << 62)).cast("decimal(20,0)") + (F.abs(c) - high * float(1 << 62)).cast("bigint").cast("decimal(20,0)")
+    whole = F.concat(exact.cast("decimal(38,0)").cast("string"), F.lit(".0"))
+    out = F.when(F.isnan(c), "NaN").when(F.abs(c) == float("inf"), F.when(c > 0, "+Inf").otherwise("-Inf"))
+    signed = F.concat(F.when(c < 0, "-").otherwise(""), F.when((c == F.rint(c)) & (F.abs(c) < 1e37), whole).otherwise(plain))
+    return F.coalesce(out, signed, F.lit("None"))
+
+
 def truthy(c: Column, kind: str) -> Column:
     """Zero, empty and null are false."""
     if kind == "boolean":
@@ -73,10 +176,16 @@ def cyclic(a: Column, b: Column, op: Any) -> Column:
 
 
 def float_text(x: float) -> str:
-    """Whole floats with one decimal, others in their shortest form."""
+    """Whole floats with one decimal, others in their shortest form, with an exponent from 1e6 on and below 1e-4."""
     if x != x or x in (float("inf"), float("-inf")):
         return {"nan": "NaN", "inf": "+Inf", "-inf": "-Inf"}[str(x)]
-    return f"{x:.1f}" if x == int(x) else repr(x)
+    if x == int(x):
+        return f"{x:.1f}"
+    digits = f"{x:e}" if abs(x) < 1e-4 or abs(x) >= 1e6 else repr(x)
+    if "e" in digits:
+        shortest = next(y for p in range(17) if float(y := f"{x:.{p}e}") == x)
+        return shortest
+    return digits
 
 
 def text(value: Any) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import TYPES, Pattern, compile_pattern
+from ..functions.patterns import TYPES, Pattern, compile_pattern, translate
 from ..functions.values import GridError
 
 FINISHED = "FINISHED"
@@ -67,14 +67,56 @@ def extract_strict(work: DataFrame, patterns: Mapping[str, str], key: str, keep:
     return extract(work.where(finished), patterns, [key, *keep], text)
 
 
+def summary(outputs: Mapping[str, DataFrame]) -> DataFrame:
+    """(output, n_rows, n_columns) of each named result."""
+    rows = [df.agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns")) for name, df in outputs.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def inline(*sources: str) -> dict[str, str]:
+    """Patterns without names: each has its own text as title."""
+    return {s: s for s in sources}
+
+
 def merged_type(kinds: Sequence[str]) -> str:
     """One type for a column over all steps: whole and floating numbers meet in float, all else in text."""
     found = set(kinds)
     return found.pop() if len(found) == 1 else "double" if found <= {"bigint", "double", "int"} else "string"
 
 
-def substitute(text: Column, pattern: str, value: Column) -> Column:
-    """Replace all matches by a literal value; no match is an error when the rows are read."""
-    quoted = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), r"\$", r"\\\$")
-    hit = F.when(text.rlike(pattern), text).otherwise(F.raise_error(F.lit(f"no match of {pattern}")).cast("string"))
-    return F.regexp_replace(hit, F.lit(pattern), quoted)
+def substitute(text: Column, pattern: str, *values: Column) -> Column:
+    """Replace in every match the whole, if the pattern has no groups, or each group by its value, taken literally.
+
+    No match, or a null text, is an error when the rows are read. There must be as many values as groups, or one without
+    groups; groups stand side by side: one inside another would overlap, and one that is optional, repeated or one of
+    several choices might take no part in a match.
+    """
+    compiled = translate(pattern)
+    if len(values) != max(1, len(compiled.kinds)):
+        raise GridError("E402", f"{max(1, len(compiled.kinds))} values are needed, not {len(values)}")
+    hit = F.when(text.rlike(compiled.regex), text).otherwise(F.raise_error(F.lit(f"no match of {pattern}")).cast("string"))
+    quoted = [F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\"), r"\$", r"\\\$") for v in values]
+    if not compiled.kinds:
+        return F.regexp_replace(hit, F.lit(compiled.regex), quoted[0])
+    if compiled.pieces is None:
+        raise GridError("E402", "groups must stand side by side and be part of every match")
+    # What lies between the groups is captured instead of them, under names that a digit in a value can't run into.
+    names = iter(range(len(quoted) + 1))
+    between = "(?d)" + "".join(f"(?:{piece[1:-1]})" if group else f"(?<g{next(names)}>{piece})" for piece, group in compiled.pieces)
+    parts = [x for i, v in enumerate(quoted) for x in (F.lit(f"${{g{i}}}"), v)]
+    return F.regexp_replace(hit, F.lit(between), F.concat(*parts, F.lit(f"${{g{len(quoted)}}}")))
+
+
+def substitution_count(text: Column, pattern: str) -> Column:
+    """Matches of a substitution's pattern; more than one deserves a warning."""
+    return F.regexp_count(text, F.lit(translate(pattern).regex)).cast("bigint")
+
+
+def substitute_all(text: Column, rules: Sequence[tuple[str, Sequence[Column]]]) -> Column:
+    """The rules one after the other, each on what the last one left."""
+    for pattern, values in rules:
+        text = substitute(text, pattern, *values)
+    return text

@@ -9,8 +9,9 @@ key columns, and their projection is a plain select.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce as fold_left
 from itertools import count
 from typing import Any
 
@@ -46,6 +47,10 @@ class Grid:
 
     # Sources -----------------------------------------------------------------------------------------------------
 
+    @property
+    def names(self) -> tuple[str, ...]:
+        return self.columns
+
     @staticmethod
     def scan(df: DataFrame, position: str | Column) -> Grid:
         """A table with a dense 0-based `position`; one source row per row."""
@@ -126,7 +131,7 @@ class Grid:
         longest = max(m, n) if m and n else 0
         a, b, shared = _sides(left.keyed(), right.keyed(), left.columns, right.columns)
         steps = left.df.sparkSession.range(longest).withColumnRenamed("id", "__i")
-        hint = lambda side, size: F.broadcast(side) if size <= MERGE_BROADCAST else side
+        hint = lambda side, size: F.broadcast(side) if size <= MERGE_BROADCAST and _narrow(side) else side
         if m == n:
             joined = hint(a, m).join(b, F.col("__l_pos") == F.col("__r_pos")).withColumn("__i", F.col("__l_pos"))
         else:
@@ -220,24 +225,37 @@ class Grid:
             kept = self.keyed().orderBy(F.desc(POS)).limit(n)
         return replace(self, df=kept, row_keyed=None, dense=False)
 
-    def order(self, *keys: str | Column) -> Grid:
-        """Stable sort by the keys."""
+    def order(self, *keys: str | Column, descending: bool = False) -> Grid:
+        """Stable sort by the keys, of any type that has an order; ties keep their order in both directions."""
         columns = [F.col(k) if isinstance(k, str) else k for k in keys]
-        return replace(self, df=position_by(self.keyed(), columns), row_keyed=None, dense=True)
+        if not descending:
+            return replace(self, df=position_by(self.keyed(), columns), row_keyed=None, dense=True)
+        # Rising order with ties turned round, read from the end.
+        turned = position_by(self.keyed().withColumn(POS, -F.col(POS)), columns)
+        return replace(self, df=turned.withColumn(POS, F.lit(self.length() - 1) - F.col(POS)), row_keyed=None, dense=True)
 
-    def _seen(self) -> Column:
+    def _values(self) -> list[Column]:
         # -0.0 and 0.0 are one value.
-        values = [F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) if t in ("double", "float") else F.col(c) for c, t in self.df.select(*self.columns).dtypes]
-        return F.row_number().over(Window.partitionBy(*values).orderBy(POS))
+        return [F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) if t in ("double", "float") else F.col(c) for c, t in self.df.select(*self.columns).dtypes]
 
     def unique(self) -> Grid:
         """First row of each distinct tuple of visible values."""
-        df = self.keyed().withColumn("__rn", self._seen()).where("__rn = 1").drop("__rn")
+        first = F.row_number().over(Window.partitionBy(*self._values()).orderBy(POS))
+        df = self.keyed().withColumn("__rn", first).where("__rn = 1").drop("__rn")
         return replace(self, df=df, row_keyed=None, dense=False)
 
     def duplicated(self) -> DataFrame:
-        """Visible columns, position and whether an earlier row has the same values."""
-        return self.df.withColumn("duplicated", self._seen() > 1).select(POS, *self.columns, "duplicated")
+        """Visible columns, position and whether an earlier row has the same values.
+
+        First positions are found where the rows lie and joined back, so a popular value meets in no single task: the
+        join is one that adaptive execution splits.
+        """
+        named = [v.alias(f"__v{i}") for i, v in enumerate(self._values())]
+        firsts = self.df.select(POS, *named).groupBy(*(f"__v{i}" for i in range(len(named)))).agg(F.min(POS).alias("__first"))
+        same = F.lit(True)
+        for i, v in enumerate(self._values()):
+            same = same & v.eqNullSafe(F.col(f"__v{i}"))
+        return self.df.join(firsts, same).select(POS, *self.columns, (F.col(POS) > F.col("__first")).alias("duplicated"))
 
     def sample(self, size: int, replace_rows: bool = False, seed: int = 0) -> Grid:
         """`size` rows in random order, the same for the same seed; without replacement at most as many as there are."""
@@ -267,7 +285,37 @@ class Grid:
         return [r.asDict() for r in self.df.orderBy(POS).select(*self.columns).collect()]
 
     def column(self, name: str) -> list[Any]:
-        return [r[name] for r in self.rows()]
+        """One column's values in order, repeats included; for small grids."""
+        return [r[0] for r in self.df.orderBy(POS).select(name).collect()]
+
+    def value(self, name: str) -> Any:
+        """As `column`; a single row gives its value alone."""
+        found = self.column(name)
+        return found[0] if len(found) == 1 else found
+
+    def lists(self) -> DataFrame:
+        """One row that holds each column as a list in row order; for grids whose columns fit into a row."""
+        held = F.sort_array(F.collect_list(F.struct(POS, *self.columns)))
+        return self.df.agg(held.alias("__rows")).select(*(F.col(f"__rows.{c}").alias(c) for c in self.columns))
+
+    # Folds of grids ----------------------------------------------------------------------------------------------
+
+    @staticmethod
+    def reduce(step: Callable[[Grid, Grid], Grid], grids: Sequence[Grid]) -> Grid:
+        """Left fold whose first grid is the start."""
+        if not grids:
+            raise GridError("E106", "nothing to start from")
+        return fold_left(step, grids)
+
+    @staticmethod
+    def sum(*grids: Grid) -> Grid:
+        """Chained merges."""
+        return Grid.reduce(Grid.merge, grids)
+
+    @staticmethod
+    def prod(*grids: Grid) -> Grid:
+        """Chained products."""
+        return Grid.reduce(Grid.product, grids)
 
 
 def _sides(a: DataFrame, b: DataFrame, left: tuple[str, ...], right: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -275,6 +323,11 @@ def _sides(a: DataFrame, b: DataFrame, left: tuple[str, ...], right: tuple[str,
     return named(a, "l", left), named(b, "r", right), [c for c in left if c in right]
 
 
+def _narrow(df: DataFrame) -> bool:
+    """Whether a row's columns have a fixed width; sides with texts or lists are left to the optimiser's own bound of bytes."""
+    return all(t in ("bigint", "int", "double", "float", "boolean", "date", "timestamp") or t.startswith("struct<src:bigint") for _, t in df.dtypes)
+
+
 def _literal_type(values: Sequence[Any]) -> str:
     kinds = {type(v) for v in values if v is not None}
     known = {bool: "boolean", int: "bigint", float: "double", str: "string"}

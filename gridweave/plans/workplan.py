@@ -2,7 +2,8 @@
 
 A step's state is a DataFrame with `row` (dense), its visible columns, and for each source grid it has drawn from the
 array of that grid's positions it still may use (`__rows_<source>`). When a step imports a source that its parents have
-used, only choices that share a position are joined: an equi-join on exploded positions, never a filtered product.
+used, only choices that share a position with what all parents may use are joined, by exploded positions, never by a
+filtered product. Parents whose positions have nothing in common still meet; only a later import finds no row then.
 """
 
 from __future__ import annotations
@@ -102,15 +103,13 @@ def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, str]]:
         renamed = mine.select(*(F.col(c).alias(f"__r_{c}") for c in mine.columns))
         joined = state.crossJoin(renamed).crossJoin(F.broadcast(size))  # a product by definition
         shared = [c for c in state.columns if c in mine.columns and c != "__row"]
-        agree, compatible = F.lit(True), F.lit(True)
+        agree = F.lit(True)
         for c in shared:
-            if c.startswith("__rows_"):
-                compatible = compatible & (F.size(F.array_intersect(c, f"__r_{c}")) > 0)
-            else:
+            if not c.startswith("__rows_"):
                 agree = agree & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
         # One condition, so that no part of it can hide a difference.
         failed = F.raise_error(F.lit(f"E500: parents of {step.name} differ in what they share")).cast("boolean")
-        joined = joined.where(F.when(agree, compatible).otherwise(failed))
+        joined = joined.where(F.when(agree, True).otherwise(failed))
         merged = [F.array_intersect(c, f"__r_{c}").alias(c) if c in shared and c.startswith("__rows_") else F.col(c) for c in state.columns if c != "__row"]
         extra = [F.col(f"__r_{c}").alias(c) for c in mine.columns if c != "__row" and c not in state.columns]
         state = joined.select((F.col("__row") * F.col("__n") + F.col("__r___row")).alias("__row"), *merged, *extra)
@@ -125,6 +124,8 @@ def build(spark_grids: Sequence[Step]) -> Plan:
         step = plan.steps[name]
         state, columns = _inherit(plan, step)
         position = ["__row"] if state is not None else []
+        # Only what parents have drawn binds an import; imports of one step meet freely.
+        bound = {c for c in state.columns if c.startswith("__rows_")} if state is not None else set()
         for k, imported in enumerate(step.imports):
             inherited = {c for c in (imported.columns or imported.grid.columns) if columns.get(c) == imported.source}
             if clash := [c for c in (imported.columns or imported.grid.columns) if c in columns and c not in inherited]:
@@ -134,10 +135,11 @@ def build(spark_grids: Sequence[Step]) -> Plan:
             rows = _rows(imported.source)
             if state is None:
                 state = choices.withColumnRenamed("__rows", rows)
-            elif rows in state.columns:
+            elif rows in bound:
                 state = _lineage(state, choices, rows, position, f"__c{k}", fresh)
             else:
-                state = state.crossJoin(choices.withColumnRenamed("__rows", rows))
+                both = F.array_intersect(rows, "__rows") if rows in state.columns else F.col("__rows")
+                state = state.crossJoin(choices).withColumn(rows, both).drop("__rows")
             position.append(f"__c{k}")
             columns |= dict.fromkeys(fresh, imported.source)
         if state is None:

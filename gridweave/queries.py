@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import folds
 from .functions import values as V
-from .operators.extract import extract, extract_weak, merged_type, substitute
+from .functions.patterns import compile_pattern
+from .operators.extract import extract, extract_strict, extract_weak, matches, merged_type, substitute, substitute_all, substitution_count, summary
 from .operators.grid import Grid
 from .plans import status, workplan
 from .plans.workplan import Import, Step
+from .sources.sinks import write_csv_parts, write_sqlite
+from .sources.tables import read_csv, run_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,11 +66,10 @@ def product_pos(s: SparkSession, d: str) -> DataFrame:
     return _nation(s, d).product(_region(s, d)).positioned().select("pos", "n_name", "r_name")
 
 
-@query("SELECT n_regionkey, n_name, n_nationkey, r_name FROM nation, region WHERE n_nationkey = 7 AND r_regionkey = n_regionkey")
+@query("SELECT 'x' AS k, n_name, n_nationkey, n_regionkey, r_name, r_regionkey FROM nation CROSS JOIN region")
 def product_shared_col(s: SparkSession, d: str) -> DataFrame:
-    one = _nation(s, d).filter(F.col("n_nationkey") == 7)
-    region = _region(s, d).rename(r_regionkey="n_regionkey")
-    return one.product(region.filter(F.col("n_regionkey") == one.column("n_regionkey")[0])).visible()
+    nations = Grid.scan(_t(s, d, "nation").withColumn("k", F.lit("x")), "n_nationkey")
+    return nations.product(Grid.scan(_t(s, d, "region").withColumn("k", F.lit("x")), "r_regionkey")).visible()
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS pos, n_name, r_name FROM nation JOIN region ON n_nationkey % 5 = r_regionkey")
@@ -178,31 +184,98 @@ def sample_size(s: SparkSession, d: str) -> DataFrame:
 # Values, vectors and folds ---------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(sum(event_id) AS BIGINT) AS total, round(sum(value), 4) AS value_sum FROM events")
+@query("SELECT CAST(sum(event_id) AS BIGINT) AS total, round(sum(value), 4) AS value_sum, CAST((sum(CAST(event_id AS HUGEINT) * 2305843009213693951) + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS wrapped FROM events")
 def fold_sum(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "events").agg(F.sum("event_id").alias("total"), F.round(F.sum("value"), 4).alias("value_sum"))
+    large = V.wrap("*", F.col("event_id"), F.lit((1 << 61) - 1))
+    return _t(s, d, "events").agg(
+        folds.column_sum(F.col("event_id"), "bigint").alias("total"), F.round(folds.column_sum(F.col("value"), "double"), 4).alias("value_sum"), folds.column_sum(large, "bigint").alias("wrapped")
+    )
 
 
-@query("SELECT round(product(1 + r_regionkey), 6) AS p FROM region")
-def fold_prod(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "region").agg(F.round(F.product(1 + F.col("r_regionkey")), 6).alias("p"))
+@query("SELECT o_orderkey, [o_orderkey % 7, o_orderkey % 3, o_orderkey % 5] AS v, list_sum(v)::BIGINT AS s, list_product(v)::BIGINT AS p, list_min(v) AS least FROM orders")
+def fold_lists(s: SparkSession, d: str) -> DataFrame:
+    v = F.array(*(F.col("o_orderkey") % k for k in (7, 3, 5)))
+    rows = _t(s, d, "orders").select("o_orderkey", v.alias("v"))
+    least = folds.reduce_list(F.col("v"), lambda a, x: F.least(a, x), "bigint")
+    return rows.select("o_orderkey", "v", folds.fold("+", F.col("v"), "bigint").alias("s"), folds.fold("*", F.col("v"), "bigint").alias("p"), least.alias("least"))
 
 
 @query("SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS every, bool_or(o_totalprice > 400000) AS some FROM orders GROUP BY o_orderstatus")
 def all_any(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "orders").groupBy("o_orderstatus").agg(F.bool_and(F.col("o_totalprice") > 1000).alias("every"), F.bool_or(F.col("o_totalprice") > 400000).alias("some"))
+    above = lambda x: F.col("o_totalprice") > x
+    return _t(s, d, "orders").groupBy("o_orderstatus").agg(folds.column_every(above(1000), "boolean").alias("every"), folds.column_some(above(400000), "boolean").alias("some"))
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x <> 0)) = len(embedding) AS every, len(list_filter(embedding, lambda x: x > 1)) > 0 AS some FROM embeddings")
+def all_any_lists(s: SparkSession, d: str) -> DataFrame:
+    items = F.col("embedding")
+    return _t(s, d, "embeddings").select("vec_id", folds.every(items, "float").alias("every"), folds.some(F.transform(items, lambda x: x > 1), "boolean").alias("some"))
 
 
 @query("SELECT count(*) AS n FROM orders")
 def len_rows(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "orders").agg(F.count(F.lit(1)).alias("n"))
+    return s.createDataFrame([(_orders(s, d).length(),)], "n long")
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2 + 1)), 3) AS total, len(embedding) AS n FROM embeddings")
 def map_vector(s: SparkSession, d: str) -> DataFrame:
-    doubled = F.transform("embedding", lambda x: x.cast("double") * 2 + 1)
-    total = F.aggregate(doubled, F.lit(0.0), lambda a, x: a + x)
-    return _t(s, d, "embeddings").select("vec_id", F.round(total, 3).alias("total"), F.size("embedding").cast("long").alias("n"))
+    two, one = F.array(F.lit(2.0)), F.array(F.lit(1.0))
+    times = V.cyclic(F.col("embedding"), two, lambda x, y: V.arithmetic("*", x, y, ("double", "double")))
+    moved = V.cyclic(times, one, lambda x, y: V.arithmetic("+", x, y, ("double", "double")))
+    return _t(s, d, "embeddings").select("vec_id", F.round(folds.fold("+", moved, "double"), 3).alias("total"), V.length(F.col("embedding"), "array<float>").alias("n"))
+
+
+@query("SELECT p_partkey, list_sort(string_split(p_name, ' ')) AS rising, list_reverse_sort(string_split(p_name, ' ')) AS falling FROM part")
+def sort_lists(s: SparkSession, d: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    return _t(s, d, "part").select("p_partkey", folds.sort_list(words).alias("rising"), folds.sort_list(words, lambda a, b: a > b).alias("falling"))
+
+
+@query("SELECT event_id, [event_id % 3, event_id % 2, event_id % 4] AS v, list_distinct(v) IS NOT NULL AS known, [false, v[2] = v[1], v[3] = v[1] OR v[3] = v[2]] AS again FROM events")
+def duplicated_lists(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "events").select("event_id", F.array(*(F.col("event_id") % k for k in (3, 2, 4))).alias("v"))
+    return rows.select("event_id", "v", (F.size(folds.unique_list(F.col("v"))) > 0).alias("known"), folds.duplicated_list(F.col("v")).alias("again"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS pos, n_name, r_name, k FROM nation JOIN region ON n_nationkey % 5 = r_regionkey JOIN (SELECT unnest(['a', 'b']) AS k, unnest([0, 1]) AS i) ON n_nationkey % 2 = i")
+def fold_tables_sum(s: SparkSession, d: str) -> DataFrame:
+    return Grid.sum(_nation(s, d), _region(s, d), Grid.table(s, k=["a", "b"])).positioned().select("pos", "n_name", "r_name", "k")
+
+
+@query("SELECT CAST((r_regionkey * 25 + n_nationkey) * 2 + i AS BIGINT) AS pos, r_name, n_name, k FROM region, nation, (SELECT unnest(['a', 'b']) AS k, unnest([0, 1]) AS i)")
+def fold_tables_prod(s: SparkSession, d: str) -> DataFrame:
+    return Grid.prod(_region(s, d), _nation(s, d), Grid.table(s, k=["a", "b"])).positioned().select("pos", "r_name", "n_name", "k")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) - 1 AS pos, o_orderkey FROM orders")
+def order_text_desc(s: SparkSession, d: str) -> DataFrame:
+    return _orders(s, d, "o_orderpriority").order("o_orderpriority", descending=True).positioned().select("pos", "o_orderkey")
+
+
+@query("""
+SELECT event_id, CAST(event_id - 5000 AS DOUBLE) / 7 AS quotient, (event_id - 5000) % 7 AS rest, 5000 - event_id AS turned, event_id + value AS added,
+       event_id - 1 AS less, event_id::DOUBLE < value AS below, event_type >= 'login' AS late, value > 10 AND event_type <> '' AS both, value > 10 OR event_id % 2 <> 0 AS either,
+       event_id::DOUBLE = value AS same, CASE WHEN event_id % 2 <> 0 THEN event_type ELSE 'even' END AS chosen FROM events
+""")
+def value_operators(s: SparkSession, d: str) -> DataFrame:
+    e, v, t = F.col("event_id"), F.col("value"), F.col("event_type")
+    off = V.arithmetic("-", e, F.lit(5000), ("bigint", "bigint"))
+    more = V.compare(">", v, F.lit(10.0), ("double", "double"))
+    odd = V.remainder(e, F.lit(2))
+    return _t(s, d, "events").select(
+        "event_id", V.divide(off, F.lit(7)).alias("quotient"), V.remainder(off, F.lit(7)).alias("rest"), V.negative(off, "bigint").alias("turned"),
+        V.arithmetic("+", e, v, ("bigint", "double")).alias("added"), V.arithmetic("-", e, F.lit(1), ("bigint", "bigint")).alias("less"),
+        V.compare("<", e, v, ("bigint", "double")).alias("below"), V.compare(">=", t, F.lit("login"), ("string", "string")).alias("late"),
+        V.logic("and", more, t, ("boolean", "string")).alias("both"), V.logic("or", more, odd, ("boolean", "bigint")).alias("either"),
+        V.equals(e, v, ("bigint", "double")).alias("same"), V.choose(odd, "bigint", t, F.lit("even")).alias("chosen"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN value = trunc(value) THEN printf('%.1f', value) ELSE CAST(value AS VARCHAR) END AS float_text, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS truth, '[' || event_id || ',1]' AS list_text FROM events WHERE abs(value) >= 0.001 AND abs(value) < 100000")
+def text_form(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "events").where((F.abs("value") >= 0.001) & (F.abs("value") < 100000))
+    both = F.array(F.col("event_id"), F.lit(1).cast("long"))
+    return rows.select("event_id", V.text_of(F.col("value"), "double").alias("float_text"), V.text_of(F.col("event_id") % 2 == 0, "boolean").alias("truth"), V.text_of(both, "array<bigint>").alias("list_text"))
 
 
 @query("SELECT o_orderkey, [o_orderkey + 1, o_orderkey + 20, o_orderkey + 1 + 2] AS v FROM (SELECT o_orderkey FROM orders)")
@@ -233,7 +306,8 @@ def conv_bool(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_brand || CAST(p_size AS VARCHAR) AS joined, repeat(p_brand, 2) AS twice FROM part")
 def concat_repeat(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "part").select("p_partkey", F.concat("p_brand", F.col("p_size").cast("string")).alias("joined"), F.repeat("p_brand", F.lit(2)).alias("twice"))
+    joined = V.arithmetic("+", F.col("p_brand"), F.col("p_size").cast("bigint"), ("string", "bigint"))
+    return _t(s, d, "part").select("p_partkey", joined.alias("joined"), V.arithmetic("*", F.col("p_brand"), F.lit(2).cast("bigint"), ("string", "bigint")).alias("twice"))
 
 
 @query("SELECT r_name, CAST(x AS BIGINT) AS x FROM region CROSS JOIN (SELECT unnest(generate_series(10, 2, -2)) AS x WHERE true) WHERE x > 2")
@@ -268,9 +342,10 @@ def extract_multi_zip(s: SparkSession, d: str) -> DataFrame:
     return extract(_t(s, d, "pages"), {"first_word": "<p>([[:alpha:]]+)", "link": 'href="/([a-z]+)"'}, ["page_id"], "html")
 
 
-@query("SELECT page_id, 0 AS match_ix, '' AS never FROM pages WHERE regexp_matches(html, 'no such text (x)')")
+@query("SELECT event_id, 0 AS match_ix, k FROM (SELECT event_id, unnest(regexp_extract_all(props, '\"k\": ([0-9]*7)[^0-9]', 1)) AS k FROM events)")
 def extract_nomatch(s: SparkSession, d: str) -> DataFrame:
-    return extract(_t(s, d, "pages"), {"never": "no such text (x)"}, ["page_id"], "html")
+    """Rows without a match give no rows."""
+    return extract(_t(s, d, "events"), {"k": '"k": ([0-9]*7)[^0-9]'}, ["event_id"], "props")
 
 
 @query("SELECT page_id, url, 0 AS match_ix FROM pages")
@@ -295,10 +370,94 @@ def type_merge(s: SparkSession, d: str) -> DataFrame:
     return a.unionByName(_t(s, d, "part").select(F.col("p_retailprice").cast(number).alias("v"), F.col("p_size").cast(text).alias("w")))
 
 
-@query("SELECT page_id, replace(url, 'example', 'a$1b') AS url FROM pages WHERE url LIKE '%example%'")
+@query("SELECT event_id, regexp_replace(props, '[0-9]+', 'a$1b', 'g') AS props FROM events")
 def substitute_literal(s: SparkSession, d: str) -> DataFrame:
-    pages = _t(s, d, "pages").where(F.col("url").contains("example"))
-    return pages.select("page_id", substitute(F.col("url"), "example", F.lit("a$1b")).alias("url"))
+    return _t(s, d, "events").select("event_id", substitute(F.col("props"), "[0-9]+", F.lit("a$1b")).alias("props"))
+
+
+@query(r"""SELECT event_id, regexp_replace(props, '"([a-z]+)": ([0-9]+)', '"' || event_type || '": ' || event_id, 'g') AS props FROM events""")
+def substitute_groups(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "events").select("event_id", substitute(F.col("props"), '"([a-z]+)": ([0-9]+)', F.col("event_type"), F.col("event_id").cast("string")).alias("props"))
+
+
+@query(r"""SELECT event_id, CAST(len(regexp_extract_all(props, '[0-9]')) AS BIGINT) AS n, regexp_replace(regexp_replace(props, '[0-9]', 'x', 'g'), 'x+', 'y', 'g') AS props FROM events""")
+def substitute_rules(s: SparkSession, d: str) -> DataFrame:
+    rules = [("[0-9]", [F.lit("x")]), ("x+", [F.lit("y")])]
+    return _t(s, d, "events").select("event_id", substitution_count(F.col("props"), "[0-9]").alias("n"), substitute_all(F.col("props"), rules).alias("props"))
+
+
+PORTABLE = [r"(\s+)", r"([a&&c]+)", r"\b(\w+)", r"(?i)(k+)", r"(?U)(a+)", r"(.+)", r"(?m)^(\w+)", r"(\w+)$", r"(\++|[0-9]+)", r"([[:punct:]]+)", r"([^[:alpha:]\s]+)", r"(\pL+)"]
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}', 1)) AS n{i}, md5(array_to_string(regexp_extract_all(text, '{p}', 1), '|')) AS h{i}" for i, p in enumerate(PORTABLE)) + " FROM documents")
+def pattern_portable(s: SparkSession, d: str) -> DataFrame:
+    found = [matches(F.col("text"), compile_pattern(p), 1) for p in PORTABLE]
+    return _t(s, d, "documents").select("doc_id", *(x for i, f in enumerate(found) for x in (V.length(f, "array<string>").alias(f"n{i}"), F.md5(F.array_join(f, "|").cast("binary")).alias(f"h{i}"))))
+
+
+@query("SELECT page_id, url, unnest(regexp_extract_all(html, '<title>([A-Za-z]+)', 1)) AS title FROM pages")
+def extract_strict_mode(s: SparkSession, d: str) -> DataFrame:
+    work = _t(s, d, "pages").withColumn("status", F.lit("FINISHED"))
+    return extract_strict(work, {"title": "<title>([A-Za-z]+)"}, "page_id", ["url"], "html").drop("match_ix")
+
+
+@query("SELECT 'urls' AS output, count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM pages UNION ALL SELECT 'props', count(*), CAST(2 AS BIGINT) FROM events")
+def extract_summary(s: SparkSession, d: str) -> DataFrame:
+    return summary({"urls": extract(_t(s, d, "pages"), {}, ["page_id", "url"], "html"), "props": extract_props(s, d)})
+
+
+# Sources and sinks -----------------------------------------------------------------------------------------------
+
+
+def _folder(s: SparkSession) -> str:
+    """A new folder that driver and tasks share; one of this machine's only where they are one process."""
+    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if shared is None and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name || chr(10) || '\"x\"' AS c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_custkey % 2 = 0 AS even FROM customer")
+def csv_inferred(s: SparkSession, d: str) -> DataFrame:
+    named = _t(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit('\n"x"')).alias("c_name"), "c_nationkey", "c_acctbal", (F.col("c_custkey") % 2 == 0).alias("even"))
+    path = _folder(s)
+    named.repartitionByRange("c_custkey").write.option("escape", '"').csv(path, header=True)
+    return read_csv(s, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos, o_orderkey, o_totalprice FROM orders")
+def csv_parts(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    write_csv_parts(_t(s, d, "orders").select("o_totalprice", "o_orderkey"), path, ["o_totalprice", "o_orderkey"])
+    return Grid.ordered(read_csv(s, path), "o_totalprice", "o_orderkey").positioned().select("pos", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT lpad(CAST(event_id AS VARCHAR), 6, '0') AS run_id, 'job.out' AS rel_path, 0 AS file_ix, event_id % 10 AS k FROM events WHERE event_id < 200")
+def files_by_pattern(s: SparkSession, d: str) -> DataFrame:
+    """Two hundred runs of one file each, written first: a source of small files."""
+    path = _folder(s)
+    runs = _t(s, d, "events").where("event_id < 200").select(F.lpad(F.col("event_id").cast("string"), 6, "0").alias("run_id"), F.concat(F.lit("k: "), (F.col("event_id") % 10).cast("string")).alias("value"))
+    for r in runs.collect():
+        place = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.run_id}/job.out")
+        out = place.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(r.value, "utf-8"))
+        out.close()
+    found = run_files(s, path, r"^job\.[a-z]+$")
+    return extract(found, {"k": "k: %d"}, ["run_id", "rel_path", "file_ix"]).drop("match_ix")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CAST(n_regionkey = 1 AS BIGINT) AS first FROM nation")
+def sqlite_export(s: SparkSession, d: str) -> DataFrame:
+    path = tempfile.mkdtemp() + "/results.db"  # the driver's own file, by definition
+    write_sqlite({"nation": _t(s, d, "nation").select("n_nationkey", "n_name", (F.col("n_regionkey") == 1).alias("first"))}, path)
+    with sqlite3.connect(path) as db:
+        return s.createDataFrame(db.execute("SELECT * FROM nation").fetchall(), "n_nationkey long, n_name string, first long")
+
+
+@query("SELECT 'a' AS k, 1 AS i UNION ALL SELECT 'b', 2 UNION ALL SELECT 'a', 1")
+def table_rows(s: SparkSession, d: str) -> DataFrame:
+    grid = Grid.from_rows(s, [{"k": "a", "i": 1}, {"k": "b", "i": 2}, {"k": "a", "i": 1}])
+    return grid.visible().withColumn("i", F.col("i").cast("int"))
 
 
 # Workplans and status --------------------------------------------------------------------------------------------
@@ -322,6 +481,20 @@ def plan_lineage(s: SparkSession, d: str) -> DataFrame:
     return workplan.build(steps).states["s1"].select("r_name", "n_name", "row", F.size("__rows_g").alias("sources"))
 
 
+@query("SELECT CAST(a.r_regionkey * 5 + b.r_regionkey AS BIGINT) AS row, a.r_regionkey, b.r_name FROM region a CROSS JOIN region b")
+def plan_diamond(s: SparkSession, d: str) -> DataFrame:
+    region = _region(s, d)
+    parents = [Step("p1", (Import("r", region, ("r_regionkey",)),)), Step("p2", (Import("r", region, ("r_name",)),))]
+    return workplan.build([*parents, Step("c", (), ("p1", "p2"))]).states["c"].select("row", "r_regionkey", "r_name")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def plan_diamond_reimport(s: SparkSession, d: str) -> DataFrame:
+    nation = _nation(s, d)
+    parents = [Step("p1", (Import("n", nation, ("n_nationkey",)),)), Step("p2", (Import("n", nation, ("n_name",)),))]
+    return workplan.build([*parents, Step("c", (Import("n", nation, ("n_regionkey",)),), ("p1", "p2"))]).states["c"].select("n_nationkey", "n_name", "n_regionkey")
+
+
 @query("SELECT r_name FROM region WHERE r_regionkey < 2")
 def plan_limit(s: SparkSession, d: str) -> DataFrame:
     grid = _grid(s, d)

@@ -1,4 +1,4 @@
-"""Sinks: one CSV file, or SQLite tables in one transaction."""
+"""Sinks: sorted CSV parts, one CSV part, or SQLite tables in one transaction."""
 
 from __future__ import annotations
 
@@ -15,13 +15,21 @@ def table_name(prefix: str, run_id: str, step: str) -> str:
     return f"{prefix}_{run_id}_{step}"
 
 
+def write_csv_parts(df: DataFrame, path: str, order: list[str]) -> None:
+    """A folder of CSV parts which, read by name, are in the given order; for tables of any size."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").csv(path, header=True)
+
+
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A folder with one CSV part in the given order, replaced as a whole."""
+    """A folder with one CSV part in the given order, replaced as a whole; one task writes it, so for small results."""
     df.repartition(1).sortWithinPartitions(*order).write.mode("overwrite").csv(path, header=True)
 
 
 def write_sqlite(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Drop, create and fill all tables in one transaction; rows come partition by partition, never all at once."""
+    """Drop, create and fill all tables in one transaction; rows come partition by partition, never all at once.
+
+    The file is the driver's own, so this exports small results; large ones belong into Parquet or a database.
+    """
     for df in tables.values():
         if len({c.lower() for c in df.columns}) < len(df.columns):
             raise GridError("E413", "column titles must differ in more than case")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import translate
 from ..functions.values import FLOAT, INT, GridError, check_names
 
 
@@ -22,7 +23,7 @@ def infer(raw: DataFrame) -> DataFrame:
             ok = ok & value.isNotNull() & (F.lit(True) if cast == "bigint" else ~value.isin(float("inf"), float("-inf")))
         return F.coalesce(F.bool_and(F.coalesce(ok, F.lit(False))), F.lit(False))
 
-    kinds = {"boolean": ("^(?i:true|false)$", None), "bigint": (INT, "bigint"), "double": (FLOAT, "double")}
+    kinds = {"boolean": (r"^(?i:true|false)\z", None), "bigint": (INT, "bigint"), "double": (FLOAT, "double")}
     verdict = raw.agg(*(fits(c, *shape).alias(f"{i}_{kind}") for i, c in enumerate(raw.columns) for kind, shape in kinds.items())).first()
     typed = []
     for i, c in enumerate(raw.columns):
@@ -43,7 +44,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     sep = "\t" if path.endswith(".tsv") else "," if path.endswith(".csv") else max(",\t;", key=first.count)
     names = check_names([x.strip('"') for x in first.removeprefix("﻿").split(sep)])
     schema = ", ".join(f"`{n}` string" for n in names)
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', schema=schema, mode="FAILFAST", enforceSchema=True)
+    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', schema=schema, mode="FAILFAST", enforceSchema=True, multiLine=True)
     return infer(raw)
 
 
@@ -54,4 +55,26 @@ def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     base = root.split(":", 1)[-1].rstrip("/")
     rel = F.substring(path, len("/" + base.lstrip("/")) + 2, 1 << 30)
     found = whole.select(rel.alias("rel_path"), F.col("value").alias("text"))
-    return found if pattern is None else found.where(F.col("rel_path").rlike(pattern))
+    return found if pattern is None else found.where(F.col("rel_path").rlike(translate(pattern).regex))
+
+
+def run_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(run_id, rel_path, text, file_ix) of the files below one folder a run whose path within it the pattern matches.
+
+    `file_ix` counts a run's files in the order of their paths.
+    """
+    found = read_files(spark, root).withColumn("run_id", F.substring_index("rel_path", "/", 1))
+    within = F.substring(F.col("rel_path"), F.length("run_id") + 2, F.lit(1 << 30))
+    kept = found.select("run_id", within.alias("rel_path"), "text").where((F.col("rel_path") != "") & F.col("rel_path").rlike(translate(pattern).regex))
+    return kept.withColumn("file_ix", F.row_number().over(Window.partitionBy("run_id").orderBy("rel_path")) - 1)
+
+
+def exact_files(spark: SparkSession, root: str, runs: DataFrame, name: str) -> DataFrame:
+    """(run_id, text) of one file in every run's folder; a run of `runs` without it is an error when the rows are read."""
+    if name.startswith("/") or ".." in name.split("/"):
+        raise GridError("E411", f"{name} leads out of the run's folder")
+    found = read_files(spark, root).select(F.substring_index("rel_path", "/", 1).alias("__run"), F.col("rel_path"), "text")
+    found = found.where(F.col("rel_path") == F.concat("__run", F.lit("/" + name)))
+    joined = runs.select("run_id").join(found, F.col("run_id") == F.col("__run"), "left")
+    missing = F.raise_error(F.concat(F.lit(f"E411: no file {name} in run "), "run_id")).cast("string")
+    return joined.select("run_id", F.when(F.col("__run").isNull(), missing).otherwise(F.col("text")).alias("text"))

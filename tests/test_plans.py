@@ -50,6 +50,21 @@ def test_several_parents_and_imports(spark):
         diamond.states["s"].collect()
 
 
+def test_parents_that_draw_differently_from_one_source_still_meet(spark):
+    source = Grid.from_rows(spark, [{"a": i, "b": f"b{i}", "c": -i} for i in range(3)])
+    parents = [Step("p", (Import("g", source, ("a",)),)), Step("q", (Import("g", source, ("b",)),))]
+    plan = workplan.build([*parents, Step("child", (), ("p", "q")), Step("again", (Import("g", source, ("c",)),), ("child",))])
+    met = plan.states["child"].orderBy("row").collect()
+    assert [(r.a, r.b) for r in met] == [(i, f"b{j}") for i in range(3) for j in range(3)]
+    assert sorted((r.a, r.b, r.c) for r in plan.states["again"].collect()) == [(i, f"b{i}", -i) for i in range(3)]
+
+
+def test_imports_of_one_step_meet_freely(spark):
+    source = Grid.from_rows(spark, [{"a": i, "b": f"b{i}"} for i in range(3)])
+    plan = workplan.build([Step("s", (Import("g", source, ("a",)), Import("g", source, ("b",))))])
+    assert plan.states["s"].count() == 9
+
+
 def test_plan_errors(spark):
     a = Grid.table(spark, a=[1])
     for steps, code in (

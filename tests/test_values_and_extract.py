@@ -7,12 +7,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridweave.functions import folds
 from gridweave.functions import values as V
 from gridweave.functions.patterns import compile_pattern
 from gridweave.functions.values import GridError
-from gridweave.operators.extract import extract, extract_strict, extract_weak, merged_type, substitute
+from gridweave.operators.extract import extract, extract_strict, extract_weak, merged_type, substitute, substitution_count
 from gridweave.sources.sinks import table_name, write_csv, write_sqlite
-from gridweave.sources.tables import infer, read_csv, read_files
+from gridweave.sources.tables import exact_files, infer, read_csv, read_files, run_files
 
 LONGS = [0, 1, -1, 2, -2, 2**31, -(2**31), 2**62, -(2**62), 2**63 - 1, -(2**63)]
 
@@ -139,3 +140,90 @@ def test_csv_files_and_sinks(spark, tmp_path):
     write_csv(found, str(tmp_path / "csv"), ["rel_path", "match_ix"])
     parts = list((tmp_path / "csv").glob("part-*"))
     assert len(parts) == 1 and parts[0].read_text().splitlines()[0] == "rel_path,match_ix,t"
+
+
+def test_number_text_needs_the_whole_cell(spark):
+    cell = spark.createDataFrame([("12\n",)], "s string")
+    with pytest.raises(Exception, match="E106"):
+        cell.select(V.to_int(F.col("s"), "string")).collect()
+    with pytest.raises(Exception, match="E106"):
+        cell.select(V.to_float(F.col("s"), "string")).collect()
+    assert infer(cell).dtypes == [("s", "string")]
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_portable_patterns(spark):
+    cases = [
+        ("Number: %d$", "Number: 42\n", []), ("a: (.*)", "a: x\r\nb", ["x\r"]), ("([a&&c]+)", "a&c", ["a&c"]), (r"(\++|[0-9]+)", "++12", ["++", "12"]), (r"(?U)(a+)", "aa", ["a", "a"]),
+        (r"(\s+)", "a\x0b b", [" "]), ("(?s)(a.b)", "a\nb", ["a\nb"]), ("([]a]+)", "]a]", ["]a]"]), (r"(?m)^(\w*)$", "a\nb\r\n", ["a", ""]), ("(?i)(k)", "K", ["K"]),
+    ]
+    for pattern, text, expected in cases:
+        assert one(spark, F.regexp_extract_all(F.lit(text), F.lit(compile_pattern(pattern).regex), F.lit(1))) == expected, pattern
+    for bad in ("(a++)", "(a)(?=b)", "(?<=a)(b)", "(a", "a)", "*a", "(a**)", "(a{2}{3})", r"(\Z)", "(a{1001})", "(?>a)"):
+        with pytest.raises(GridError):
+            compile_pattern(bad)
+
+
+def test_group_wise_substitution(spark):
+    text = F.lit("a=1, b=2; a=3, b=4")
+    assert one(spark, substitute(text, r"a=(\d), b=(\d)", F.lit("$x\\"), F.lit("9"))) == "a=$x\\, b=9; a=$x\\, b=9"
+    assert one(spark, substitute(text, r"[[:digit:]]", F.lit("0"))) == "a=0, b=0; a=0, b=0"
+    assert one(spark, substitution_count(text, r"a=(\d)")) == 2
+    for pattern, n in (("((a)=)", 2), ("(a)?=", 1), ("(a)|(b)", 2), ("(?:(a)=)+", 1), ("(a)=", 2), ("a", 2)):
+        with pytest.raises(GridError):
+            substitute(text, pattern, *[F.lit("x")] * n)
+
+
+def test_value_operators_at_the_edges(spark):
+    with pytest.raises(Exception, match="E107"):
+        one(spark, V.divide(F.lit(1), F.lit(0)))
+    with pytest.raises(Exception, match="E107"):
+        one(spark, V.remainder(F.lit(1), F.lit(0)))
+    least = F.lit(-(1 << 63))
+    assert one(spark, V.remainder(least, F.lit(-1))) == 0
+    assert one(spark, V.negative(least, "bigint")) == -(1 << 63)
+    for kinds in (("boolean", "boolean"), ("string", "bigint")):
+        with pytest.raises(GridError):
+            V.compare("<", F.lit(1), F.lit(2), kinds)
+    nothing, nan = F.lit(None).cast("double"), F.lit(float("nan"))
+    assert one(spark, V.equals(nothing, nothing, ("double", "double"))) and not one(spark, V.equals(nan, nan, ("double", "double")))
+    with pytest.raises(Exception, match="E106"):
+        one(spark, V.arithmetic("*", F.lit("ab"), F.lit(-1).cast("long"), ("string", "bigint")))
+    numbers = [0.1, 123456.5, 1234567.5, 0.00012, 0.00001234, 100.0, -3.0, 1e22, 0.0, -2.5e-7, 1.5e300, float("inf"), float("nan")]
+    shown = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", V.text_of(F.col("x"), "double").alias("t")).collect()
+    assert [r.t for r in shown[:10]] == ["0.1", "123456.5", "1.2345675e+06", "0.00012", "1.234e-05", "100.0", "-3.0", "10000000000000000000000.0", "0.0", "-2.5e-07"]
+    assert [r.t for r in shown[11:]] == ["+Inf", "NaN"]
+    assert all(r.t == V.float_text(r.x) for r in shown if abs(r.x) < 1e37)
+
+
+def test_folds(spark):
+    big = (1 << 63) - 1
+    rows = spark.createDataFrame([(big,), (big,), (None,)], "x long")
+    assert rows.agg(folds.column_sum(F.col("x"), "bigint")).first()[0] == -2
+    assert rows.limit(0).agg(folds.column_sum(F.col("x"), "bigint"), folds.column_every(F.col("x"), "bigint"), folds.column_some(F.col("x"), "bigint")).first()[:] == (0, True, False)
+    longs = lambda *x: F.array(*(F.lit(v).cast("long") for v in x)).cast("array<bigint>")
+    assert one(spark, folds.fold("+", longs(), "bigint")) == 0 and one(spark, folds.fold("*", longs(), "bigint")) == 1
+    with pytest.raises(Exception, match="E106"):
+        one(spark, folds.reduce_list(longs(), lambda a, x: a + x, "bigint"))
+    by_tens = lambda a, b: F.floor(a / 10) < F.floor(b / 10)
+    assert one(spark, folds.sort_list(longs(25, 11, 21, 19, 3), by_tens)) == [3, 11, 19, 25, 21]
+    assert one(spark, folds.order_list(longs(2, 1, 2))) == [1, 0, 2]
+    assert one(spark, folds.duplicated_list(longs(2, 1, 2))) == [False, False, True]
+
+
+def test_run_files(spark, tmp_path):
+    for run, name in (("r1", "b.out"), ("r1", "a.out"), ("r2", "log/a.out"), ("r2", "x.txt")):
+        path = tmp_path / run / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    found = run_files(spark, str(tmp_path), r"\.out$").orderBy("run_id", "file_ix").collect()
+    assert [(r.run_id, r.file_ix, r.rel_path) for r in found] == [("r1", 0, "a.out"), ("r1", 1, "b.out"), ("r2", 0, "log/a.out")]
+    runs = spark.createDataFrame([("r1",), ("r2",)], "run_id string")
+    assert [r.text for r in exact_files(spark, str(tmp_path), runs.limit(1), "a.out").collect()] == ["a.out"]
+    with pytest.raises(Exception, match="E411"):
+        exact_files(spark, str(tmp_path), runs, "b.out").collect()
+    with pytest.raises(GridError):
+        exact_files(spark, str(tmp_path), runs, "../b.out")
