@@ -1,17 +1,21 @@
 """Main text of web pages by sum-product message passing over the DOM.
 
 A page's block elements form a tree of binary variables, content or not. Each node has a potential from its own
-features (a logistic model over tag group, class names, text and link lengths, place), each parent-child edge one from
-how often labels follow each other down the tree. One upward and one downward pass give every node's exact marginal;
-blocks whose node is content with a probability of 1/2 or more make up the text.
+features (a logistic model over tag group, kinds of class names, text and link lengths, place), each parent-child edge
+one from how often labels follow each other down the tree. One upward and one downward pass give every node's exact
+marginal; blocks whose node is content with a probability of 1/2 or more make up the text.
 
 Labelled pages are a bounded sample of those that mark their article themselves: nodes in the only article or main
-element are content, unless they lie in an element that is furniture by its tag or name. What is learnt holds for
-pages without such marks, since tags count by group and names by their kind.
+element are content, unless a tag for furniture (nav, aside, form and the like) encloses them there. Names take no part
+in the labels; they are features, in two kinds: those that name furniture and those that may. What is learnt holds for
+pages without such marks, since tags count by group and names by their kind. Weights that the sample says nothing about
+stay where the prior puts them.
 
 Defined cases: null and empty pages have no text; text outside any element and unclosed or misnested tags are read as
-browsers roughly do; a comment, tag or script that never ends reaches to the end of the page; without labelled pages a
-fixed prior of the same form is used; rows that repeat each get their row; an empty table gives an empty result.
+browsers roughly do; a comment, tag or script that never ends reaches to the end of the page; pages of any depth and any
+number of unmatched tags take time in proportion to their length; without labelled pages a fixed prior of the same form
+is used; rows that repeat each get their row; columns other than page_id, url and html are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Bound of the sample of labelled pages.
-SAMPLE = 1_500
+#: Bounds of the sample of labelled pages: pages, bytes of a page, and nodes of a page, taken at even steps.
+SAMPLE, SAMPLE_BYTES, SAMPLE_NODES = 1_500, 1 << 18, 200
 #: Share of the nodes that counts as seen for every pair of labels, so that no edge is certain.
 UNSEEN = 0.02
 TOKEN = re.compile(
@@ -51,14 +55,21 @@ RAW = frozenset("script style".split())
 PLAIN = frozenset("title textarea".split())
 FURNITURE = frozenset("nav menu header footer aside dialog form button select textarea noscript iframe title head".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|foot\w*|masthead|top-?bar|cookies?|consent|notices?|popup|modal|share|social|related|recommend\w*|newsletter|subscribe|login|search|widget|comments?|replies|respond|disqus|pagination|pager|toolbar|tags|navigation|complementary|contentinfo)(?=$|[\s_-])", re.I)
+# Words in class names, ids and roles.
+_WORDS = r"(?:^|[\s_-])(?:{})(?=$|[\s_-])"
+BAD_NAME = re.compile(_WORDS.format(
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|side-?bar\w*|footer|masthead|top-?bar|cookies?|consent|notices?|popup|modal|related|recommend\w*"
+    r"|newsletter|subscribe|comments?|commentlist|replies|respond|responses|feedback|discussion|disqus|pagination|pager|toolbar|complementary|contentinfo"
+), re.I)
+DOUBTFUL_NAME = re.compile(_WORDS.format(r"share|sharing|social|login|search|widget|tags|meta|byline|author|info|teaser|box|links?|list"), re.I)
 HEAD_NAME = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|prose)(?=$|[\s_-])", re.I)
 
 _GROUP = {tag: name for name, tags in GROUPS.items() for tag in tags.split()}
 _KINDS = [*GROUPS, "other"]
 _WHOLE = frozenset("html body article main".split())  # names here tell of the layout, not of the element
-FEATURES = [*_KINDS, "good name", "bad name", "in furniture", "link share", "own length", "subtree length", "sentence", "depth", "place", "one"]
+_BLOCKS = frozenset(_GROUP)
+FEATURES = [*_KINDS, "good name", "bad name", "doubtful name", "under furniture tag", "under bad name", "link share", "own length", "subtree length", "sentence", "depth", "place", "one"]
 
 
 class Page:
@@ -69,6 +80,8 @@ class Page:
         self.own, self.links = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self._open: list[tuple[str, int]] = [("#page", 0)]
+        self._at: dict[str, list[int]] = {}  # by tag, where it stands in the stack of open elements
+        self._block_at: list[int] = []  # where block elements stand
         self._text: list[str] = []
         self._in_link = 0
         self._read(html)
@@ -91,25 +104,39 @@ class Page:
         """Close what is open from there on."""
         if any(node != self._open[at - 1][1] for _, node in self._open[at:]):
             self._flush()
-        self._in_link -= sum(tag == "a" for tag, _ in self._open[at:])
+        for tag, _ in reversed(self._open[at:]):
+            self._in_link -= tag == "a"
+            self._at[tag].pop()
+            if tag in _BLOCKS:
+                self._block_at.pop()
         del self._open[at:]
 
+    def _push(self, tag: str, node: int) -> None:
+        self._at.setdefault(tag, []).append(len(self._open))
+        if tag in _BLOCKS:
+            self._block_at.append(len(self._open))
+        self._open.append((tag, node))
+
+    def _last(self, tag: str) -> int:
+        held = self._at.get(tag)
+        return held[-1] if held else 0
+
     def _find(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> int:
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at][0] in tags:
-                return at
-            if self._open[at][0] in stop:
-                return 0
-        return 0
+        """Place of the innermost open element of `tags`, 0 if there is none or an element of `stop` is further in."""
+        found = max(map(self._last, tags))
+        barrier = (self._block_at[-1] if self._block_at else 0) if stop is _BLOCKS else max(map(self._last, stop), default=0)
+        return found if found >= barrier else 0
 
     def _start(self, tag: str, rest: str) -> None:
-        if tag == "br" or tag in VOID:
-            self._text.append(" " if tag in ("br", "hr", "wbr") and tag != "wbr" else "")
+        if tag in VOID:
+            if tag == "hr":  # a rule parts two blocks
+                self._flush()
+            self._text.append(" " if tag == "br" else "")
             return
         names = " ".join(a or b or c for _, a, b, c in NAMES.findall(rest)) if "=" in rest else ""
-        block = tag in _GROUP or bad_name(tag, names)
+        block = tag in _BLOCKS or bad_name(tag, names)
         if block:
-            if tag in _GROUP and (at := self._find(frozenset({"p"}), frozenset({"td", "th", "table", "button", "object"}))):
+            if tag in _BLOCKS and (at := self._find(frozenset({"p"}), frozenset({"td", "th", "table", "button", "object"}))):
                 self._close(at)
             if tag in CLOSES and (at := self._find(CLOSES[tag], frozenset({"ul", "ol", "dl", "table", "select"}))):
                 self._close(at)
@@ -119,10 +146,10 @@ class Page:
             self.names.append(names)
             self.own.append(0)
             self.links.append(0)
-            self._open.append((tag, len(self.tags) - 1))
+            self._push(tag, len(self.tags) - 1)
         else:
-            self._open.append((tag, self._open[-1][1]))
-            self._in_link += tag == "a"
+            self._push(tag, self._open[-1][1])
+        self._in_link += tag == "a"
 
     def _read(self, html: str) -> None:
         at = 0
@@ -136,7 +163,7 @@ class Page:
                     self._add(html[found.start() + 9 : at].removesuffix("]]>"), decode=False)
                 continue
             if found["close"] or found["close2"]:
-                stop = frozenset() if tag in _GROUP else frozenset(_GROUP)
+                stop = frozenset() if tag in _BLOCKS else _BLOCKS
                 if where := self._find(frozenset({tag}), stop):
                     self._close(where)
                 continue
@@ -163,14 +190,29 @@ def bad_name(tag: str, names: str) -> bool:
     return bool(BAD_NAME.search(names)) or bool(HEAD_NAME.search(names) and not GOOD_NAME.search(names))
 
 
-def furniture(page: Page) -> list[bool]:
-    """Nodes that are furniture by tag or name, or lie in such a node. A header within the article is part of it."""
-    found, within = [False] * len(page.tags), [False] * len(page.tags)
-    for i in range(1, len(page.tags)):
+def under(page: Page) -> tuple[list[bool], list[bool]]:
+    """Nodes that are, or lie in, an element that is furniture by its tag, and by its name.
+
+    A header within the article is part of it, and what encloses the only article or main element, or a form that holds
+    most of the page's text, is no furniture.
+    """
+    n = len(page.tags)
+    marks = [i for i, tag in enumerate(page.tags) if tag in ("article", "main")]
+    around, at = set(), marks[0] if len(marks) == 1 else -1
+    while at > 0:
+        at = page.parents[at]
+        around.add(at)
+    text = list(page.own)
+    for i in range(n - 1, 0, -1):
+        text[page.parents[i]] += text[i]
+    by_tag, by_name, within = [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
         tag, p = page.tags[i], page.parents[i]
         within[i] = within[p] or tag in ("article", "main")
-        found[i] = found[p] or (tag in FURNITURE and not (tag == "header" and within[i])) or bad_name(tag, page.names[i])
-    return found
+        whole = i in around or (tag == "form" and 2 * text[i] > text[0])
+        by_tag[i] = by_tag[p] or (tag in FURNITURE and not whole and not (tag == "header" and within[i]))
+        by_name[i] = by_name[p] or (not whole and bad_name(tag, page.names[i]))
+    return by_tag, by_name
 
 
 def features(page: Page) -> np.ndarray:
@@ -190,14 +232,15 @@ def features(page: Page) -> np.ndarray:
     base = len(_KINDS)
     rows[:, base] = [bool(x and GOOD_NAME.search(x)) for x in page.names]
     rows[:, base + 1] = [bad_name(t, x) for t, x in zip(page.tags, page.names, strict=True)]
-    rows[:, base + 2] = furniture(page)
-    rows[:, base + 3] = np.array(links) / np.maximum(text, 1)
-    rows[:, base + 4] = np.log1p(page.own) / 10
-    rows[:, base + 5] = np.log1p(text) / 10
-    rows[:, base + 6] = [x in ".!?…\"" and x != "" for x in last]
-    rows[:, base + 7] = np.array(depth) / 10
-    rows[:, base + 8] = np.arange(n) / n
-    rows[:, base + 9] = 1
+    rows[:, base + 2] = [bool(x and t not in _WHOLE and DOUBTFUL_NAME.search(x)) for t, x in zip(page.tags, page.names, strict=True)]
+    rows[:, base + 3], rows[:, base + 4] = under(page)
+    rows[:, base + 5] = np.array(links) / np.maximum(text, 1)
+    rows[:, base + 6] = np.log1p(page.own) / 10
+    rows[:, base + 7] = np.log1p(text) / 10
+    rows[:, base + 8] = [x in ".!?…\"" and x != "" for x in last]
+    rows[:, base + 9] = np.minimum(np.array(depth), 30) / 10
+    rows[:, base + 10] = np.arange(n) / n
+    rows[:, base + 11] = 1
     return rows
 
 
@@ -206,18 +249,19 @@ def marked_labels(page: Page) -> list[int] | None:
     marks = [i for i, tag in enumerate(page.tags) if tag in ("article", "main")]
     if len(marks) != 1:
         return None
-    inside, bad = [0] * len(page.tags), furniture(page)
+    inside, by_tag = [0] * len(page.tags), under(page)[0]
     for i in range(1, len(page.tags)):
-        inside[i] = int((i == marks[0] or inside[page.parents[i]] == 1) and not bad[i])
+        inside[i] = int((i == marks[0] or inside[page.parents[i]] == 1) and not by_tag[i])
     return inside
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the node potential and the 2 x 2 edge potentials P(child | parent).
 
-    The nodes of `sample` pages, least hash of the id first, are gathered: a bounded number of small rows.
+    At most SAMPLE_NODES nodes of `sample` pages of at most SAMPLE_BYTES bytes, least hash of the id first, are gathered:
+    a bounded number of small rows.
     """
-    chosen = checkpoint(pages.filter(F.lower("html").rlike("<(article|main)[\\s>]")).select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(sample))
+    chosen = checkpoint(pages.filter(F.lower("html").rlike("<(article|main)[\\s>]") & (F.octet_length("html") <= SAMPLE_BYTES)).select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(sample))
     picked = pages.select("page_id", "html").join(F.broadcast(chosen.select("page_id").distinct()), "page_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,8 +270,10 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]
                 page = Page(html or "")
                 labels = marked_labels(page)
                 if labels is not None:
+                    at = np.unique(np.linspace(0, len(labels) - 1, min(len(labels), SAMPLE_NODES)).astype("i8"))
                     above = [0, *(labels[p] for p in page.parents[1:])]
-                    yield pd.DataFrame({"page_id": [page_id], "x": [features(page).tobytes()], "y": [bytes(labels)], "above": [bytes(above)]})
+                    picked_bytes = [bytes(np.array(x, "u1")[at]) for x in (labels, above)]
+                    yield pd.DataFrame({"page_id": [page_id], "x": [features(page)[at].tobytes()], "y": picked_bytes[:1], "above": picked_bytes[1:]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = sorted(picked.mapInPandas(run, f"page_id {kind}, x binary, y binary, above binary").collect(), key=lambda r: (r["page_id"], r["x"]))
@@ -254,7 +300,7 @@ def prior() -> tuple[np.ndarray, np.ndarray]:
     """Weights before any page is seen."""
     known = {
         "article": 3.0, "paragraph": 2.0, "heading": 1.0, "nav": -4.0, "header": -4.0, "footer": -4.0, "aside": -4.0, "form": -4.0, "page": -2.0,
-        "good name": 2.0, "bad name": -4.0, "in furniture": -8.0, "link share": -3.0, "sentence": 1.0,
+        "good name": 2.0, "bad name": -2.0, "doubtful name": -1.5, "under furniture tag": -8.0, "under bad name": -8.0, "link share": -3.0, "own length": 1.0, "sentence": 1.0,
     }
     return np.array([known.get(f, 0.0) for f in FEATURES]), np.array([[0.9, 0.1], [0.1, 0.9]])
 

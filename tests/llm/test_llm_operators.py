@@ -349,6 +349,61 @@ def test_main_text(spark):
         html_text.main_text(odd, *html_text.prior())
 
 
+PARAGRAPHS = ["The first paragraph tells at some length what this page is about.", "A second one goes on with the story, and ends it here."]
+#: Pages that a plain list of names and tags gets wrong: (article body or page, text expected of it).
+HARD = [
+    ("<article><h1>Head</h1><p>{0}</p><p class='search'>{1}</p></article>", "Head\n{0}\n{1}"),
+    ("<article><p class='tags-of-history'>{0}</p><p>{1}</p></article>", "{0}\n{1}"),
+    ("<article><p>{0}</p><p>{1}</p><div class='user-feedback'><p>Nice one, thank you for it all!</p><p>I disagree with all of this.</p></div></article>", "{0}\n{1}"),
+    ("<form><nav><a href=/>Home</a></nav><article><p>{0}</p><p>{1}</p></article><input name=q></form>", "{0}\n{1}"),
+    ("<article><div class='elementor-widget'><p>{0}</p></div><div class='widget text-box'><p>{1}</p></div></article>", "{0}\n{1}"),
+    ("<article><p>{0}</p>loose words here.<hr>{1}</article>", "{0}\nloose words here.\n{1}"),
+    ("<div class='has-side-bar sidebar'><article><p>{0}</p><p>{1}</p></article></div>", "{0}\n{1}"),
+    ("<article><p>{0}</p><aside>An aside in it.</aside><form><label>Mail</label><button>Send</button></form><p>{1}</p></article>", "{0}\n{1}"),
+    ("<article><p>{0}</p><ol class='footnotes'><li>{1}</li></ol></article>", "{0}\n{1}"),
+    ("<div id=content><p>{0}</p><p>{1}</p></div><div class='cookie notice'>We use cookies on this site.</div>", "{0}\n{1}"),
+]
+
+
+def plain_rule(markup):
+    """What a list of names and tags alone would keep."""
+    names = re.compile(r"(?:^|[\s_-])(?:ads?|nav|menu|side-?bar|foot\w*|cookies?|notice|comments?|search|widget|tags|share|related)(?=$|[\s_-])", re.I)
+    page = html_text.Page(markup)
+    bad = [False] * len(page.tags)
+    for i in range(1, len(page.tags)):
+        bad[i] = bad[page.parents[i]] or page.tags[i] in html_text.FURNITURE or bool(names.search(page.names[i]))
+    return "\n".join(text for node, text in page.blocks if not bad[node])
+
+
+def test_main_text_beats_a_rule_of_names(spark):
+    usual = "<nav><ul><li><a href=/a>menu</a></li></ul></nav><div class=ad>Buy this.</div><article><h1>Title {2}</h1><p>{0}</p><p>{1}</p></article><footer>all rights</footer>"
+    rows = [(i, "u", usual.format(*PARAGRAPHS, i)) for i in range(200)]
+    rows += [(1000 + i, "u", markup.format(*PARAGRAPHS)) for i, (markup, _) in enumerate(HARD)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    right = [got[1000 + i] == text.format(*PARAGRAPHS) for i, (_, text) in enumerate(HARD)]
+    by_rule = [plain_rule(markup.format(*PARAGRAPHS)) == text.format(*PARAGRAPHS) for markup, text in HARD]
+    assert all(right), [got[1000 + i] for i, ok in enumerate(right) if not ok]
+    assert sum(by_rule) <= 3
+    # The messages matter: by its own potential alone some node would be judged otherwise.
+    weights, edges = html_text.prior()
+    alone = 0
+    for markup, _ in HARD:
+        page = html_text.Page(markup.format(*PARAGRAPHS))
+        odds = (html_text.features(page) @ weights).tolist()
+        alone += sum(bool(o > 0) != (m >= 0.5) for o, m in zip(odds, html_text.marginals(page.parents, odds, edges), strict=True))
+    assert alone > 0
+
+
+def test_deep_and_unmatched_pages_take_linear_time():
+    import time
+
+    for markup in ("<div>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "</p>" * 50_000, "<p>" * 100_000, "<li>" * 100_000, "<a '" * 50_000, "<td>" * 50_000 + "<p>" * 50_000):
+        began = time.perf_counter()
+        html_text.Page(markup)
+        assert time.perf_counter() - began < 3
+    assert html_text.main_text("<div>" * 20_000 + "deep words." + "</div>" * 20_000, *html_text.prior()) in ("deep words.", "")
+
+
 def test_token_counts(spark, texts):
     scores = {token_counts.MARK: -1.0, **{token_counts.MARK + w: -3.0 for w in ("w1", "w", "same")}, "w": -2.0, "1": -2.5, "2": -2.0, "12": -2.2, "am": -1.0, "s": -1.1, "e": -1.0, "o": -2.0, "n": -2.0, "on": -5.0}
 
