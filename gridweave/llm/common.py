@@ -178,12 +178,13 @@ def join_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return docs.join(sized(checkpoint(right)), same, how)
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id and text key are in `rows`; one of those that share both.
+def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose doc_id and text key aren't in `rows`; of those that share both, one stays.
 
-    Texts move only for ids that several rows share, which a light count finds first.
+    What is dropped is the smaller side as a rule, and joins by broadcast within the bound. Texts move besides only for
+    ids that several rows share, which a light count finds first.
     """
-    held = join_rows(with_text_key(docs), rows.select("doc_id", *TEXT_KEY).distinct(), "left_semi")
+    held = join_rows(with_text_key(docs), rows.select("doc_id", *TEXT_KEY).distinct(), "left_anti")
     shared = checkpoint(docs.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
     if shared.isEmpty():
         return held.drop(*TEXT_KEY)

@@ -150,10 +150,15 @@ def _latent(rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, proje
 def vote(cosines: np.ndarray, y: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Share of label 1 among the nearest, weighted by similarity; the overall share where nothing is similar."""
     k = min(neighbours, len(y))
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0.0) ** SHARPNESS
-    total = weight.sum(axis=1)
-    return np.divide((weight * y[near]).sum(axis=1), total, out=np.full(len(total), y.mean(), "f8"), where=total > 1e-12)
+    least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+    above, ties = cosines > least, cosines == least
+    # Of the ties for the last places, those of lower position.
+    near = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    row, at = np.nonzero(near)
+    weight = np.maximum(cosines[row, at].astype("f8"), 0.0) ** SHARPNESS
+    total = np.bincount(row, weight, len(cosines))
+    voted = np.bincount(row, weight * y[at], len(cosines))
+    return np.divide(voted, total, out=np.full(len(total), float(y.mean())), where=total > 1e-12)
 
 
 def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Callable[[list[str | None]], np.ndarray]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, checkpoint, keep_rows, with_text_key
+from .common import TEXT_KEY, checkpoint, drop_rows, with_text_key
 from .components import components
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
@@ -216,5 +216,6 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each component one row, all columns: that of its least doc_id (null last) and then of the least text hash."""
     placed = _placed(with_text_key(docs), DISTANCE, SHINGLE, BUCKET, TEXT_KEY)
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *TEXT_KEY)).alias("best"))
-    return keep_rows(docs, best.select("best.doc_id", *(f"best.{c}" for c in TEXT_KEY)))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *TEXT_KEY)
+    best = checkpoint(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("best")).filter("n > 1"))
+    return drop_rows(docs, placed.join(best, "root").filter(~row.eqNullSafe(F.col("best"))).select("doc_id", *TEXT_KEY))

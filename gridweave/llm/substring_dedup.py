@@ -1,10 +1,12 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-Level one looks at windows of half the wanted length. Of every whole window only the half window of least hash is
-looked at, an anchor that equal windows share wherever they stand, so a few hundredths of all positions are shuffled.
-Windows whose anchor occurs in one document alone cannot repeat and are dropped. What survives is extended to twice
-the length: those windows' 128-bit hashes are grouped, and the first document of each is found. Doubling ends there,
-or earlier if no candidates survive. Last, each document removes the words under windows that start in an earlier one.
+Lengths double from level to level up to the wanted one. Of every window of the wanted length, a level below looks only
+at the shorter window of least hash in it, an anchor that equal windows share wherever they stand, so a few hundredths
+of all positions are shuffled where documents differ. Windows whose anchor occurs in one document alone cannot repeat
+and are dropped; those that are left go on to twice the length, until none are left or the wanted length is reached.
+There the windows' 128-bit hashes (two polynomials over 128-bit digests of the words) are grouped, and the first document
+of each is found. Longer levels would add nothing to what is covered. Last, each document removes the words under windows
+that start in an earlier one.
 
 Defined cases: null texts have no words; texts shorter than a window lose nothing; a window that repeats within one
 document only is kept; no row is smaller than another of the same doc_id, but each loses only words of its own text;
@@ -20,12 +22,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpoint
 
 WINDOW = 50
+#: Length of the first level, or up to twice that.
+FIRST = 25
 #: Odd multipliers of the two rolling hashes, and their inverses modulo 2**64.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSE = tuple(pow(x, -1, 1 << 64) for x in _ODD)
@@ -55,15 +60,32 @@ def window_hashes(hashes: np.ndarray, length: int, base: int, inverse: int) -> n
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each window, the least hash of the half windows in it."""
-    half = window_hashes(hashes, window // 2, _ODD[0], _INVERSE[0])
-    span = window - window // 2 + 1
-    width, least = 1, half
+def levels(window: int, first: int = FIRST) -> list[int]:
+    """Lengths of the levels: halves down to `first` words, at least one half."""
+    lengths = [window]
+    while lengths[0] > 1 and (len(lengths) == 1 or lengths[0] >= 2 * first):
+        lengths.insert(0, lengths[0] // 2)
+    return lengths
+
+
+def anchors(hashes: np.ndarray, window: int, length: int) -> np.ndarray:
+    """For each window, the least hash of the windows of `length` words in it."""
+    parts = window_hashes(hashes, length, _ODD[0], _INVERSE[0])
+    span = window - length + 1
+    width, least = 1, parts
     while 2 * width <= span:  # minima over twice the width
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    return np.minimum(least[: len(half) - span + 1], least[span - width :]) if len(half) >= span else np.empty(0, "u8")
+    return np.minimum(least[: len(parts) - span + 1], least[span - width :]) if len(parts) >= span else np.empty(0, "u8")
+
+
+def _candidates(hashes: np.ndarray, window: int, alive: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Starts of the windows whose anchors are alive on all of these levels, given as (length, sorted anchors)."""
+    left = np.ones(max(len(hashes) - window + 1, 0), bool)
+    for length, held in alive:
+        least = anchors(hashes, window, length)
+        left &= held[np.minimum(np.searchsorted(held, least), len(held) - 1)] == least if len(held) else False
+    return np.flatnonzero(left)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -96,8 +118,20 @@ def _joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(_small(right) if "first" in rows.columns else right, same, "left").drop(*(f"__of_{c}" for c in names))
 
 
-def half_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor long, doc_id, KEY if `docs` has it): the anchors of each document, each once."""
+class Alive:
+    """Anchors that are alive by level: sorted arrays that are broadcast, or lists that the rows carry in columns."""
+
+    def __init__(self) -> None:
+        self.broadcasts: list[tuple[int, Broadcast]] = []
+        self.columns: list[tuple[int, str]] = []
+
+    def of(self, batch: pa.RecordBatch, i: int) -> list[tuple[int, np.ndarray]]:
+        mine = [(length, batch.column(c)[i].as_py() or ()) for length, c in self.columns]
+        return [(n, held.value) for n, held in self.broadcasts] + [(n, np.sort(np.array(x, "i8").view("u8"))) for n, x in mine]
+
+
+def anchor_rows(docs: DataFrame, window: int, length: int, alive: Alive) -> DataFrame:
+    """(anchor long, doc_id, KEY if `docs` has it): the anchors of each document's candidates at that length, each once."""
     names = _named(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +140,18 @@ def half_windows(docs: DataFrame, window: int) -> DataFrame:
             for i, text in enumerate(batch.column("text")):
                 words = _words(text.as_py())
                 if len(words) >= window:
-                    found.append(np.unique(anchors(_word_hashes(words)[:, 0], window)))
+                    hashes = _word_hashes(words)[:, 0]
+                    found.append(np.unique(anchors(hashes, window, length)[_candidates(hashes, window, alive.of(batch, i))]))
                     ids.append(np.full(len(found[-1]), i))
             if found:
                 at = pa.array(np.concatenate(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("i8")), *(batch.column(c).take(at) for c in names)], ["anchor", *names])
 
-    return docs.select("text", *names).mapInArrow(run, f"anchor long, {_kinds(docs)}")
+    return docs.select("text", *names, *(c for _, c in alive.columns)).mapInArrow(run, f"anchor long, {_kinds(docs)}")
 
 
-def whole_windows(docs: DataFrame, window: int, alive: object = None) -> DataFrame:
-    """(h1, h2, at, doc_id, KEY if `docs` has it): windows whose anchor is alive, by the broadcast sorted array or the column `alive`."""
+def whole_windows(docs: DataFrame, window: int, alive: Alive) -> DataFrame:
+    """(h1, h2, at, doc_id, KEY if `docs` has it): the windows that are candidates on all levels below."""
     names = _named(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +161,8 @@ def whole_windows(docs: DataFrame, window: int, alive: object = None) -> DataFra
                 words = _words(text.as_py())
                 if len(words) < window:
                     continue
-                if alive is not None:
-                    held = alive.value
-                elif (mine := batch.column("alive")[i].as_py()) is None:
-                    continue
-                else:
-                    held = np.sort(np.array(mine, "i8").view("u8"))
                 hashes = _word_hashes(words)
-                least = anchors(hashes[:, 0], window)
-                where = np.minimum(np.searchsorted(held, least), max(len(held) - 1, 0))
-                at = np.flatnonzero(held[where] == least) if len(held) else np.empty(0, "i8")
+                at = _candidates(hashes[:, 0], window, alive.of(batch, i))
                 if len(at):
                     pair = [window_hashes(hashes[:, k], window, _ODD[k], _INVERSE[k])[at] for k in (0, 1)]
                     out.append((*pair, np.full(len(at), i), at))
@@ -144,7 +171,7 @@ def whole_windows(docs: DataFrame, window: int, alive: object = None) -> DataFra
                 named = [batch.column(c).take(pa.array(ids)) for c in names]
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view("i8")), pa.array(h2.view("i8")), pa.array(at, pa.int32()), *named], ["h1", "h2", "at", *names])
 
-    return docs.mapInArrow(run, f"h1 long, h2 long, at int, {_kinds(docs)}")
+    return docs.select("text", *names, *(c for _, c in alive.columns)).mapInArrow(run, f"h1 long, h2 long, at int, {_kinds(docs)}")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -152,15 +179,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, broadcast_rows: int
 
     `docs` come from `told_apart`.
     """
-    names = _named(docs)
-    level = half_windows(docs, window)
-    survivors = checkpoint(level.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    if survivors.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        held = np.sort(np.array(survivors.toPandas()["anchor"], "i8").view("u8"))
-        windows = whole_windows(docs, window, docs.sparkSession.sparkContext.broadcast(held))
-    else:
-        mine = level.join(survivors, "anchor", "left_semi").groupBy(*names).agg(F.collect_list("anchor").alias("alive"))
-        windows = whole_windows(_joined(docs, mine), window)
+    names, alive, left = _named(docs), Alive(), docs
+    for length in levels(window)[:-1]:
+        rows = anchor_rows(left, window, length, alive)
+        survivors = checkpoint(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+        n = survivors.limit(broadcast_rows + 1).count()
+        if n <= broadcast_rows:
+            held = np.sort(np.array(survivors.toPandas()["anchor"], "i8").view("u8"))
+            alive.broadcasts.append((length, docs.sparkSession.sparkContext.broadcast(held)))
+        else:
+            name = f"alive_{length}"
+            mine = rows.join(survivors, "anchor", "left_semi").groupBy(*names).agg(F.collect_list("anchor").alias(name))
+            left = _joined(left, mine)
+            alive.columns.append((length, name))
+        if not n:
+            break
+    windows = whole_windows(left, window, alive)
     ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("open")]
     repeats, after = "(first < last OR first IS NOT NULL AND open)", "(doc_id > first OR doc_id IS NULL AND first IS NOT NULL)"
     if KEY in names:  # rows without a doc_id, among themselves
