@@ -1,4 +1,4 @@
-"""Folds, maps and sorts over lists in a column, and folds of a whole column."""
+"""Folds, sorts and look-ups over lists and maps in a column, and folds of a whole column."""
 
 from __future__ import annotations
 
@@ -72,3 +72,37 @@ def unique_list(items: Column) -> Column:
 def duplicated_list(items: Column) -> Column:
     """Per item, whether it occurs before."""
     return F.transform(items, lambda x, i: F.coalesce(F.array_position(items, x) <= i, F.lit(False)))
+
+
+def reverse(items: Column) -> Column:
+    return F.reverse(items)
+
+
+def item(items: Column, at: Column | int, kind: str) -> Column:
+    """One item, 0-based, from the end if negative; out of range is an error when the rows are read."""
+    at = (F.lit(at) if isinstance(at, int) else at).cast("int")
+    n = F.size(items)
+    bad = F.raise_error(F.lit("E106: index out of range")).cast(kind)
+    return F.when((at >= n) | (at < -n), bad).otherwise(F.get(items, F.when(at < 0, at + n).otherwise(at)))
+
+
+def items_at(items: Column, at: Column, kind: str) -> Column:
+    """The items at a list of indexes, repeats and order kept."""
+    return F.transform(at, lambda i: item(items, i, kind))
+
+
+def entry(entries: Column, key: Column, kind: str) -> Column:
+    """A map's value; a missing key is an error when the rows are read."""
+    bad = F.raise_error(F.concat(F.lit("E106: no key "), key.cast("string"))).cast(kind)
+    return F.when(F.map_contains_key(entries, key), F.try_element_at(entries, key)).otherwise(bad)
+
+
+def entry_or(entries: Column, key: Column, default: Column) -> Column:
+    """A map's value, even if that is null, or the default where the key is missing."""
+    return F.when(F.map_contains_key(entries, key), F.try_element_at(entries, key)).otherwise(default)
+
+
+def update(left: Column, right: Column) -> Column:
+    """Both maps' entries; the right one's values win, keys stay where they first stood."""
+    kept = F.map_zip_with(left, left, lambda k, a, b: F.when(F.map_contains_key(right, k), F.try_element_at(right, k)).otherwise(a))
+    return F.map_concat(kept, F.map_filter(right, lambda k, v: ~F.map_contains_key(left, k)))

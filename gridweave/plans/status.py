@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 STATUSES = ("NOTSTARTED", "RUNNING", "FINISHED", "ERROR", "BLOCKED", "INTERRUPTED")
 RECORD = "schema int, status string, step string, row bigint, started_at timestamp, finished_at timestamp, duration double, exit_code int, error string"
 
+MANIFEST = "run_id string, work array<struct<step: string, `row`: bigint, `values`: map<string, string>>>"
+
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=RECORD, multiLine=True, recursiveFileLookup=True)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, step, row, values) of every workpackage of the runs whose manifests lie at `path`; values are texts."""
+    runs = spark.read.json(path, schema=MANIFEST, multiLine=True, recursiveFileLookup=True)
+    return runs.select("run_id", F.explode("work").alias("w")).select("run_id", "w.step", "w.row", "w.values")
+
+
 def pivot(records: DataFrame) -> DataFrame:
     """Per step and in all (step null): counts by status, their total and the summed duration; one pass."""
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]

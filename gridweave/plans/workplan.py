@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.positions import POS, densify
-from ..functions.values import GridError
+from ..functions.values import GridError, text
 from ..operators.grid import Grid, _pk
 
 
@@ -33,6 +33,24 @@ class Step:
     name: str
     imports: tuple[Import, ...] = ()
     after: tuple[str, ...] = ()
+    #: How many of its rows a caller may run at a time, 0 for any number; a plan only checks it.
+    nproc: int = 0
+
+
+def as_grid(spark: SparkSession, value: object, name: str = "value") -> Grid:
+    """What a step can import: a grid as it is, a dictionary as columns, a list as rows of one column, a scalar as one row.
+
+    Items that are no scalars enter as their text. Anything else is an error.
+    """
+    if isinstance(value, Grid):
+        return value
+    if isinstance(value, dict):
+        return Grid.table(spark, **value)
+    if value is None or callable(value):
+        raise GridError("E420", f"{name} can't be imported")
+    if isinstance(value, (list, tuple, range)):
+        return Grid.table(spark, **{name: [x if isinstance(x, (bool, int, float, str)) else text(x) for x in value]})
+    return Grid.table(spark, **{name: value})
 
 
 @dataclass
@@ -50,6 +68,8 @@ def topological(steps: Sequence[Step]) -> list[str]:
         raise GridError("E211", "duplicate step")
     if missing := [d for s in steps for d in s.after if d not in known]:
         raise GridError("E212", f"unknown dependency {missing}")
+    if negative := [s.name for s in steps if s.nproc < 0]:
+        raise GridError("E219", f"negative nproc in {negative}")
     done: list[str] = []
 
     def visit(name: str, path: tuple[str, ...]) -> None:

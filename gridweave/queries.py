@@ -231,6 +231,30 @@ def sort_lists(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", folds.sort_list(words).alias("rising"), folds.sort_list(words, lambda a, b: a > b).alias("falling"))
 
 
+@query("SELECT vec_id, CAST(embedding[-1] AS DOUBLE) AS last, CAST(embedding[vec_id % 3 + 1] AS DOUBLE) AS picked, list_reverse(embedding)[1] = embedding[-1] AS turned, len([embedding[1], embedding[1], embedding[-2]]) AS n FROM embeddings")
+def list_items(s: SparkSession, d: str) -> DataFrame:
+    items = F.col("embedding")
+    return _t(s, d, "embeddings").select(
+        "vec_id", folds.item(items, -1, "float").cast("double").alias("last"), folds.item(items, F.col("vec_id") % 3, "float").cast("double").alias("picked"),
+        (folds.item(folds.reverse(items), 0, "float") == folds.item(items, -1, "float")).alias("turned"),
+        V.length(folds.items_at(items, F.array(F.lit(0), F.lit(0), F.lit(-2)), "float"), "array<float>").alias("n"),
+    )
+
+
+@query("SELECT event_id, event_id % 4 AS a, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 7 END AS b, CAST(-1 AS BIGINT) AS c, ['a', 'b'] AS names FROM events")
+def map_entries(s: SparkSession, d: str) -> DataFrame:
+    left = F.create_map(F.lit("a"), F.col("event_id") % 4, F.lit("b"), F.lit(7).cast("long"))
+    right = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), F.col("event_id"))).otherwise(F.create_map().cast("map<string,bigint>"))
+    rows = _t(s, d, "events").select("event_id", folds.update(left, right).alias("m"))
+    get = lambda k: folds.entry(F.col("m"), F.lit(k), "bigint").alias(k)
+    return rows.select("event_id", get("a"), get("b"), folds.entry_or(F.col("m"), F.lit("c"), F.lit(-1).cast("long")).alias("c"), F.map_keys("m").alias("names"))
+
+
+@query("SELECT list(r_name ORDER BY r_regionkey) AS r_name, list(r_regionkey ORDER BY r_regionkey) AS r_regionkey FROM region")
+def grid_lists(s: SparkSession, d: str) -> DataFrame:
+    return _region(s, d).lists()
+
+
 @query("SELECT event_id, [event_id % 3, event_id % 2, event_id % 4] AS v, list_distinct(v) IS NOT NULL AS known, [false, v[2] = v[1], v[3] = v[1] OR v[3] = v[2]] AS again FROM events")
 def duplicated_lists(s: SparkSession, d: str) -> DataFrame:
     rows = _t(s, d, "events").select("event_id", F.array(*(F.col("event_id") % k for k in (3, 2, 4))).alias("v"))
@@ -481,6 +505,12 @@ def plan_lineage(s: SparkSession, d: str) -> DataFrame:
     return workplan.build(steps).states["s1"].select("r_name", "n_name", "row", F.size("__rows_g").alias("sources"))
 
 
+@query("SELECT v.k AS letters, r_name FROM region, (SELECT unnest(['x', 'y']) AS k) v")
+def plan_import_values(s: SparkSession, d: str) -> DataFrame:
+    steps = [Step("s", (Import("letters", workplan.as_grid(s, ["x", "y"], "letters")), Import("r", _region(s, d), ("r_name",))))]
+    return workplan.build(steps).states["s"].select("letters", "r_name")
+
+
 @query("SELECT CAST(a.r_regionkey * 5 + b.r_regionkey AS BIGINT) AS row, a.r_regionkey, b.r_name FROM region a CROSS JOIN region b")
 def plan_diamond(s: SparkSession, d: str) -> DataFrame:
     region = _region(s, d)

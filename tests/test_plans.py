@@ -65,6 +65,22 @@ def test_imports_of_one_step_meet_freely(spark):
     assert plan.states["s"].count() == 9
 
 
+def test_values_become_grids(spark):
+    assert workplan.as_grid(spark, 3, "n").rows() == [{"n": 3}]
+    assert workplan.as_grid(spark, [[1, 2], "x"], "n").rows() == [{"n": "[1,2]"}, {"n": "x"}]
+    assert workplan.as_grid(spark, {"a": [1, 2], "b": "x"}).rows() == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
+    for bad in (None, len):
+        with pytest.raises(GridError, match="E420"):
+            workplan.as_grid(spark, bad)
+    with pytest.raises(GridError, match="E219"):
+        workplan.build([Step("s", (Import("g", workplan.as_grid(spark, 1)),), nproc=-1)])
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"run_id": "000001", "steps": [{"name": "s0"}], "work": [{"step": "s0", "row": 0, "values": {"a": "1"}}, {"step": "s0", "row": 1, "values": {"a": "2"}}]}')
+    assert [(r.run_id, r.step, r.row, r["values"]) for r in status.read_manifest(spark, str(tmp_path)).orderBy("row").collect()] == [("000001", "s0", 0, {"a": "1"}), ("000001", "s0", 1, {"a": "2"})]
+
+
 def test_plan_errors(spark):
     a = Grid.table(spark, a=[1])
     for steps, code in (
