@@ -195,8 +195,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose own text is predicted good, all columns; doc_ids play no part in it."""
     score = scorer(docs, labels)
 
+    @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(score(list(texts)))
 
-    return docs.filter(F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.coalesce("text", F.lit(""))) >= THRESHOLD)
+    return docs.filter(run(F.coalesce("text", F.lit(""))) >= THRESHOLD)

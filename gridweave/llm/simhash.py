@@ -121,10 +121,11 @@ def _flips(bits: list[int], most: int) -> list[tuple[int, int]]:
     return [(k, _masked(list(c))) for k in range(most + 1) for c in combinations(bits, k)]
 
 
-def candidate_cost(n: int, both: np.ndarray, group: list[int], pairs: float, threshold: int) -> float:
-    """Estimated index rows, probes and candidates of one part; `pairs`: measured ordered pairs with equal value.
+def candidate_cost(n: int, both: np.ndarray, group: list[int], pairs: float, threshold: int, crowded: float = 0.0, distance: int = DISTANCE) -> float:
+    """Estimated index rows, probes, candidates and look-ups of one part.
 
-    Mismatches follow the bits' own rates; the measured pairs correct for how the part's bits hang together.
+    `pairs`: measured ordered pairs of equal value that are paired off; `crowded`: fingerprints with a value that too
+    many share. Mismatches follow the bits' own rates; the measured pairs correct for how the part's bits hang together.
     """
     if threshold < 0:
         return 0.0
@@ -137,7 +138,9 @@ def candidate_cost(n: int, both: np.ndarray, group: list[int], pairs: float, thr
         near[0] *= 1 - d
     lift = pairs / max(near[0] * n * n, 1e-300)
     probes = sum(math.comb(len(group), k) for k in range(threshold + 1))
-    return n * (1.0 + probes) + min(float(n) * n, lift * near.sum() * n * n)
+    others = BITS - len(group)
+    moves = sum(math.comb(len(group), used) * math.comb(others, k) for used in range(threshold + 1) for k in range(distance - used + 1))
+    return n * (1.0 + probes) + min(float(n) * n, lift * near.sum() * n * n) + crowded * moves
 
 
 def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
@@ -153,18 +156,20 @@ def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int
     return best[total]
 
 
-def plan_parts(prints: DataFrame, distance: int = DISTANCE, parts: tuple[int, ...] = PARTS) -> list[tuple[list[int], int]]:
+def plan_parts(prints: DataFrame, distance: int = DISTANCE, parts: tuple[int, ...] = PARTS, bucket: int = BUCKET) -> list[tuple[list[int], int]]:
     """The probed parts as (bits, threshold), by least estimated cost over all numbers of parts."""
     n, both = bit_statistics(prints)
     options = {m: group_bits(n, both, m) for m in parts}
     masks = [(m, k, _masked(g)) for m, groups in options.items() for k, g in enumerate(groups)]
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(mask).alias("value")) for i, (_, _, mask) in enumerate(masks))))
     equal = prints.select(values.alias("x")).groupBy("x.part", "x.value").count()
-    pairs = dict(equal.groupBy("part").agg(F.sum(F.col("count").cast("double") * F.col("count"))).collect())
+    quiet = F.sum(F.when(F.col("count") <= bucket, F.col("count").cast("double") * F.col("count")).otherwise(0.0))
+    shared = F.sum(F.when(F.col("count") > bucket, F.col("count")).otherwise(0))
+    sums = {part: (float(x), float(y)) for part, x, y in equal.groupBy("part").agg(quiet, shared).collect()}  # a row a part
     found = []
     for m, groups in options.items():
-        measured = [pairs.get(i, 0.0) for i, (mm, _, _) in enumerate(masks) if mm == m]
-        costs = [{t: candidate_cost(n, both, g, x, t) for t in range(-1, distance + 1)} for g, x in zip(groups, measured, strict=True)]
+        measured = [sums.get(i, (0.0, 0.0)) for i, (mm, _, _) in enumerate(masks) if mm == m]
+        costs = [{t: candidate_cost(n, both, g, x, t, y, distance) for t in range(-1, distance + 1)} for g, (x, y) in zip(groups, measured, strict=True)]
         found.append((*allocate(costs, distance - m + 1), groups))
     _, thresholds, groups = min(found, key=lambda x: x[0])
     return [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]
@@ -176,7 +181,7 @@ def close_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKE
     A pair may come in either or both orders. Nothing is left out: a value shared by more than `bucket` fingerprints is
     searched by looking up each member's possible neighbours in the table of fingerprints, at most 2,081 of them.
     """
-    plan = plan_parts(prints, distance, parts)
+    plan = plan_parts(prints, distance, parts, bucket)
     part = lambda k, value: F.struct(F.lit(k).alias("part"), value.alias("value"))
     index = prints.select("fp", F.explode(F.array(*(part(k, F.col("fp").bitwiseAND(_masked(g))) for k, (g, _) in enumerate(plan)))).alias("x"))
     index = index.select("x.part", "x.value", "fp")

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,18 @@ def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[ids, 1 << BITS], np.r_[x, 1.0]
 
 
+def _pass(start: Broadcast, step: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One pass over a shard in the order of this step, from the common state."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        z, n = (x.astype("f8") for x in start.value)
+        rows = rows.sort_values("doc_id").sample(frac=1, random_state=step)
+        ftrl([(*sparse(t), y) for t, y in zip(rows["text"], rows["y"], strict=True)], z, n)
+        return pd.DataFrame({"z": [z.astype("f4").tobytes()], "n": [n.astype("f4").tobytes()]})
+
+    return run
+
+
 def train(sample: DataFrame) -> np.ndarray:
     """Weights, the intercept last, from (doc_id, text, y)."""
     spark = sample.sparkSession
@@ -93,15 +106,8 @@ def train(sample: DataFrame) -> np.ndarray:
     dealt = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)).cast("int"))
     for step in range(ROUNDS):
         start = spark.sparkContext.broadcast((z.astype("f4"), n.astype("f4")))  # of fixed size
-
-        def run(rows: pd.DataFrame, *, start=start, step=step) -> pd.DataFrame:
-            z, n = (x.astype("f8") for x in start.value)
-            rows = rows.sort_values("doc_id").sample(frac=1, random_state=step)
-            ftrl([(*sparse(t), y) for t, y in zip(rows["text"], rows["y"], strict=True)], z, n)
-            return pd.DataFrame({"z": [z.astype("f4").tobytes()], "n": [n.astype("f4").tobytes()]})
-
         # A shard is a third of the bounded sample; a state has fixed size.
-        states = dealt.groupBy("shard").applyInPandas(run, "z binary, n binary").collect()
+        states = dealt.groupBy("shard").applyInPandas(_pass(start, step), "z binary, n binary").collect()
         start.destroy()
         if states:
             z, n = (np.mean([np.frombuffer(s[c], "f4").astype("f8") for s in states], axis=0) for c in ("z", "n"))
@@ -156,9 +162,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose own text isn't predicted toxic, all columns; doc_ids play no part in it."""
     start = scorer(docs.sparkSession, train(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE)))
 
+    @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = start()
         for texts in batches:
             yield pd.Series(score(texts))
 
-    return docs.filter(F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.coalesce("text", F.lit(""))) < THRESHOLD)
+    return docs.filter(run(F.coalesce("text", F.lit(""))) < THRESHOLD)

@@ -221,6 +221,21 @@ def test_contamination(spark, texts, block_rows):
     assert all(len(cleaned[i].split()) == x[0] - x[1] for i, x in expected.items() if x[1])
 
 
+def test_a_large_benchmark_lets_only_its_own_windows_through(spark):
+    draw = random.Random(21)
+    word = lambda: f"b{draw.randrange(10**9)}"
+    items = [(i, " ".join(word() for _ in range(2000))) for i in range(110)]
+    texts = [" ".join(f"d{draw.randrange(5000)}" for _ in range(300)) for _ in range(200)]
+    texts[7] += " " + " ".join(items[3][1].split()[100:120])
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), documents(spark, texts)
+    windows, _ = decontamination.benchmark_windows(bench)
+    assert windows.count() > 200_000
+    hits = decontamination.window_hits(docs.withColumn("key", F.col("doc_id")), windows, ["key"]).filter("pos > 0").collect()
+    assert [(r.key, r.pos) for r in sorted(hits, key=lambda r: r.pos)] == [(7, 301 + k) for k in range(8)]
+    report = {r.doc_id: (r.n_hit, list(r.item_ids)) for r in decontamination.contamination(docs, bench, block_rows=100_000).collect()}
+    assert report == {i: (20, ["3"]) if i == 7 else (0, []) for i in range(200)}
+
+
 def test_mixing(spark):
     draw = random.Random(3)
     texts = [" ".join(["w"] * draw.choice([1, 3, 10, 40, 200])) for _ in range(600)] + [None, "", "x"]
@@ -258,6 +273,31 @@ def test_mixing(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_mixing_carries_columns_of_any_name(spark):
+    names = ["mean", "target", "lam", "cut", "gap", "fillers", "source_size", "copies", "class", "left", "x.y"]
+    docs = documents(spark, ["a b c", "d", "e f g h", None] * 5).select("doc_id", "text", "source", *(F.lit(7).alias(n) for n in names))
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    taken = {r.doc_id: r.copies for r in mixing.copies(docs).collect()}
+    rows = mixed.collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in taken.items() if n})
+    assert all(set(r[3:]) == {7} for r in rows)
+
+
+def test_mixing_of_many_sources_and_of_shared_decisions(spark):
+    draw = random.Random(11)
+    texts = [" ".join(["w"] * draw.randrange(1, 40)) for _ in range(900)]
+    docs = documents(spark, texts, [f"s{i:03}" for i in range(300)])
+    rows = mixing.copies(docs).collect()
+    by_source = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        s = by_source[r.doc_id % 300]
+        s[0], s[1], s[2] = s[0] + r.copies * r["size"], r.target, s[2] + r["size"]
+    assert sum(t for _, t, _ in by_source.values()) == pytest.approx(sum(n for _, _, n in by_source.values()))
+    assert all(t <= 3 * n + 1e-6 for _, t, n in by_source.values())
+    assert sum(abs(x - t) for x, t, _ in by_source.values()) < 0.25 * sum(t for _, t, _ in by_source.values())  # three documents a source
+
+
 def test_radix_cut_is_the_weighted_quantile(spark):
     draw = random.Random(4)
     rows = [(p, draw.randrange(1 << 48) if draw.random() < 0.8 else 77, draw.randrange(1, 9)) for p in ("a", "b", None) for _ in range(200)]
@@ -294,6 +334,20 @@ def test_sharding(spark, texts, shards):
     assert all(len(s) == 1 for data, s in where.items() if weight[data.decode()] <= total / shards / 2)
 
 
+def test_sharding_keeps_groups_up_to_a_leaf_whole(spark):
+    leaf = 120
+    groups = [f"{chr(97 + k)}" * 99 for k in range(8)]  # 100 bytes a row
+    heavy = [g for g, n in zip(groups, (110, 90, 70, 60, 50, 40, 30, 20), strict=True) for _ in range(n)]
+    light = [f"{i:099}" for i in range(8 * leaf - len(heavy))]
+    rows = sharding.assign(documents(spark, heavy + light)).collect()
+    sizes, where = Counter(), defaultdict(set)
+    for r in rows:
+        sizes[r.shard] += r["size"]
+        where[r.crc].add(r.shard)
+    assert all(len(where[binascii.crc32(g.encode())]) == 1 for g in groups)
+    assert max(sizes.values()) <= 1.05 * leaf * 100 and min(sizes.values()) >= 0.95 * leaf * 100
+
+
 def test_sharding_splits_a_group_that_is_too_heavy(spark):
     rows = sharding.assign(documents(spark, ["heavy text " * 20] * 600 + [f"t{i} " * 20 for i in range(900)])).collect()
     sizes = Counter()
