@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .values import GridError, arithmetic, truthy
 
 Pair = Callable[[Column, Column], Column]
+#: Fixed value: the most items that a repetition may make.
+MOST_ITEMS = 1 << 20
 _START = {("+", "bigint"): 0, ("+", "double"): 0.0, ("+", "string"): "", ("*", "bigint"): 1, ("*", "double"): 1.0}
 
 
@@ -74,6 +76,30 @@ def duplicated_list(items: Column) -> Column:
     return F.transform(items, lambda x, i: F.coalesce(F.array_position(items, x) <= i, F.lit(False)))
 
 
+def as_list(c: Column, kind: str) -> Column:
+    """A list as it is, a single value as a list of one."""
+    if kind.startswith("map"):
+        raise GridError("E106", "a map is no list")
+    return c if kind.startswith("array") else F.array(c)
+
+
+def join_lists(*lists: Column) -> Column:
+    """The items of all lists, one list after the other."""
+    return F.concat(*lists)
+
+
+def repeat_list(items: Column, times: Column, kind: str) -> Column:
+    """A list of that kind, several times over; a negative number, or a result of over 2^20 items, is an error when the rows are read."""
+    bad = (times < 0) | (F.size(items).cast("long") * times > MOST_ITEMS)
+    failed = F.raise_error(F.lit("E106: a list can't be repeated so often")).cast(kind)
+    return F.when(bad, failed).otherwise(F.flatten(F.array_repeat(items, times.cast("int"))))
+
+
+def each(items: Column, step: Callable[[Column], Column]) -> Column:
+    """An operator on one operand for every item, in order."""
+    return F.transform(items, step)
+
+
 def reverse(items: Column) -> Column:
     return F.reverse(items)
 

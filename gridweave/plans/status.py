@@ -16,6 +16,11 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=RECORD, multiLine=True, recursiveFileLookup=True)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """As `read_status`, from files that hold one record a line, which many tasks can share."""
+    return spark.read.json(path, schema=RECORD, recursiveFileLookup=True)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, step, row, values) of every workpackage of the runs whose manifests lie at `path`; values are texts."""
     runs = spark.read.json(path, schema=MANIFEST, multiLine=True, recursiveFileLookup=True)
@@ -28,8 +33,8 @@ def pivot(records: DataFrame) -> DataFrame:
     return records.rollup("step").agg(*counts, F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("duration"))
 
 
-def final_status(records: DataFrame) -> DataFrame:
-    """INTERRUPTED before ERROR (or BLOCKED) before FINISHED."""
-    return records.agg(
+def final_status(records: DataFrame, *by: str) -> DataFrame:
+    """INTERRUPTED before ERROR (or BLOCKED) before FINISHED, of all records or per value of the columns `by`."""
+    return records.groupBy(*by).agg(
         F.when(F.bool_or(F.col("status") == "INTERRUPTED"), "INTERRUPTED").when(F.bool_or(F.col("status").isin("ERROR", "BLOCKED")), "ERROR").otherwise("FINISHED").alias("status")
     )

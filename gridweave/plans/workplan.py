@@ -8,24 +8,36 @@ filtered product. Parents whose positions have nothing in common still meet; onl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.positions import POS, densify
-from ..functions.values import GridError, text
+from ..functions.values import GridError, check_names, text
 from ..operators.grid import Grid, _pk
 
 
 @dataclass(frozen=True)
 class Import:
-    """Columns of a named grid; all of them (None) or a projection."""
+    """Columns of a named grid; all of them (None) or a projection. An alias shows a single column under another name."""
 
     source: str
     grid: Grid
     columns: tuple[str, ...] | None = None
+    alias: str | None = None
+
+    def shown(self) -> dict[str, str]:
+        """The grid's columns by the names they show."""
+        names = list(dict.fromkeys(self.columns or self.grid.columns))
+        if unknown := [c for c in names if c not in self.grid.columns]:
+            raise GridError("E021", f"{self.source} has no columns {unknown}")
+        if self.alias is None:
+            return {c: c for c in names}
+        if len(names) != 1:
+            raise GridError("E023", f"the alias {self.alias} stands for one column, not for {len(names)}")
+        return {check_names([self.alias])[0]: names[0]}
 
 
 @dataclass(frozen=True)
@@ -58,7 +70,8 @@ class Plan:
     steps: dict[str, Step]
     order: list[str]
     states: dict[str, DataFrame] = field(default_factory=dict)
-    columns: dict[str, dict[str, str]] = field(default_factory=dict)  # visible column -> source
+    columns: dict[str, dict[str, tuple[str, str]]] = field(default_factory=dict)  # visible column -> source and its column
+    analyses: dict[str, str] = field(default_factory=dict)  # analysis -> the step it reads
 
 
 def topological(steps: Sequence[Step]) -> list[str]:
@@ -85,19 +98,29 @@ def topological(steps: Sequence[Step]) -> list[str]:
     return done
 
 
-def _choices(imported: Import, inherited: set[str]) -> tuple[DataFrame, list[str], bool]:
+def _choices(imported: Import, inherited: set[str]) -> tuple[DataFrame, list[str]]:
     """(choice, columns, rows): one choice per row of a full import, or per distinct source rows of a projection."""
-    grid = imported.grid
-    columns = list(imported.columns or grid.columns)
-    fresh = [c for c in columns if c not in inherited]
-    projected = imported.columns is not None or len(fresh) < len(columns)
+    grid, shown = imported.grid, imported.shown()
+    fresh = {name: c for name, c in shown.items() if name not in inherited}
+    projected = imported.columns is not None or len(fresh) < len(shown)
     if not projected or grid.row_keyed is not None:
-        df = grid.densified().df.select(F.col(POS).alias("__choice"), *fresh, F.array(POS).alias("__rows"))
-        return df, fresh, projected
-    keys = [_pk(c) for c in fresh]
-    grouped = grid.densified().df.groupBy(*keys).agg(F.min(F.struct(POS, *fresh)).alias("first"), F.sort_array(F.collect_list(POS)).alias("__rows"))
-    chosen = densify(grouped.select(F.col(f"first.{POS}").alias(POS), *(F.col(f"first.{c}").alias(c) for c in fresh), "__rows"))
-    return chosen.withColumnRenamed(POS, "__choice"), fresh, True
+        cells = (F.col(c).alias(name) for name, c in fresh.items())
+        return grid.densified().df.select(F.col(POS).alias("__choice"), *cells, F.array(POS).alias("__rows")), list(fresh)
+    keys = [_pk(c) for c in fresh.values()]
+    grouped = grid.densified().df.groupBy(*keys).agg(F.min(F.struct(POS, *fresh.values())).alias("first"), F.sort_array(F.collect_list(POS)).alias("__rows"))
+    chosen = densify(grouped.select(F.col(f"first.{POS}").alias(POS), *(F.col(f"first.{c}").alias(name) for name, c in fresh.items()), "__rows"))
+    return chosen.withColumnRenamed(POS, "__choice"), list(fresh)
+
+
+def _origins(imported: Import) -> dict[str, tuple[str, str]]:
+    return {name: (imported.source, c) for name, c in imported.shown().items()}
+
+
+def _agreed(step: Step, columns: dict[str, tuple[str, str]], more: dict[str, tuple[str, str]]) -> set[str]:
+    """The names that both hold; each must stand for the same column of the same source."""
+    if clash := [c for c in more if columns.get(c, more[c]) != more[c]]:
+        raise GridError("E214", f"{clash} of {step.name} come from different sources")
+    return set(columns) & set(more)
 
 
 def _rows(source: str) -> str:
@@ -109,7 +132,7 @@ def _from(parent: str) -> str:
     return f"__from_{parent}"
 
 
-def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, str]]:
+def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, tuple[str, str]]]:
     """Product of the parents' states; columns and sources that they share must agree, or reading raises."""
     state, columns = None, {}
     for parent in dict.fromkeys(step.after):
@@ -119,6 +142,7 @@ def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, str]]:
         if state is None:
             state, columns = mine, dict(own)
             continue
+        _agreed(step, columns, own)
         size = mine.agg(F.count(F.lit(1)).alias("__n"))
         renamed = mine.select(*(F.col(c).alias(f"__r_{c}") for c in mine.columns))
         joined = state.crossJoin(renamed).crossJoin(F.broadcast(size))  # a product by definition
@@ -137,9 +161,11 @@ def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, str]]:
     return state, columns
 
 
-def build(spark_grids: Sequence[Step]) -> Plan:
-    """Expand all steps; nothing is computed before a state is read."""
-    plan = Plan({s.name: s for s in spark_grids}, topological(spark_grids))
+def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None) -> Plan:
+    """Expand all steps; nothing is computed before a state is read. `analyses` name the steps that they read."""
+    plan = Plan({s.name: s for s in spark_grids}, topological(spark_grids), analyses=dict(analyses or {}))
+    if unknown := [a for a, step in plan.analyses.items() if step not in plan.steps]:
+        raise GridError("E410", f"{unknown} analyse unknown steps")
     for name in plan.order:
         step = plan.steps[name]
         state, columns = _inherit(plan, step)
@@ -147,10 +173,8 @@ def build(spark_grids: Sequence[Step]) -> Plan:
         # Only what parents have drawn binds an import; imports of one step meet freely.
         bound = {c for c in state.columns if c.startswith("__rows_")} if state is not None else set()
         for k, imported in enumerate(step.imports):
-            inherited = {c for c in (imported.columns or imported.grid.columns) if columns.get(c) == imported.source}
-            if clash := [c for c in (imported.columns or imported.grid.columns) if c in columns and c not in inherited]:
-                raise GridError("E214", f"{clash} come from different sources")
-            choices, fresh, _ = _choices(imported, inherited)
+            origins = _origins(imported)
+            choices, fresh = _choices(imported, _agreed(step, columns, origins))
             choices = choices.withColumnRenamed("__choice", f"__c{k}")
             rows = _rows(imported.source)
             if state is None:
@@ -161,7 +185,7 @@ def build(spark_grids: Sequence[Step]) -> Plan:
                 both = F.array_intersect(rows, "__rows") if rows in state.columns else F.col("__rows")
                 state = state.crossJoin(choices).withColumn(rows, both).drop("__rows")
             position.append(f"__c{k}")
-            columns |= dict.fromkeys(fresh, imported.source)
+            columns |= {c: origins[c] for c in fresh}
         if state is None:
             raise GridError("E420", f"step {name} has neither imports nor parents")
         plan.states[name] = _numbered(state, position)
@@ -202,6 +226,26 @@ def ancestors(plan: Plan, targets: Sequence[str]) -> set[str]:
     return found
 
 
+def selected(plan: Plan, targets: Sequence[str] = ("*",)) -> tuple[list[str], list[str]]:
+    """The steps, in order, and analyses that a run of the targets needs.
+
+    "*" stands for all of both; a step brings what it depends on, an analysis, which must be named, also its step.
+    """
+    if "*" in targets:
+        return list(plan.order), list(plan.analyses)
+    if unknown := [t for t in targets if t not in plan.steps and t not in plan.analyses]:
+        raise GridError("E212", f"unknown targets {unknown}")
+    named = [a for a in plan.analyses if a in targets]
+    needed = ancestors(plan, [*(t for t in targets if t in plan.steps), *(plan.analyses[a] for a in named)])
+    return [n for n in plan.order if n in needed], named
+
+
+def limit_targets(plan: Plan) -> list[str]:
+    """The steps that a limit counts: those that are analysed, or else the terminal ones."""
+    read = set(plan.analyses.values())
+    return [n for n in plan.order if n in read] or terminal(plan)
+
+
 def terminal(plan: Plan) -> list[str]:
     used = {d for s in plan.steps.values() for d in s.after}
     return [n for n in plan.order if n not in used]
@@ -224,10 +268,11 @@ def limited_parents(plan: Plan, step: str, n: int) -> dict[str, DataFrame]:
 
 
 def parameters(plan: Plan, steps: Sequence[str] = ("*",)) -> DataFrame:
-    """One row per workpackage: `source.column` as text, `row`, and the step."""
+    """One row per workpackage: `source.column` as text, whatever its alias, `row`, and the step."""
     chosen = ancestors(plan, steps)
+    titled = lambda n: {f"{source}.{c}": name for name, (source, c) in plan.columns[n].items()}
     frames = [
-        plan.states[n].select(*(F.col(c).cast("string").alias(f"{source}.{c}") for c, source in plan.columns[n].items()), "row", F.lit(n).alias("step"))
+        plan.states[n].select(*(F.col(name).cast("string").alias(title) for title, name in titled(n).items()), "row", F.lit(n).alias("step"))
         for n in plan.order if n in chosen
     ]
     out = frames[0]

@@ -17,8 +17,8 @@ from .operators.extract import extract, extract_strict, extract_weak, matches, m
 from .operators.grid import Grid
 from .plans import status, workplan
 from .plans.workplan import Import, Step
-from .sources.sinks import write_csv_parts, write_sqlite
-from .sources.tables import read_csv, run_files
+from .sources.sinks import write_csv_parts, write_sqlite, write_texts
+from .sources.tables import exact_files, read_csv, run_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,6 +241,17 @@ def list_items(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("SELECT event_id, [event_id, 1, 2, 1, 2, event_id] AS joined, list_transform(range(event_id % 4), lambda x: event_type) AS repeated, [-event_id, -1] AS turned, [event_id = 0, false] AS none FROM events")
+def list_operators(s: SparkSession, d: str) -> DataFrame:
+    e, pair = F.col("event_id"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    mine = F.array(e, F.lit(1).cast("long"))
+    return _t(s, d, "events").select(
+        "event_id", folds.join_lists(folds.as_list(e, "bigint"), folds.repeat_list(pair, F.lit(2), "array<bigint>"), folds.as_list(e, "bigint")).alias("joined"),
+        folds.repeat_list(folds.as_list(F.col("event_type"), "string"), e % 4, "array<string>").alias("repeated"),
+        folds.each(mine, lambda x: V.negative(x, "bigint")).alias("turned"), folds.each(mine, lambda x: ~V.truthy(x, "bigint")).alias("none"),
+    )
+
+
 @query("SELECT event_id, event_id % 4 AS a, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 7 END AS b, CAST(-1 AS BIGINT) AS c, ['a', 'b'] AS names FROM events")
 def map_entries(s: SparkSession, d: str) -> DataFrame:
     left = F.create_map(F.lit("a"), F.col("event_id") % 4, F.lit("b"), F.lit(7).cast("long"))
@@ -295,9 +306,9 @@ def value_operators(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id, CASE WHEN value = trunc(value) THEN printf('%.1f', value) ELSE CAST(value AS VARCHAR) END AS float_text, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS truth, '[' || event_id || ',1]' AS list_text FROM events WHERE abs(value) >= 0.001 AND abs(value) < 100000")
+@query("SELECT event_id, CASE WHEN value = trunc(value) THEN printf('%.1f', value) ELSE CAST(value AS VARCHAR) END AS float_text, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS truth, '[' || event_id || ',1]' AS list_text FROM events")
 def text_form(s: SparkSession, d: str) -> DataFrame:
-    rows = _t(s, d, "events").where((F.abs("value") >= 0.001) & (F.abs("value") < 100000))
+    rows = _t(s, d, "events")
     both = F.array(F.col("event_id"), F.lit(1).cast("long"))
     return rows.select("event_id", V.text_of(F.col("value"), "double").alias("float_text"), V.text_of(F.col("event_id") % 2 == 0, "boolean").alias("truth"), V.text_of(both, "array<bigint>").alias("list_text"))
 
@@ -456,18 +467,52 @@ def csv_parts(s: SparkSession, d: str) -> DataFrame:
     return Grid.ordered(read_csv(s, path), "o_totalprice", "o_orderkey").positioned().select("pos", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT lpad(CAST(event_id AS VARCHAR), 6, '0') AS run_id, 'job.out' AS rel_path, 0 AS file_ix, event_id % 10 AS k FROM events WHERE event_id < 200")
+def _supplier_runs(s: SparkSession, d: str) -> str:
+    """A folder with a run per supplier, each with one file of two lines, written from a template by substitution."""
+    path = _folder(s)
+    rows = _t(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"), substitute(F.lit("key: #\nnation: #"), "key: (#)\nnation: (#)", F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")).alias("text"))
+    write_texts(rows, path, "run_id", "text")
+    return path
+
+
+@query("SELECT s_suppkey, 0 AS file_ix, s_nationkey::BIGINT AS nation FROM supplier")
 def files_by_pattern(s: SparkSession, d: str) -> DataFrame:
-    """Two hundred runs of one file each, written first: a source of small files."""
+    """Runs of one small file each, written first."""
+    found = run_files(s, _supplier_runs(s, d), r"^part-.*\.txt$")
+    return extract(found, {"s_suppkey": r"key: %d", "nation": r"nation: %d"}, ["file_ix"]).drop("match_ix")
+
+
+@query("SELECT DISTINCT s_nationkey::BIGINT AS nation, 'n' || s_nationkey AS run_id FROM supplier")
+def files_exact(s: SparkSession, d: str) -> DataFrame:
+    """One file of a known name in every run; there are as many runs as nations, so a loop writes them."""
     path = _folder(s)
-    runs = _t(s, d, "events").where("event_id < 200").select(F.lpad(F.col("event_id").cast("string"), 6, "0").alias("run_id"), F.concat(F.lit("k: "), (F.col("event_id") % 10).cast("string")).alias("value"))
+    runs = _t(s, d, "supplier").select("s_nationkey").distinct()
     for r in runs.collect():
-        place = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.run_id}/job.out")
+        place = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/n{r.s_nationkey}/logs/job.out")
         out = place.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(place)
-        out.write(bytearray(r.value, "utf-8"))
+        out.write(bytearray(f"nation: {r.s_nationkey}", "utf-8"))
         out.close()
-    found = run_files(s, path, r"^job\.[a-z]+$")
-    return extract(found, {"k": "k: %d"}, ["run_id", "rel_path", "file_ix"]).drop("match_ix")
+    found = exact_files(s, path, runs.select(F.concat(F.lit("n"), "s_nationkey").alias("run_id")), "logs/job.out")
+    return extract(found, {"nation": "nation: %d"}, ["run_id"]).drop("match_ix")
+
+
+@query("SELECT event_type AS step, max(event_id) AS last, count(*) AS n, CAST(sum(event_id % 10) AS DOUBLE) AS duration FROM events GROUP BY event_type")
+def status_files(s: SparkSession, d: str) -> DataFrame:
+    """Records of all events, written as JSON and read back."""
+    path = _folder(s)
+    rows = _t(s, d, "events").select(F.lit("FINISHED").alias("status"), F.col("event_type").alias("step"), F.col("event_id").alias("row"), (F.col("event_id") % 10).cast("double").alias("duration"))
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return status.read_records(s, path).groupBy("step").agg(F.max("row").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"))
+
+
+@query("SELECT r_name AS run_id, 's' AS step, n_nationkey::BIGINT AS row, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def manifest_files(s: SparkSession, d: str) -> DataFrame:
+    """A manifest per region with a workpackage per nation, written as JSON and read back."""
+    path = _folder(s)
+    work = F.struct(F.lit("s").alias("step"), F.col("n_nationkey").alias("row"), F.create_map(F.lit("name"), F.col("n_name")).alias("values"))
+    runs = _t(s, d, "nation").join(_t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("run_id")).agg(F.collect_list(work).alias("work"))
+    write_texts(runs.select("run_id", F.to_json(F.struct("*")).alias("text")), path, "run_id", "text")
+    return status.read_manifest(s, path).select("run_id", "step", "row", F.col("values.name").alias("name"))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CAST(n_regionkey = 1 AS BIGINT) AS first FROM nation")
@@ -505,6 +550,30 @@ def plan_lineage(s: SparkSession, d: str) -> DataFrame:
     return workplan.build(steps).states["s1"].select("r_name", "n_name", "row", F.size("__rows_g").alias("sources"))
 
 
+@query("SELECT r_name AS region, n_name, CAST(r_regionkey * 25 + n_nationkey AS BIGINT) AS row FROM region CROSS JOIN nation")
+def plan_alias(s: SparkSession, d: str) -> DataFrame:
+    grid = _grid(s, d)
+    steps = [Step("s0", (Import("g", grid, ("r_name",), "region"),)), Step("s1", (Import("g", grid, ("n_name",)),), ("s0",))]
+    return workplan.build(steps).states["s1"].select("region", "n_name", "row")
+
+
+@query("SELECT r_name, n_name, k FROM region CROSS JOIN nation CROSS JOIN (SELECT unnest(['a', 'b']) AS k)")
+def plan_overlap(s: SparkSession, d: str) -> DataFrame:
+    """What a step inherits drops out of its import, which then counts as a projection of the rest."""
+    grid = _grid(s, d)
+    steps = [Step("s0", (Import("g", grid, ("r_name",)),)), Step("s1", (Import("g", grid),), ("s0",))]
+    return workplan.build(steps).states["s1"].select("r_name", "n_name", "k")
+
+
+@query("SELECT unnest(['r', 'rn']) AS step, unnest([5, 125])::BIGINT AS n, unnest(['both', 'both']) AS analysis")
+def plan_selected(s: SparkSession, d: str) -> DataFrame:
+    steps = [Step("n", (Import("n", _nation(s, d)),)), Step("r", (Import("r", _region(s, d)),)), Step("rn", (Import("n", _nation(s, d)),), ("r",))]
+    plan = workplan.build(steps, {"both": "rn", "nations": "n"})
+    chosen, analyses = workplan.selected(plan, ["both"])
+    counts = [plan.states[n].agg(F.lit(n).alias("step"), F.count(F.lit(1)).alias("n"), F.lit(",".join(analyses)).alias("analysis")) for n in chosen]
+    return counts[0].unionByName(counts[1])
+
+
 @query("SELECT v.k AS letters, r_name FROM region, (SELECT unnest(['x', 'y']) AS k) v")
 def plan_import_values(s: SparkSession, d: str) -> DataFrame:
     steps = [Step("s", (Import("letters", workplan.as_grid(s, ["x", "y"], "letters")), Import("r", _region(s, d), ("r_name",))))]
@@ -553,6 +622,12 @@ def status_pivot(s: SparkSession, d: str) -> DataFrame:
     return status.pivot(records).select("step", "finished", "error", "blocked", "total", "duration")
 
 
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'INTERRUPTED' WHEN bool_or(event_id % 3 = 0) THEN 'ERROR' ELSE 'FINISHED' END AS status FROM events GROUP BY user_id")
+def status_final_by(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "INTERRUPTED").when(F.col("event_id") % 6 == 3, "ERROR").when(F.col("event_id") % 6 == 0, "BLOCKED").otherwise("FINISHED")
+    return status.final_status(_t(s, d, "events").select("user_id", kind.alias("status")), "user_id")
+
+
 @query("SELECT 'ERROR' AS status")
 def status_final(s: SparkSession, d: str) -> DataFrame:
     return status.final_status(_t(s, d, "events").select(F.when(F.col("event_id") == 3, "ERROR").otherwise("FINISHED").alias("status")))

@@ -1,4 +1,4 @@
-"""Sinks: sorted CSV parts, one CSV part, or SQLite tables in one transaction."""
+"""Sinks: sorted CSV parts, one CSV part, SQLite tables in one transaction, or a text file per row."""
 
 from __future__ import annotations
 
@@ -25,6 +25,16 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     df.repartition(1).sortWithinPartitions(*order).write.mode("overwrite").csv(path, header=True)
 
 
+def write_texts(df: DataFrame, root: str, folder: str, text: str) -> None:
+    """Every row's text as a file in the subfolder that the column `folder` names, which is to be unique.
+
+    Spark's own writer makes the files where the rows lie; a file's name is Spark's, its subfolder the row's, and a line
+    end follows the text.
+    """
+    rows = df.select(F.col(folder).alias("run"), F.col(text).alias("value"))
+    rows.write.mode("overwrite").partitionBy("run").text(root)
+
+
 def write_sqlite(tables: Mapping[str, DataFrame], path: str) -> None:
     """Drop, create and fill all tables in one transaction; rows come partition by partition, never all at once.
 

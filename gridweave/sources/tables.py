@@ -51,7 +51,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(rel_path, text) of all files under a folder, those whose relative path the pattern matches somewhere."""
     whole = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/")
+    # The path is a URI: percent signs encode, plus signs don't.
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(decoded, "^[a-z]+:/*", "/")
     base = root.split(":", 1)[-1].rstrip("/")
     rel = F.substring(path, len("/" + base.lstrip("/")) + 2, 1 << 30)
     found = whole.select(rel.alias("rel_path"), F.col("value").alias("text"))

@@ -65,6 +65,41 @@ def test_imports_of_one_step_meet_freely(spark):
     assert plan.states["s"].count() == 9
 
 
+def test_aliases(spark):
+    source = Grid.from_rows(spark, [{"a": i, "b": f"b{i}"} for i in range(3)])
+    steps = [Step("p", (Import("g", source, ("a",), "x"),)), Step("q", (Import("g", source, ("a",), "x"), Import("g", source, ("b",))), ("p",))]
+    plan = workplan.build(steps)
+    assert sorted((r.x, r.b) for r in plan.states["q"].collect()) == [(i, f"b{i}") for i in range(3)]
+    assert set(workplan.parameters(plan).columns) == {"g.a", "g.b", "row", "step"}
+    swapped = workplan.build([Step("s", (Import("g", source, ("a",), "b"), Import("g", source, ("b",), "a")))])
+    assert sorted((r.a, r.b) for r in swapped.states["s"].collect()) == [(f"b{j}", i) for j in range(3) for i in range(3)]
+    for imports, code in (
+        ((Import("g", source, ("a", "b"), "x"),), "E023"), ((Import("g", source, ("c",)),), "E021"), ((Import("g", source, ("a",), "no name"),), "E106"),
+        ((Import("g", source, ("a",), "b"), Import("g", source, ("b",))), "E214"),
+    ):
+        with pytest.raises(GridError, match=code):
+            workplan.build([Step("s", imports)])
+
+
+def test_parents_may_not_show_two_things_under_one_name(spark):
+    one, two = Grid.table(spark, a=[1]), Grid.table(spark, a=[1])
+    with pytest.raises(GridError, match="E214"):
+        workplan.build([Step("p", (Import("one", one),)), Step("q", (Import("two", two),)), Step("r", (), ("p", "q"))])
+
+
+def test_selection_of_steps_and_analyses(spark):
+    a = Grid.table(spark, a=[1])
+    plan = workplan.build([Step("p", (Import("a", a),)), Step("q", (), ("p",)), Step("r", (Import("a", a),))], {"of_q": "q", "of_p": "p"})
+    assert workplan.selected(plan) == (["p", "q", "r"], ["of_q", "of_p"])
+    assert workplan.selected(plan, ["q"]) == (["p", "q"], [])
+    assert workplan.selected(plan, ["of_p", "r"]) == (["p", "r"], ["of_p"])
+    assert workplan.limit_targets(plan) == ["p", "q"] and workplan.limit_targets(workplan.build([Step("p", (Import("a", a),))])) == ["p"]
+    with pytest.raises(GridError, match="E212"):
+        workplan.selected(plan, ["no"])
+    with pytest.raises(GridError, match="E410"):
+        workplan.build([Step("p", (Import("a", a),))], {"x": "no"})
+
+
 def test_values_become_grids(spark):
     assert workplan.as_grid(spark, 3, "n").rows() == [{"n": 3}]
     assert workplan.as_grid(spark, [[1, 2], "x"], "n").rows() == [{"n": "[1,2]"}, {"n": "x"}]
@@ -99,6 +134,7 @@ def test_status(spark, tmp_path):
     assert (rows["s"].error, rows["t"].finished, rows[None].total, rows[None].duration) == (1, 1, 2, 2.5)
     assert status.final_status(records).first().status == "ERROR"
     assert status.final_status(records.limit(0)).first().status == "FINISHED"
+    assert {(r.step, r.status) for r in status.final_status(records, "step").collect()} == {("s", "ERROR"), ("t", "FINISHED")}
 
 
 def test_streamed_files(spark, tmp_path):

@@ -12,7 +12,7 @@ from gridweave.functions import values as V
 from gridweave.functions.patterns import compile_pattern
 from gridweave.functions.values import GridError
 from gridweave.operators.extract import extract, extract_strict, extract_weak, merged_type, substitute, substitution_count
-from gridweave.sources.sinks import table_name, write_csv, write_sqlite
+from gridweave.sources.sinks import table_name, write_csv, write_sqlite, write_texts
 from gridweave.sources.tables import exact_files, infer, read_csv, read_files, run_files
 
 LONGS = [0, 1, -1, 2, -2, 2**31, -(2**31), 2**62, -(2**62), 2**63 - 1, -(2**63)]
@@ -212,6 +212,22 @@ def test_folds(spark):
     assert one(spark, folds.sort_list(longs(25, 11, 21, 19, 3), by_tens)) == [3, 11, 19, 25, 21]
     assert one(spark, folds.order_list(longs(2, 1, 2))) == [1, 0, 2]
     assert one(spark, folds.duplicated_list(longs(2, 1, 2))) == [False, False, True]
+    repeated = lambda n: one(spark, folds.repeat_list(longs(1, 2), F.lit(n).cast("long"), "array<bigint>"))
+    assert repeated(2) == [1, 2, 1, 2] and repeated(0) == []
+    for n in (-1, 1 << 20):
+        with pytest.raises(Exception, match="E106"):
+            repeated(n)
+    assert one(spark, folds.as_list(F.lit("a"), "string")) == ["a"] and one(spark, folds.as_list(longs(1), "array<bigint>")) == [1]
+    with pytest.raises(GridError):
+        folds.as_list(F.create_map(), "map<string,bigint>")
+    assert one(spark, folds.join_lists(longs(1), longs(), longs(2))) == [1, 2]
+
+
+def test_texts_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "k: 1\nk: 2"), ("r 2+é", "")], "run string, text string")
+    write_texts(rows, str(tmp_path / "o u+t"), "run", "text")
+    found = {r.run_id: r.text for r in run_files(spark, str(tmp_path / "o u+t"), r"\.txt$").collect()}
+    assert found == {"run=r1": "k: 1\nk: 2\n", "run=r 2+é": "\n"}
 
 
 def test_run_files(spark, tmp_path):
