@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, scramble, training_rows, words
 
-BITS = 20
+BITS = 18
 #: Bound of the sample of labelled rows, its shards, and passes over it.
 SAMPLE, SHARDS, ROUNDS = 9_000, 3, 6
 FOLDS, HELD_OUT = 3, 1
