@@ -8,16 +8,22 @@ filtered product. Parents whose positions have nothing in common still meet; onl
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cache, partial
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.positions import POS, densify
+from ..functions.shared import settled
 from ..functions.values import GridError, check_names, text
 from ..operators.grid import Grid, _pk
 
+#: Rows and bytes of a product's right side that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
 
 @dataclass(frozen=True)
 class Import:
@@ -72,6 +78,7 @@ class Plan:
     states: dict[str, DataFrame] = field(default_factory=dict)
     columns: dict[str, dict[str, tuple[str, str]]] = field(default_factory=dict)  # visible column -> source and its column
     analyses: dict[str, str] = field(default_factory=dict)  # analysis -> the step it reads
+    sizes: dict[str, Callable[[], int]] = field(default_factory=dict)  # rows of a step, counted once where they are needed
 
 
 def topological(steps: Sequence[Step]) -> list[str]:
@@ -123,6 +130,20 @@ def _agreed(step: Step, columns: dict[str, tuple[str, str]], more: dict[str, tup
     return set(columns) & set(more)
 
 
+def _measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes, the latter by the lengths of texts and lists."""
+    width = F.lit(0)
+    for c, kind in df.dtypes:
+        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else 8 * F.size(c) if kind.startswith("array") else F.lit(8))
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first())
+
+
+def _hinted(df: DataFrame, measure: tuple[int, int]) -> DataFrame:
+    """Broadcast within the bounds, so that the other side keeps its partitions; beyond them it is left to the optimiser."""
+    n, size = measure
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
 def _rows(source: str) -> str:
     return f"__rows_{source}"
 
@@ -143,9 +164,9 @@ def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, tuple[
             state, columns = mine, dict(own)
             continue
         _agreed(step, columns, own)
-        size = mine.agg(F.count(F.lit(1)).alias("__n"))
         renamed = mine.select(*(F.col(c).alias(f"__r_{c}") for c in mine.columns))
-        joined = state.crossJoin(renamed).crossJoin(F.broadcast(size))  # a product by definition
+        small = plan.sizes[parent]() <= BROADCAST_ROWS
+        joined = state.crossJoin(_hinted(renamed, _measured(mine)) if small else renamed)  # a product by definition
         shared = [c for c in state.columns if c in mine.columns and c != "__row"]
         agree = F.lit(True)
         for c in shared:
@@ -156,13 +177,18 @@ def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, tuple[
         joined = joined.where(F.when(agree, True).otherwise(failed))
         merged = [F.array_intersect(c, f"__r_{c}").alias(c) if c in shared and c.startswith("__rows_") else F.col(c) for c in state.columns if c != "__row"]
         extra = [F.col(f"__r_{c}").alias(c) for c in mine.columns if c != "__row" and c not in state.columns]
-        state = joined.select((F.col("__row") * F.col("__n") + F.col("__r___row")).alias("__row"), *merged, *extra)
+        state = joined.select((F.col("__row") * plan.sizes[parent]() + F.col("__r___row")).alias("__row"), *merged, *extra)
         columns |= own
     return state, columns
 
 
 def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None) -> Plan:
-    """Expand all steps; nothing is computed before a state is read. `analyses` name the steps that they read."""
+    """Expand all steps. `analyses` name the steps that they read.
+
+    Rows of products are numbered by arithmetic: a state holds its parents' plans once, however long the chain, and
+    only imported choices are counted. A step that imports a source anew has gaps to close, so its rows are computed
+    here, once, and written as a table; all else is computed when a state is read.
+    """
     plan = Plan({s.name: s for s in spark_grids}, topological(spark_grids), analyses=dict(analyses or {}))
     if unknown := [a for a, step in plan.analyses.items() if step not in plan.steps]:
         raise GridError("E410", f"{unknown} analyse unknown steps")
@@ -170,25 +196,33 @@ def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None
         step = plan.steps[name]
         state, columns = _inherit(plan, step)
         position = ["__row"] if state is not None else []
+        sizes = [plan.sizes[p] for p in dict.fromkeys(step.after)]
+        counts: dict[str, Callable[[], int]] = {}
+        gaps = False
         # Only what parents have drawn binds an import; imports of one step meet freely.
         bound = {c for c in state.columns if c.startswith("__rows_")} if state is not None else set()
         for k, imported in enumerate(step.imports):
             origins = _origins(imported)
             choices, fresh = _choices(imported, _agreed(step, columns, origins))
             choices = choices.withColumnRenamed("__choice", f"__c{k}")
+            measure = cache(partial(_measured, choices))
+            counts[f"__c{k}"] = lambda measure=measure: measure()[0]
             rows = _rows(imported.source)
             if state is None:
                 state = choices.withColumnRenamed("__rows", rows)
             elif rows in bound:
-                state = _lineage(state, choices, rows, position, f"__c{k}", fresh)
+                state, gaps = _lineage(state, choices, rows, position, f"__c{k}", fresh), True
             else:
                 both = F.array_intersect(rows, "__rows") if rows in state.columns else F.col("__rows")
-                state = state.crossJoin(choices).withColumn(rows, both).drop("__rows")
+                state = state.crossJoin(_hinted(choices, measure())).withColumn(rows, both).drop("__rows")
             position.append(f"__c{k}")
             columns |= {c: origins[c] for c in fresh}
         if state is None:
             raise GridError("E420", f"step {name} has neither imports nor parents")
-        plan.states[name] = _numbered(state, position)
+        state = settled(state) if gaps else state
+        placed = _numbered(state, position, counts)
+        plan.states[name] = (densify(placed) if gaps else placed).withColumnRenamed(POS, "row")
+        plan.sizes[name] = cache(state.count) if gaps else _product(*sizes, *counts.values())
         plan.columns[name] = columns
     return plan
 
@@ -203,14 +237,16 @@ def _lineage(state: DataFrame, choices: DataFrame, rows: str, position: list[str
     return pairs.groupBy(*position, choice).agg(*first, F.sort_array(F.collect_list("__at")).alias(rows))
 
 
-def _numbered(state: DataFrame, position: list[str]) -> DataFrame:
-    """`row` in the order of parents and choices, without gaps."""
-    sizes = state.agg(*(F.coalesce(F.max(p) + 1, F.lit(1)).alias(f"__m_{p}") for p in position))
-    at = F.lit(0).cast("long")
-    for p in position:
-        at = at * F.col(f"__m_{p}") + F.col(p)
-    placed = state.crossJoin(F.broadcast(sizes)).withColumn(POS, at).drop(*position, *(f"__m_{p}" for p in position))
-    return densify(placed).withColumnRenamed(POS, "row")
+def _numbered(state: DataFrame, position: list[str], counts: Mapping[str, Callable[[], int]]) -> DataFrame:
+    """Positions in the order of parents and choices; they have gaps only where choices were left out."""
+    at = F.col(position[0])
+    for p in position[1:]:
+        at = at * counts[p]() + F.col(p)
+    return state.withColumn(POS, at.cast("long")).drop(*position)
+
+
+def _product(*sizes: Callable[[], int]) -> Callable[[], int]:
+    return cache(lambda: prod(size() for size in sizes))
 
 
 def ancestors(plan: Plan, targets: Sequence[str]) -> set[str]:
