@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import cells
+from .tracing import Expr, expression
 from .values import GridError, arithmetic, truthy
 
 Pair = Callable[[Column, Column], Column]
+#: A Python function of one or two items, traced into a typed expression.
+Traced = Callable[..., object]
 #: Fixed value: the most items that a repetition may make.
 MOST_ITEMS = 1 << 20
 _START = {("+", "bigint"): 0, ("+", "double"): 0.0, ("+", "string"): "", ("*", "bigint"): 1, ("*", "double"): 1.0}
@@ -66,14 +70,57 @@ def sort_list(items: Column, less: Pair | None = None) -> Column:
     return F.transform(order_list(items, less), lambda i: F.get(items, i))
 
 
-def unique_list(items: Column) -> Column:
-    """First occurrences in order."""
-    return F.array_distinct(items)
+def _alike(items: Column, kind: str | None) -> Column:
+    """The items so that equal ones are identical: 0.0 for -0.0, keys for cells of mixed kinds."""
+    if kind is not None and kind == f"array<{cells.VARIANT}>":
+        return F.transform(items, cells.key)
+    return F.transform(items, lambda x: F.when(x == 0, x * 0 + 0).otherwise(x)) if kind in ("array<double>", "array<float>") else items
 
 
-def duplicated_list(items: Column) -> Column:
-    """Per item, whether it occurs before."""
-    return F.transform(items, lambda x, i: F.coalesce(F.array_position(items, x) <= i, F.lit(False)))
+def unique_list(items: Column, kind: str | None = None) -> Column:
+    """First occurrences in order; the list's type is needed for floats, whose two zeros are one value, and mixed cells."""
+    if kind not in ("array<double>", "array<float>", f"array<{cells.VARIANT}>"):
+        return F.array_distinct(items)
+    alike = _alike(items, kind)
+    return F.filter(items, lambda x, i: F.array_position(alike, F.get(alike, i)) == i + 1)
+
+
+def duplicated_list(items: Column, kind: str | None = None) -> Column:
+    """Per item, whether it occurs before; the list's type as for `unique_list`."""
+    alike = _alike(items, kind)
+    return F.transform(alike, lambda x, i: F.coalesce(F.array_position(alike, x) <= i, F.lit(False)))
+
+
+def traced(f: Traced, *kinds: str) -> tuple[Callable[..., Column], str]:
+    """A Python function of items of these kinds, as a function of columns, and the kind of its result."""
+    run = lambda *items: expression(f(*(Expr.given(x, k) for x, k in zip(items, kinds, strict=True))))
+    return lambda *items: run(*items).column, run(*(F.lit(None).cast(k) for k in kinds)).kind
+
+
+def filter_list(items: Column, keep: Traced, kind: str) -> Column:
+    """The items, of that kind, for which the function's result is true, zero and empty being false; order kept."""
+    test, result = traced(keep, kind)
+    return F.filter(items, lambda x: truthy(test(x), result))
+
+
+def map_list(items: Column, step: Traced, kind: str) -> Column:
+    """The function's result for every item, in order."""
+    run, _ = traced(step, kind)
+    return F.transform(items, lambda x: run(x))
+
+
+def sort_list_by(items: Column, less: Traced, kind: str) -> Column:
+    """Stable sort by a function of two items that says whether the first comes before."""
+    run, result = traced(less, kind, kind)
+    return sort_list(items, lambda a, b: truthy(run(a, b), result))
+
+
+def reduce_list_by(items: Column, step: Traced, kind: str) -> Column:
+    """Left fold by a function of two items, which must give their kind again."""
+    run, result = traced(step, kind, kind)
+    if result != kind:
+        raise GridError("E106", f"the fold of {kind} gives {result}")
+    return reduce_list(items, lambda a, x: run(a, x), kind)
 
 
 def as_list(c: Column, kind: str) -> Column:

@@ -9,6 +9,9 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import cells
+from .cells import VARIANT
+
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 INT = r"^[+-]?[0-9]+\z"
 FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
@@ -48,6 +51,8 @@ def _fail(code: str, message: str, kind: str) -> Column:
 
 def arithmetic(op: str, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
     """`+ - *` of two cells: whole numbers wrap, a float makes both floats, text is joined or repeated."""
+    if VARIANT in kinds:
+        return cells.arithmetic(op, cells.of(a, kinds[0]), cells.of(b, kinds[1]))
     if op == "+" and "string" in kinds:
         return F.concat(text_of(a, kinds[0]), text_of(b, kinds[1]))
     if op == "*" and sorted(kinds) == ["bigint", "string"]:
@@ -62,6 +67,14 @@ def arithmetic(op: str, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b}[op]()
 
 
+def wrapped(op: str, a: Column, b: Column) -> Column:
+    """Whether `+ - *` of two whole numbers leaves 64 bits; false where one is null."""
+    wide = [x.cast("decimal(20,0)") for x in (a, b)]
+    result = {"+": lambda: wide[0] + wide[1], "-": lambda: wide[0] - wide[1], "*": lambda: wide[0] * wide[1]}[op]()
+    half = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.coalesce((result >= half) | (result < -half), F.lit(False))
+
+
 def divide(a: Column, b: Column) -> Column:
     """Always a float; by zero is an error when the rows are read."""
     return F.when(b == 0, _fail("E107", "division by zero", "double")).otherwise(a.cast("double") / b.cast("double"))
@@ -78,8 +91,10 @@ def negative(c: Column, kind: str) -> Column:
 
 
 def equals(a: Column, b: Column, kinds: tuple[str, str]) -> Column:
-    """Numbers by their float values, null equal to null, NaN to nothing; other kinds that differ are unequal."""
-    if set(kinds) <= set(NUMBERS):
+    """Whole numbers exactly, across kinds by float values; null equals null, NaN nothing; other kinds that differ are unequal."""
+    if VARIANT in kinds:
+        return cells.equal(cells.of(a, kinds[0]), cells.of(b, kinds[1]))
+    if set(kinds) <= set(NUMBERS) and kinds != ("bigint", "bigint"):
         a, b = a.cast("double"), b.cast("double")
         return a.eqNullSafe(b) & ~F.coalesce(F.isnan(a), F.lit(False))
     return a.eqNullSafe(b) if kinds[0] == kinds[1] else a.isNull() & b.isNull()
@@ -87,6 +102,8 @@ def equals(a: Column, b: Column, kinds: tuple[str, str]) -> Column:
 
 def compare(op: str, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
     """`< <= > >=` of two texts by bytes or two numbers as floats; other kinds have no order."""
+    if VARIANT in kinds:
+        return cells.compare(op, cells.of(a, kinds[0]), cells.of(b, kinds[1]))
     if set(kinds) <= set(NUMBERS):
         a, b = a.cast("double"), b.cast("double")
         ordered = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
@@ -115,6 +132,8 @@ def length(c: Column, kind: str) -> Column:
 
 def text_of(c: Column, kind: str) -> Column:
     """A cell as text: None, true and false, whole floats with one decimal, others with six digits before an exponent."""
+    if kind == VARIANT:
+        return cells.text_of(c)
     if kind.startswith("array<"):
         inside = F.array_join(F.transform(c, lambda x: text_of(x, kind[6:-1])), ",")
         return F.coalesce(F.concat(F.lit("["), inside, F.lit("]")), F.lit("None"))
@@ -144,6 +163,8 @@ def text_of(c: Column, kind: str) -> Column:
 
 def truthy(c: Column, kind: str) -> Column:
     """Zero, empty and null are false."""
+    if kind == VARIANT:
+        return cells.truthy(c)
     if kind == "boolean":
         return F.coalesce(c, F.lit(False))
     if kind == "string":
@@ -154,16 +175,26 @@ def truthy(c: Column, kind: str) -> Column:
 
 
 def to_int(c: Column, kind: str) -> Column:
-    """Numbers are cut towards zero, text must be a decimal integer; else reading raises."""
+    """Numbers are cut towards zero, text must be a decimal integer; what 64 bits don't hold is an error when the rows are read."""
+    if kind == VARIANT:
+        return cells.converted(c, to_int)
     if kind == "string":
-        return F.when(c.rlike(INT), c.try_cast("bigint")).when(c.isNotNull(), F.raise_error(F.lit("E106: not an integer")).cast("bigint"))
+        number = F.when(c.rlike(INT), c.try_cast("bigint"))
+        return F.coalesce(number, F.when(c.isNotNull(), _fail("E106", "not an integer of 64 bits", "bigint")))
+    if kind in ("double", "float"):
+        fits = (c >= -float(1 << 63)) & (c < float(1 << 63)) & ~F.isnan(c)
+        return F.when(fits, F.when(fits, c).cast("bigint")).when(c.isNotNull(), _fail("E106", "the float doesn't fit into 64 bits", "bigint"))
     return c.cast("bigint")
 
 
 def to_float(c: Column, kind: str) -> Column:
     """Text must be a finite number; else reading raises."""
+    if kind == VARIANT:
+        return cells.converted(c, to_float)
     if kind == "string":
-        return F.when(c.rlike(FLOAT), c.try_cast("double")).when(c.isNotNull(), F.raise_error(F.lit("E106: not a number")).cast("double"))
+        number = F.when(c.rlike(FLOAT), c.try_cast("double"))
+        finite = F.when(F.abs(number) < float("inf"), number)
+        return F.coalesce(finite, F.when(c.isNotNull(), _fail("E106", "not a finite number", "double")))
     return c.cast("double")
 
 
@@ -225,12 +256,18 @@ def number_range(start: float, stop: float | None = None, step: float | None = N
         step = 1 if start <= stop else -1
     if step == 0:
         raise GridError("E106", "zero step")
+    whole = all(isinstance(x, int) for x in (start, stop, step))
+    if not whole and any(x != x or abs(x) == float("inf") for x in (start, stop, step)):
+        raise GridError("E106", "a range needs finite numbers")
     out, x = [], start
     while (x < stop) if step > 0 else (x > stop):
         if len(out) >= most:
             raise GridError("E106", "too many items")
         out.append(x)
-        if x + step == x:
+        after = x + step
+        if (whole and not -(1 << 63) <= after < 1 << 63) or abs(after) == float("inf"):
+            raise GridError("E106", "the range runs past the largest number")
+        if after == x:
             raise GridError("E106", "the step is too small to get on")
-        x += step
+        x = after
     return out

@@ -20,7 +20,9 @@ def matches(text: Column, pattern: Pattern, group: int) -> Column:
     if shape is None:
         return found
     bad = lambda x: F.raise_error(F.concat(F.lit(f"not a {kind}: "), x)).cast(kind)
-    return F.transform(found, lambda x: F.when(x == "", F.lit(None).cast(kind)).otherwise(F.coalesce(x.try_cast(kind), bad(x))))
+    # A float that overflows is as little a number as a whole one that does.
+    fits = lambda x: F.when(F.abs(x) < float("inf"), x) if kind == "double" else x
+    return F.transform(found, lambda x: F.when(x == "", F.lit(None).cast(kind)).otherwise(F.coalesce(fits(x.try_cast(kind)), bad(x))))
 
 
 def titles(name: str, pattern: Pattern) -> list[str]:

@@ -18,8 +18,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import cells
 from ..functions.positions import POS, densify, position_by
-from ..functions.values import GridError, check_names
+from ..functions.tracing import Expr, Row, any_of, expression
+from ..functions.values import GridError, check_names, equals
+from ..functions.watch import Watch
 
 _SOURCES = count(1)
 #: Rows of a side that may be broadcast in a positional merge.
@@ -68,7 +71,7 @@ class Grid:
     @staticmethod
     def table(spark: SparkSession, **columns: Any) -> Grid:
         """Literal columns, each a source of its own; shorter ones repeat cyclically, an empty one needs all empty."""
-        lists = {name: list(v) if isinstance(v, (list, tuple, range)) else [v] for name, v in columns.items()}
+        lists = {name: v if isinstance(v, cells.Mixed) else list(v) if isinstance(v, (list, tuple, range)) else [v] for name, v in columns.items()}
         check_names(list(lists))
         longest, warnings = max(map(len, lists.values()), default=0), ()
         if longest and any(not v for v in lists.values()):
@@ -76,13 +79,14 @@ class Grid:
         if any(v and longest % len(v) for v in lists.values()):
             warnings = ("W101",)
         sources = {name: next(_SOURCES) for name in lists}
+        types = {name: _literal_type(values) for name, values in lists.items()}
+        held = {name: _held(values, types[name]) for name, values in lists.items()}
         rows = [
-            (i, *(v for name, values in lists.items() for v in (values[i % len(values)], (sources[name], i % len(values)))))
+            (i, *(v for name, values in held.items() for v in (values[i % len(values)], (sources[name], i % len(values)))))
             for i in range(longest)
         ]
-        types = {name: _literal_type(values) for name, values in lists.items()}
-        schema = f"`{POS}` long" + "".join(f", `{n}` {types[n]}, `{_pk(n)}` struct<src: bigint, idx: bigint>" for n in lists)
-        return Grid(spark.createDataFrame(rows, schema), tuple(lists), None, True, warnings)
+        schema = f"`{POS}` long" + "".join(f", `{n}` {_held_type(types[n])}, `{_pk(n)}` struct<src: bigint, idx: bigint>" for n in lists)
+        return Grid(_given(spark.createDataFrame(rows, schema), types), tuple(lists), None, True, warnings)
 
     @staticmethod
     def from_rows(spark: SparkSession, rows: Sequence[dict[str, Any]]) -> Grid:
@@ -94,8 +98,9 @@ class Grid:
             raise GridError("E106", "rows must have the same keys")
         check_names(names)
         types = {n: _literal_type([r[n] for r in rows]) for n in names}
-        schema = f"`{POS}` long" + "".join(f", `{n}` {types[n]}" for n in names)
-        return Grid(spark.createDataFrame([(i, *(r[n] for n in names)) for i, r in enumerate(rows)], schema), tuple(names), next(_SOURCES), True)
+        schema = f"`{POS}` long" + "".join(f", `{n}` {_held_type(types[n])}" for n in names)
+        columns = [_held([r[n] for r in rows], types[n]) for n in names]
+        return Grid(_given(spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*columns, strict=True))], schema), types), tuple(names), next(_SOURCES), True)
 
     # Keys --------------------------------------------------------------------------------------------------------
 
@@ -141,12 +146,14 @@ class Grid:
         return replace(merged, warnings=(*merged.warnings, *uneven))
 
     def _merged(self, joined: DataFrame, right: Grid, shared: list[str], position: Column, dense: bool) -> Grid:
+        mine, theirs = self.kinds, right.kinds
         for c in shared:  # as a filter the guard survives column pruning
-            equal = F.col(f"__l_{c}").eqNullSafe(F.col(f"__r_{c}"))
+            pair, sides = (mine[c], theirs[c]), (F.col(f"__l_{c}"), F.col(f"__r_{c}"))
+            equal = equals(*sides, pair) if cells.VARIANT in pair else sides[0].eqNullSafe(sides[1])
             joined = joined.where(F.when(equal, True).otherwise(F.raise_error(F.lit(f"E042: column {c} differs between the operands")).cast("boolean")))
         own = [(c, "l") for c in self.columns] + [(c, "r") for c in right.columns if c not in self.columns]
-        cells = [x for c, side in own for x in (F.col(f"__{side}_{c}").alias(c), F.col(f"__{side}_pk_{c}").alias(_pk(c)))]
-        return Grid(joined.select(position.cast("long").alias(POS), *cells), tuple(c for c, _ in own), None, dense, (*self.warnings, *right.warnings))
+        shown = [x for c, side in own for x in (F.col(f"__{side}_{c}").alias(c), F.col(f"__{side}_pk_{c}").alias(_pk(c)))]
+        return Grid(joined.select(position.cast("long").alias(POS), *shown), tuple(c for c, _ in own), None, dense, (*self.warnings, *right.warnings))
 
     @staticmethod
     def rbind(*grids: Grid) -> Grid:
@@ -158,8 +165,8 @@ class Grid:
         for g in grids:
             name = next(_SOURCES)  # a namespace of its own for each argument
             dense = g.densified()
-            cells = [x for c in first.columns for x in (F.col(c), _key(F.xxhash64(F.col(f"`{_pk(c)}`.src"), F.lit(name)), F.col(f"`{_pk(c)}`.idx")).alias(_pk(c)))]
-            parts.append(dense.keyed().select((F.col(POS) + offset).alias(POS), *cells))
+            shown = [x for c in first.columns for x in (F.col(c), _key(F.xxhash64(F.col(f"`{_pk(c)}`.src"), F.lit(name)), F.col(f"`{_pk(c)}`.idx")).alias(_pk(c)))]
+            parts.append(dense.keyed().select((F.col(POS) + offset).alias(POS), *shown))
             offset += dense.length() if g is not grids[-1] else 0
         df = parts[0]
         for p in parts[1:]:
@@ -184,12 +191,37 @@ class Grid:
         if missing := [c for c in new if c not in self.columns]:
             raise GridError("E106", f"unknown columns {missing}")
         columns = check_names([new.get(c, c) for c in self.columns])
-        cells = [x for c, d in zip(self.columns, columns, strict=True) for x in ([F.col(c).alias(d)] if self.row_keyed is not None else [F.col(c).alias(d), F.col(_pk(c)).alias(_pk(d))])]
-        return replace(self, df=self.df.select(POS, *cells), columns=columns)
+        shown = [x for c, d in zip(self.columns, columns, strict=True) for x in ([F.col(c).alias(d)] if self.row_keyed is not None else [F.col(c).alias(d), F.col(_pk(c)).alias(_pk(d))])]
+        return replace(self, df=self.df.select(POS, *shown), columns=columns)
+
+    @property
+    def kinds(self) -> dict[str, str]:
+        """Types of the visible columns."""
+        return dict(self.df.select(*self.columns).dtypes)
 
-    def filter(self, keep: Column) -> Grid:
-        """Rows where the predicate is true; null counts as false. Keys and order stay."""
-        return replace(self, df=self.keyed().where(F.coalesce(keep, F.lit(False))), row_keyed=None, dense=False)
+    def trace(self, f: Callable[[Row], Any]) -> Expr:
+        """What a Python function of a row gives, as a typed expression: `lambda r: r.a * r.b`."""
+        return expression(f(Row(self.kinds)))
+
+    def filter(self, keep: Column | Callable[[Row], Any]) -> Grid:
+        """Rows where the predicate is true; null counts as false. Keys and order stay.
+
+        A Python function of a row is traced into an expression with the values' own semantics: whole numbers wrap, zero
+        and empty are false, which a result of another kind than a truth value is warned of (W101).
+        """
+        warned = ()
+        if not isinstance(keep, Column):
+            traced = self.trace(keep)
+            keep, warned = traced.truth(), () if traced.kind in ("boolean", cells.VARIANT) else ("W101",)
+        return replace(self, df=self.keyed().where(F.coalesce(keep, F.lit(False))), row_keyed=None, dense=False, warnings=(*self.warnings, *warned))
+
+    def compute(self, watch: Watch | None = None, **columns: Callable[[Row], Any]) -> Grid:
+        """A column more per function of a row, each a source of its own; `watch` counts W102, whole numbers that wrapped."""
+        taken = check_names([*self.columns, *columns])
+        traced = {name: self.trace(f) for name, f in columns.items()}
+        df = self.keyed() if watch is None else watch.observed(self.keyed(), {"W102": any_of([e.wraps() for e in traced.values()])})
+        added = [x for name, e in traced.items() for x in (e.column.alias(name), _key(next(_SOURCES), F.col(POS)).alias(_pk(name)))]
+        return replace(self, df=df.select(*df.columns, *added), columns=taken, row_keyed=None)
 
     def gather(self, indexes: Sequence[int]) -> Grid:
         """Rows by 0-based index, repeats and order kept."""
@@ -236,10 +268,14 @@ class Grid:
 
     def _values(self) -> list[Column]:
         # -0.0 and 0.0 are one value.
-        return [F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) if t in ("double", "float") else F.col(c) for c, t in self.df.select(*self.columns).dtypes]
+        zero = lambda c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c))
+        return [cells.key(F.col(c)) if t == cells.VARIANT else zero(c) if t in ("double", "float") else F.col(c) for c, t in self.kinds.items()]
 
     def unique(self) -> Grid:
         """First row of each distinct tuple of visible values."""
+        if self.row_keyed is not None and not {"double", "float", cells.VARIANT} & set(self.kinds.values()):
+            # The values are all that a row holds, so a hash aggregate finds the first position without a sort.
+            return replace(self, df=self.df.groupBy(*self.columns).agg(F.min(POS).alias(POS)), dense=False)
         first = F.row_number().over(Window.partitionBy(*self._values()).orderBy(POS))
         df = self.keyed().withColumn("__rn", first).where("__rn = 1").drop("__rn")
         return replace(self, df=df, row_keyed=None, dense=False)
@@ -329,10 +365,27 @@ def _narrow(df: DataFrame) -> bool:
 
 
 def _literal_type(values: Sequence[Any]) -> str:
+    """One kind gives its type, numbers of both kinds floats, all else cells of mixed kinds."""
     kinds = {type(v) for v in values if v is not None}
     known = {bool: "boolean", int: "bigint", float: "double", str: "string"}
-    if kinds == {int, float}:
-        return "double"
-    if len(kinds) > 1 or any(k not in known for k in kinds):
-        raise GridError("E106", f"a column needs values of one kind, not {sorted(k.__name__ for k in kinds)}")
-    return known[kinds.pop()] if kinds else "string"
+    if not isinstance(values, cells.Mixed):
+        if kinds == {int, float}:
+            return "double"
+        if len(kinds) <= 1 and kinds <= set(known):
+            return known[kinds.pop()] if kinds else "string"
+    if bad := [k.__name__ for k in kinds if k not in (*known, list, tuple, dict)]:
+        raise GridError("E106", f"values of {bad} can't be cells")
+    return cells.VARIANT
+
+
+def _held(values: Sequence[Any], kind: str) -> Sequence[Any]:
+    return [cells.literal(v) for v in values] if kind == cells.VARIANT else [float(v) if v is not None else v for v in values] if kind == "double" else values
+
+
+def _held_type(kind: str) -> str:
+    return "string" if kind == cells.VARIANT else kind
+
+
+def _given(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Literal columns of mixed kinds, which come as text, as cells."""
+    return df.select(*(cells.from_literals(F.col(c)).alias(c) if types.get(c) == cells.VARIANT else F.col(c) for c in df.columns))

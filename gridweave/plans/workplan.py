@@ -9,7 +9,7 @@ filtered product. Parents whose positions have nothing in common still meet; onl
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache, partial
 from math import prod
 
@@ -58,7 +58,7 @@ class Step:
 def as_grid(spark: SparkSession, value: object, name: str = "value") -> Grid:
     """What a step can import: a grid as it is, a dictionary as columns, a list as rows of one column, a scalar as one row.
 
-    Items that are no scalars enter as their text. Anything else is an error.
+    Items that are no scalars enter as their text (W314). Anything else is an error.
     """
     if isinstance(value, Grid):
         return value
@@ -67,7 +67,9 @@ def as_grid(spark: SparkSession, value: object, name: str = "value") -> Grid:
     if value is None or callable(value):
         raise GridError("E420", f"{name} can't be imported")
     if isinstance(value, (list, tuple, range)):
-        return Grid.table(spark, **{name: [x if isinstance(x, (bool, int, float, str)) else text(x) for x in value]})
+        entered = Grid.table(spark, **{name: [x if isinstance(x, (bool, int, float, str)) else text(x) for x in value]})
+        odd = {type(x) for x in value if not isinstance(x, (bool, int, float, str))}
+        return replace(entered, warnings=(*entered.warnings, *("W314" for _ in odd)))
     return Grid.table(spark, **{name: value})
 
 

@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import folds
+from .functions import cells, folds
 from .functions import values as V
 from .functions.patterns import compile_pattern
+from .functions.shared import settled
+from .functions.tracing import choose
+from .functions.watch import Watch
 from .operators.extract import extract, extract_strict, extract_weak, matches, merged_type, substitute, substitute_all, substitution_count, summary
 from .operators.grid import Grid
 from .plans import status, workplan
@@ -53,6 +56,14 @@ def _orders(s: SparkSession, d: str, *columns: str) -> Grid:
     return Grid.scan(_t(s, d, "orders").select("o_orderkey", *columns), "o_orderkey")
 
 
+def _mixed_events(s: SparkSession, d: str) -> Grid:
+    """Events with a cell of one of five kinds."""
+    e = F.col("event_id")
+    n = e % 7
+    cell = F.when(e % 5 == 0, n.cast("variant")).when(e % 5 == 1, n.cast("double").cast("variant")).when(e % 5 == 2, n.cast("string").cast("variant")).when(e % 5 == 3, (n > 3).cast("variant"))
+    return Grid.scan(_t(s, d, "events").select("event_id", cell.alias("c")), "event_id")
+
+
 # Table algebra ---------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +361,61 @@ def range_grid(s: SparkSession, d: str) -> DataFrame:
     return _region(s, d).project("r_name").product(Grid.table(s, x=V.number_range(10, 2, -2))).visible()
 
 
+@query("""
+WITH m AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'string' WHEN 3 THEN 'bool' ELSE 'null' END AS kind, event_id % 7 AS n FROM events),
+t AS (SELECT *, CASE kind WHEN 'int' THEN n::VARCHAR WHEN 'float' THEN n || '.0' WHEN 'string' THEN n::VARCHAR WHEN 'bool' THEN CASE WHEN n > 3 THEN 'true' ELSE 'false' END ELSE 'None' END AS shown FROM m)
+SELECT event_id, r_name, kind, shown, kind IN ('int', 'float') AND n = r_regionkey AS same,
+       CASE kind WHEN 'bool' THEN n > 3 WHEN 'string' THEN true WHEN 'null' THEN false ELSE n <> 0 END AS truth FROM t CROSS JOIN region
+""")
+def variant_cells(s: SparkSession, d: str) -> DataFrame:
+    """Cells of five kinds keep them through a product."""
+    found = _mixed_events(s, d).product(_region(s, d)).df
+    c = F.col("c")
+    return found.select(
+        "event_id", "r_name", cells.kind_of(c).alias("kind"), V.text_of(c, "variant").alias("shown"), V.equals(c, F.col("r_regionkey"), ("variant", "int")).alias("same"), V.truthy(c, "variant").alias("truth"),
+    )
+
+
+@query("""
+WITH m AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'n' WHEN 1 THEN 'n' WHEN 2 THEN 's' WHEN 3 THEN 'b' ELSE '' END AS k,
+                  CASE event_id % 5 WHEN 4 THEN 0 WHEN 3 THEN (event_id % 7 > 3)::INT ELSE event_id % 7 END AS n FROM events)
+SELECT min(event_id) AS event_id, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY k, m.n
+""")
+def variant_unique(s: SparkSession, d: str) -> DataFrame:
+    """First rows of distinct cells; whole numbers and floats of one value are one, texts and truth values are not."""
+    grid = _mixed_events(s, d)
+    once = grid.project("c").unique().df.select(F.col("__pos").alias("event_id"), cells.key(F.col("c")).alias("key"))
+    counts = grid.df.groupBy(cells.key(F.col("c")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return once.join(counts, "key").select("event_id", "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey * 1000 + l_linenumber) % 7 = 3 AND (l_quantity > 25 OR l_returnflag = 'R') AND CASE WHEN l_tax <> 0 THEN l_shipdate IS NOT NULL ELSE l_discount <> 0 END")
+def filter_traced(s: SparkSession, d: str) -> DataFrame:
+    """A Python function of a row as a typed expression."""
+    lines = _t(s, d, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+    kept = lambda r: ((r.l_orderkey * 1000 + r.l_linenumber) % 7 == 3) & ((r.l_quantity > 25) | (r.l_returnflag == "R")) & choose(r.l_tax, r.l_shipdate, r.l_discount)
+    grid = Grid.scan(lines, F.monotonically_increasing_id()).filter(kept)
+    return grid.visible().select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""
+WITH w AS (SELECT event_id, CAST(event_id AS HUGEINT) * 4611686018427387904 AS p FROM events)
+SELECT event_id, CAST((p + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS p, (SELECT count(*) FROM w WHERE p > 9223372036854775807) AS wrapped FROM w
+""")
+def warnings_counted(s: SparkSession, d: str) -> DataFrame:
+    """Products that wrap, with the number of rows that did, counted while the rows are written."""
+    watch = Watch()
+    grid = Grid.scan(_t(s, d, "events").select("event_id"), "event_id").compute(watch, p=lambda r: r.event_id * (1 << 62))
+    return settled(grid.visible()).withColumn("wrapped", F.lit(watch.counts().get("W102", 0)).cast("long"))
+
+
+@query("SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n, round(list_sum(list_transform(list_filter(embedding, lambda x: x > 0), lambda x: CAST(x AS DOUBLE) * 2 + 1)), 3) AS total FROM embeddings")
+def filter_lists(s: SparkSession, d: str) -> DataFrame:
+    kept = folds.filter_list(F.col("embedding"), lambda x: x > 0, "float")
+    moved = folds.map_list(kept, lambda x: x * 2 + 1, "float")
+    return _t(s, d, "embeddings").select("vec_id", F.size(kept).cast("long").alias("n"), F.round(folds.fold("+", moved, "double"), 3).alias("total"))
+
+
 # Extraction ------------------------------------------------------------------------------------------------------
 
 

@@ -113,7 +113,7 @@ def test_names_are_checked(spark):
     with pytest.raises(GridError):
         Grid.table(spark, **{"a b": [1]})
     with pytest.raises(GridError):
-        Grid.table(spark, a=[1, "x"])
+        Grid.table(spark, a=[1, object()])
     with pytest.raises(GridError):
         Grid.table(spark, a=[], b=[1])
     assert Grid.table(spark, a=[1, 2, 3], b=[1, 2]).warnings == ("W101",)
