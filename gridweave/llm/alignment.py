@@ -25,6 +25,7 @@ empty result; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -40,8 +41,15 @@ BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: A space after what no tokenizer takes for white space.
 CUT = re.compile("(?<=[^\\s᠎​﻿])(?= )")
-#: Tokens of one side in a row, of both that are swept together, characters of texts encoded together, and of units kept.
-RUN, SWEPT, GROUP_CHARS, HELD_CHARS = 1 << 14, 1 << 20, 4 << 20, 6 << 20
+#: Fixed value: the pattern by which byte-level vocabularies split texts before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of the longest unit that the faster encoder takes.
+SHORT = 4096
+#: Tokens of one side in a row, of both that are swept together; characters of texts whose units are looked up together,
+#: of units encoded as one text, and of units kept.
+RUN, SWEPT, GROUP_CHARS, CHUNK, HELD_CHARS = 1 << 14, 1 << 20, 2 << 20, 1 << 15, 4 << 20
+#: Stretches swept together; with two ids of 21 bits their numbers stay within 63 bits.
+MOST_STRETCHES = 1 << 14
 #: A pair with at least this share of all links is frequent; there are fewer than its inverse.
 FREQUENT = 1e-5
 
@@ -62,8 +70,22 @@ def piece_bytes(model: object) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))]
 
 
+def ranked(level: str, tokens: list[bytes]) -> bool:
+    """Whether a byte-level vocabulary merges by the order of its ids and splits by the usual pattern, as rank encoders do."""
+    spec = json.loads(level)
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec["normalizer"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    in_order = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+    return plain and in_order and not model.get("dropout") and len(set(tokens[:256])) == 256 and all(len(t) == 1 for t in tokens[:256])
+
+
 class Encoder:
-    """Packed ids of both sides per text, or None where they don't give the text back."""
+    """Packed ids of both sides per text, or None where they don't give the text back.
+
+    A's vocabulary, if its merges go by rank, is read by a faster encoder of the same kind; long units, on which that one
+    is slow, and other vocabularies by the library of its file.
+    """
 
     def __init__(self, level: str, pieces: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -73,7 +95,13 @@ class Encoder:
         self.a, self.b = Tokenizer.from_str(level), sentencepiece.SentencePieceProcessor(model_proto=pieces)
         self.a.encode_special_tokens = True
         self.bytes_a, self.bytes_b = byte_level_bytes(self.a), piece_bytes(self.b)
-        self.units, self.chars = {}, 0
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in tokens], "i8") for tokens in (self.bytes_a, self.bytes_b))
+        self.units, self.chars, self.fast = {}, 0, None
+        if ranked(level, self.bytes_a):
+            import tiktoken
+
+            own = {t: i for i, t in enumerate(self.bytes_a[: 256 + len(json.loads(level)["model"]["merges"])])}
+            self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=own, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         found = [CUT.split(" " + text) if text else [] for text in texts]
@@ -81,13 +109,41 @@ class Encoder:
             self.units, self.chars = {}, 0
         fresh = list(set().union(*found).difference(self.units))
         self.chars += sum(map(len, fresh))
-        left, right = self.a.encode_batch_fast(fresh, add_special_tokens=False), self.b.encode([u[1:] for u in fresh], num_threads=1)
-        for unit, a, b in zip(fresh, left, right, strict=True):
-            data, a = unit.encode(), a.ids
-            same = b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
-            self.units[unit] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+        begin, size = 0, 0
+        for i, unit in enumerate(fresh, 1):
+            size += len(unit)
+            if size >= CHUNK or i == len(fresh) or len(fresh[i]) > SHORT or len(unit) > SHORT:
+                self._learn(fresh[begin:i])
+                begin, size = i, 0
         return [self._joined([self.units[u] for u in units]) for units in found]
 
+    def _learn(self, units: list[str]) -> None:
+        """Encode units, laid end to end, as one text, whose tokens end where the units do; if not, one by one."""
+        text = "".join(units)
+        data = text.encode()
+        ends = np.cumsum([len(u.encode()) for u in units])
+        short = self.fast is not None and max(map(len, units)) <= SHORT
+        left = self.fast.encode_ordinary(text) if short else self.a.encode(text, add_special_tokens=False).ids
+        sides = []
+        for ids, sizes, tokens in ((left, self.sizes_a, self.bytes_a), (self.b.encode(text[1:]), self.sizes_b, self.bytes_b)):
+            at = np.cumsum(sizes[ids])
+            upto = np.searchsorted(at, ends) + 1
+            if upto[-1] > len(ids) or (at[upto - 1] != ends).any() or b"".join([tokens[i] for i in ids]) != data:
+                break
+            sides.append((np.array(ids, "<u4").tobytes(), (4 * upto).tolist()))
+        if len(sides) == 2:
+            (a, upto_a), (b, upto_b) = sides
+            i = j = 0
+            for unit, k, m in zip(units, upto_a, upto_b, strict=True):
+                self.units[unit] = a[i:k], b[j:m]
+                i, j = k, m
+        elif len(units) > 1:
+            half = len(units) // 2
+            self._learn(units[:half])
+            self._learn(units[half:])
+        else:
+            self.units[text] = None
+
     @staticmethod
     def _joined(parts: list[tuple[bytes, bytes] | None]) -> tuple[bytes, bytes] | None:
         if not parts or None in parts:
@@ -230,23 +286,27 @@ class _Sweep:
         ends = np.flatnonzero(at_a | at_b)
         # The token that covers what lies before an end is the first of its side to end there or later.
         of_a, of_b = (np.cumsum(at[ends]) - at[ends] for at in (at_a, at_b))
-        stretch = np.searchsorted(end_a[np.cumsum(n_a)[n_a > 0] - 1], ends)
-        stretch = np.flatnonzero(n_a > 0)[stretch]
+        closes = np.zeros(total, bool)
+        closes[end_a[np.cumsum(n_a)[n_a > 0] - 1]] = True
+        closes = closes[ends]
+        stretch = np.flatnonzero(n_a > 0)[np.cumsum(closes) - closes]
         both = at_a[ends] & at_b[ends]
         links, groups = np.bincount(stretch, minlength=len(n_a)), np.bincount(stretch[both], minlength=len(n_a))
         # Groups follow each other, each with its A tokens and then its B tokens.
-        cuts = ends[both]
         shut_a, shut_b = at_b[end_a], at_a[end_b]
-        upto_a, upto_b = np.searchsorted(end_a, cuts) + 1, np.searchsorted(end_b, cuts) + 1
+        upto_a, upto_b = np.flatnonzero(shut_a) + 1, np.flatnonzero(shut_b) + 1
         group_a, group_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
         text = np.empty(len(a) + len(b), object)
         text[np.arange(len(a)) + np.r_[0, upto_b][group_a]] = self.shown[0][2 * a + shut_a]
         text[np.arange(len(b)) + upto_a[group_b]] = self.shown[1][2 * b + shut_b]
-        order = np.lexsort((b[of_b], a[of_a], stretch))
-        of, left, right = stretch[order], a[of_a][order], b[of_b][order]
-        code = left << 32 | right
-        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])])
-        return groups, links, text.tolist(), (of[new], code[new], np.diff(np.r_[new, len(code)]).astype("i4"))
+        # One number for stretch, A's and B's id, which sorts faster than three.
+        ids_a, ids_b = (len(x) for x in self.sizes)
+        code = np.sort((stretch * ids_a + a[of_a]) * ids_b + b[of_b])
+        new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        counts = np.diff(np.r_[new, len(code)]).astype("i4")
+        rest, right = np.divmod(code[new], ids_b)
+        of, left = np.divmod(rest, ids_a)
+        return groups, links, text.tolist(), (of, left << 32 | right, counts)
 
 
 def sweep(found: DataFrame, lengths: tuple[list[int], list[int]]) -> DataFrame:
@@ -265,7 +325,7 @@ def sweep(found: DataFrame, lengths: tuple[list[int], list[int]]) -> DataFrame:
             docs = batch.column(1)
             for key, doc, side, last, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
                 state.take(key, doc, side, last, None if ids is None else _unpacked(ids, unpack))
-                if state.tokens >= SWEPT or len(state.stretches) >= SWEPT // 64:
+                if state.tokens >= SWEPT or len(state.stretches) >= MOST_STRETCHES:
                     yield state.flush(docs.type)
             if state.stretches:
                 yield state.flush(docs.type)

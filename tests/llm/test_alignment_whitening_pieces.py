@@ -138,6 +138,20 @@ def aligned(docs):
     return pairs((r.doc_id, *(r[c] for c in COLUMNS)) for r in alignment.align(docs).collect())
 
 
+def test_encoders_agree_on_every_character():
+    """Units and the faster encoder give what both libraries give for whole texts, whatever the characters."""
+    with open(alignment.BYTE_LEVEL, encoding="utf-8") as level, open(alignment.PIECES, "rb") as pieces:
+        mine = alignment.Encoder(level.read(), pieces.read())
+    assert mine.fast is not None
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for pattern in ("a{0}1 {0} {0}{0}b", "{0}  {0}\n {0}x"):
+        texts = ["".join(pattern.format(c) for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+        found = mine(texts)
+        left, right = mine.a.encode_batch([" " + t for t in texts], add_special_tokens=False), mine.b.encode(texts)
+        bad = [t for t, f, a, b in zip(texts, found, left, right, strict=True) if f is not None and (np.frombuffer(f[0], "u4").tolist() != a.ids or np.frombuffer(f[1], "u4").tolist() != b)]
+        assert not bad and sum(f is None for f in found) < 5
+
+
 def test_alignment_of_odd_tables(spark):
     texts = [*ODD, *ODD[4:9], "the end of the text"]
     docs = spark.createDataFrame([(i % 7 or None, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_a int")
