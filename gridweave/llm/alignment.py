@@ -47,7 +47,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SHORT = 4096
 #: Tokens of one side in a row, of both that are swept together; characters of texts whose units are looked up together,
 #: of units encoded as one text, and of units kept.
-RUN, SWEPT, GROUP_CHARS, CHUNK, HELD_CHARS = 1 << 14, 1 << 20, 2 << 20, 1 << 15, 4 << 20
+RUN, SWEPT, GROUP_CHARS, CHUNK, HELD_CHARS = 1 << 14, 1 << 18, 1 << 20, 1 << 15, 1 << 21
 #: Stretches swept together; with two ids of 21 bits their numbers stay within 63 bits.
 MOST_STRETCHES = 1 << 14
 #: A pair with at least this share of all links is frequent; there are fewer than its inverse.
