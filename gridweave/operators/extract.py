@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import TYPES, Pattern, compile_pattern, translate
+from ..functions.spans import substitute_spans
 from ..functions.values import GridError
 
 FINISHED = "FINISHED"
@@ -93,8 +94,9 @@ def substitute(text: Column, pattern: str, *values: Column) -> Column:
     """Replace in every match the whole, if the pattern has no groups, or each group by its value, taken literally.
 
     No match, or a null text, is an error when the rows are read. There must be as many values as groups, or one without
-    groups; groups stand side by side: one inside another would overlap, and one that is optional, repeated or one of
-    several choices might take no part in a match.
+    groups. Groups that stand side by side are replaced by built-in functions; where one lies in another, is optional,
+    repeated or one of several choices, texts go by Arrow batches to a matcher that knows the groups' places, and a match
+    in which groups overlap, or one takes no part, is an error when the rows are read.
     """
     compiled = translate(pattern)
     if len(values) != max(1, len(compiled.kinds)):
@@ -104,7 +106,7 @@ def substitute(text: Column, pattern: str, *values: Column) -> Column:
     if not compiled.kinds:
         return F.regexp_replace(hit, F.lit(compiled.regex), quoted[0])
     if compiled.pieces is None:
-        raise GridError("E402", "groups must stand side by side and be part of every match")
+        return substitute_spans(text, compiled, pattern, values)
     # What lies between the groups is captured instead of them, under names that a digit in a value can't run into.
     names = iter(range(len(quoted) + 1))
     between = "(?d)" + "".join(f"(?:{piece[1:-1]})" if group else f"(?<g{next(names)}>{piece})" for piece, group in compiled.pieces)

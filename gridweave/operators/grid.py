@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from ..functions.draws import Seeds, draws
 from ..functions.positions import POS, densify, position_by
 from ..functions.tracing import Expr, Row, any_of, expression
 from ..functions.values import GridError, check_names, equals
@@ -47,6 +48,8 @@ class Grid:
     #: Positions are 0..n-1.
     dense: bool = False
     warnings: tuple[str, ...] = ()
+    #: Came from a scalar or a list, not from a table: its one column goes by its name alone.
+    bare: bool = False
 
     # Sources -----------------------------------------------------------------------------------------------------
 
@@ -293,18 +296,25 @@ class Grid:
             same = same & v.eqNullSafe(F.col(f"__v{i}"))
         return self.df.join(firsts, same).select(POS, *self.columns, (F.col(POS) > F.col("__first")).alias("duplicated"))
 
-    def sample(self, size: int, replace_rows: bool = False, seed: int = 0) -> Grid:
-        """`size` rows in random order, the same for the same seed; without replacement at most as many as there are."""
-        if replace_rows:
-            from random import Random
-
-            n, draw = self.length(), Random(seed)
-            picked = self.gather([draw.randrange(n) for _ in range(size)])
-            return replace(picked, df=picked.df.select(POS, *self.columns), row_keyed=next(_SOURCES))
-        if size > self.length():
-            raise GridError("E106", "sample larger than the table")
-        drawn = self.keyed().withColumn("__draw", F.xxhash64(POS, F.lit(seed))).orderBy("__draw", POS).limit(size)
-        return replace(self, df=position_by(drawn, [F.col("__draw")]).drop("__draw"), row_keyed=None, dense=True)
+    def sample(self, size: int | None = None, replace_rows: bool = False, seed: int | Seeds = 0) -> Grid:
+        """`size` rows in random order, by default as many as there are; the same for the same seed.
+
+        Without replacement there are at most as many as rows. With it, each output row draws a position by its own number
+        and meets the row there by a join; rows that are drawn become a source of their own. `Seeds` gives each call the next.
+        """
+        n, seed = self.length(), seed.next() if isinstance(seed, Seeds) else seed
+        size = n if size is None else size
+        if size < 0 or (size > n and (not replace_rows or not n)):
+            raise GridError("E106", f"{size} rows can't be drawn from {n}")
+        if replace_rows and size:
+            picks = draws(self.df.sparkSession, size, n, seed)
+            picked = self.densified().df.select(POS, *self.columns).join(picks, F.col(POS) == F.col("__at"))
+            return Grid(picked.select(F.col("__new").alias(POS), *self.columns), self.columns, next(_SOURCES), True, self.warnings)
+        drawn = self.keyed().withColumn("__draw", F.xxhash64(POS, F.lit(seed)))
+        if size <= MERGE_BROADCAST:
+            drawn = drawn.orderBy("__draw", POS).limit(size)
+        placed = position_by(drawn, [F.col("__draw")]).drop("__draw")
+        return replace(self, df=placed.where(F.col(POS) < size), row_keyed=None, dense=True)
 
     # Results -----------------------------------------------------------------------------------------------------
 

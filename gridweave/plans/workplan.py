@@ -1,28 +1,34 @@
 """Workplans: a DAG of steps whose rows are parents' rows times the rows of imported grids.
 
 A step's state is a DataFrame with `row` (dense), its visible columns, and for each source grid it has drawn from the
-array of that grid's positions it still may use (`__rows_<source>`). When a step imports a source that its parents have
-used, only choices that share a position with what all parents may use are joined, by exploded positions, never by a
-filtered product. Parents whose positions have nothing in common still meet; only a later import finds no row then.
+number of the set of that grid's positions it still may use (`__set_<source>`). The sets lie apart from the states that
+share them, in rows of fixed size: 64 positions as the bits of a word. When a step imports a source that its parents have
+used, sets and choices meet word by word, and states are joined with the choices that their set shares a position with,
+never by a filtered product. Parents whose positions have nothing in common still meet; only a later import finds no row
+then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import cache, partial
+from functools import cache, partial, reduce
 from math import prod
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.positions import POS, densify
 from ..functions.shared import settled
-from ..functions.values import GridError, check_names, text
+from ..functions.values import GridError, check_names, text, text_of
 from ..operators.grid import Grid, _pk
 
 #: Rows and bytes of a product's right side that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Numbers of sets stay below this; pairs of sets that would go beyond it are numbered anew.
+MOST_SETS = 1 << 62
+#: Positions in a word.
+WORD = 64
 
 
 @dataclass(frozen=True)
@@ -69,8 +75,27 @@ def as_grid(spark: SparkSession, value: object, name: str = "value") -> Grid:
     if isinstance(value, (list, tuple, range)):
         entered = Grid.table(spark, **{name: [x if isinstance(x, (bool, int, float, str)) else text(x) for x in value]})
         odd = {type(x) for x in value if not isinstance(x, (bool, int, float, str))}
-        return replace(entered, warnings=(*entered.warnings, *("W314" for _ in odd)))
-    return Grid.table(spark, **{name: value})
+        return replace(entered, warnings=(*entered.warnings, *("W314" for _ in odd)), bare=True)
+    return replace(Grid.table(spark, **{name: value}), bare=True)
+
+
+@dataclass(frozen=True)
+class Sets:
+    """Sets of a source's positions: (set, word, bits), a row for each 64 positions of which the set has some."""
+
+    words: DataFrame
+    #: All numbers are below it.
+    span: Callable[[], int]
+
+    def met(self, other: Sets) -> Sets:
+        """The intersection of each set with each of `other`, numbered by both; empty ones have no words."""
+        theirs = other.words.select(F.col("set").alias("__other"), "word", F.col("bits").alias("__bits"))
+        both = self.words.join(theirs, "word").withColumn("bits", F.col("bits").bitwiseAND(F.col("__bits"))).where("bits <> 0")
+        return Sets(both.select(self.pair(F.col("set"), F.col("__other"), other).alias("set"), "word", "bits"), lambda: self.span() * other.span())
+
+    @staticmethod
+    def pair(mine: Column, theirs: Column, other: Sets) -> Column:
+        return mine * other.span() + theirs
 
 
 @dataclass
@@ -79,6 +104,8 @@ class Plan:
     order: list[str]
     states: dict[str, DataFrame] = field(default_factory=dict)
     columns: dict[str, dict[str, tuple[str, str]]] = field(default_factory=dict)  # visible column -> source and its column
+    sets: dict[str, dict[str, Sets]] = field(default_factory=dict)  # step -> source -> sets of positions that its rows name
+    bare: set[str] = field(default_factory=set)  # sources that are a scalar or a list under its own name
     analyses: dict[str, str] = field(default_factory=dict)  # analysis -> the step it reads
     sizes: dict[str, Callable[[], int]] = field(default_factory=dict)  # rows of a step, counted once where they are needed
 
@@ -107,18 +134,29 @@ def topological(steps: Sequence[Step]) -> list[str]:
     return done
 
 
-def _choices(imported: Import, inherited: set[str]) -> tuple[DataFrame, list[str]]:
-    """(choice, columns, rows): one choice per row of a full import, or per distinct source rows of a projection."""
-    grid, shown = imported.grid, imported.shown()
+def _choices(imported: Import, inherited: set[str]) -> tuple[DataFrame, list[str], DataFrame]:
+    """(choice, columns) and the words of the choices' positions: one choice per row of a full import, or per distinct
+    source rows of a projection.
+    """
+    grid, shown = imported.grid.densified(), imported.shown()
     fresh = {name: c for name, c in shown.items() if name not in inherited}
     projected = imported.columns is not None or len(fresh) < len(shown)
-    if not projected or grid.row_keyed is not None:
+    if not projected or imported.grid.row_keyed is not None:
         cells = (F.col(c).alias(name) for name, c in fresh.items())
-        return grid.densified().df.select(F.col(POS).alias("__choice"), *cells, F.array(POS).alias("__rows")), list(fresh)
+        return grid.df.select(F.col(POS).alias("__choice"), *cells), list(fresh), _words(grid.df.select(F.col(POS).alias("set"), POS))
     keys = [_pk(c) for c in fresh.values()]
-    grouped = grid.densified().df.groupBy(*keys).agg(F.min(F.struct(POS, *fresh.values())).alias("first"), F.sort_array(F.collect_list(POS)).alias("__rows"))
-    chosen = densify(grouped.select(F.col(f"first.{POS}").alias(POS), *(F.col(f"first.{c}").alias(name) for name, c in fresh.items()), "__rows"))
-    return chosen.withColumnRenamed(POS, "__choice"), list(fresh)
+    firsts = grid.df.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(c).alias(name) for name, c in fresh.items())), POS).alias("__first"), F.min(POS).alias(POS))
+    chosen = settled(densify(firsts))  # read for the choices, for their positions and by each import that follows
+    named = chosen.select(F.col(POS).alias("__choice"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    drawn = grid.df.select(POS, *keys).join(named, same).select(F.col("__choice").alias("set"), POS)
+    return chosen.select(F.col(POS).alias("__choice"), *(F.col(f"__first.{name}").alias(name) for name in fresh)), list(fresh), _words(drawn)
+
+
+def _words(drawn: DataFrame) -> DataFrame:
+    """(set, word, bits) of rows of a set's number and a position; a set's words are made where the rows lie and united."""
+    bit = F.expr(f"shiftleft(1L, cast({POS} % {WORD} as int))")
+    return drawn.groupBy("set", F.floor(F.col(POS) / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def _origins(imported: Import) -> dict[str, tuple[str, str]]:
@@ -146,8 +184,9 @@ def _hinted(df: DataFrame, measure: tuple[int, int]) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def _rows(source: str) -> str:
-    return f"__rows_{source}"
+def _set(source: str) -> str:
+    """Column of the set of the source's positions that a row may use."""
+    return f"__set_{source}"
 
 
 def _from(parent: str) -> str:
@@ -155,33 +194,51 @@ def _from(parent: str) -> str:
     return f"__from_{parent}"
 
 
-def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, tuple[str, str]]]:
-    """Product of the parents' states; columns and sources that they share must agree, or reading raises."""
-    state, columns = None, {}
+def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, tuple[str, str]], dict[str, Sets]]:
+    """Product of the parents' states; columns that they share must agree, or reading raises; sets of positions intersect."""
+    state, columns, sets = None, {}, {}
     for parent in dict.fromkeys(step.after):
-        own = plan.columns[parent]
-        drawn = [c for c in plan.states[parent].columns if c.startswith("__rows_")]
-        mine = plan.states[parent].select(F.col("row").alias("__row"), F.col("row").alias(_from(parent)), *own, *drawn)
+        own, drawn = plan.columns[parent], plan.sets[parent]
+        mine = plan.states[parent].select(F.col("row").alias("__row"), F.col("row").alias(_from(parent)), *own, *map(_set, drawn))
         if state is None:
-            state, columns = mine, dict(own)
+            state, columns, sets = mine, dict(own), dict(drawn)
             continue
         _agreed(step, columns, own)
         renamed = mine.select(*(F.col(c).alias(f"__r_{c}") for c in mine.columns))
         small = plan.sizes[parent]() <= BROADCAST_ROWS
         joined = state.crossJoin(_hinted(renamed, _measured(mine)) if small else renamed)  # a product by definition
         shared = [c for c in state.columns if c in mine.columns and c != "__row"]
+        both = {_set(source): source for source in drawn if source in sets}
         agree = F.lit(True)
         for c in shared:
-            if not c.startswith("__rows_"):
+            if c not in both:
                 agree = agree & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
         # One condition, so that no part of it can hide a difference.
         failed = F.raise_error(F.lit(f"E500: parents of {step.name} differ in what they share")).cast("boolean")
         joined = joined.where(F.when(agree, True).otherwise(failed))
-        merged = [F.array_intersect(c, f"__r_{c}").alias(c) if c in shared and c.startswith("__rows_") else F.col(c) for c in state.columns if c != "__row"]
+        for source in both.values():
+            (joined, left), (joined, right) = _compact(joined, _set(source), sets[source], drawn[source].span), (joined, drawn[source])
+            sets[source] = left
+        merged = [Sets.pair(F.col(c), F.col(f"__r_{c}"), drawn[both[c]]).alias(c) if c in both else F.col(c) for c in state.columns if c != "__row"]
         extra = [F.col(f"__r_{c}").alias(c) for c in mine.columns if c != "__row" and c not in state.columns]
         state = joined.select((F.col("__row") * plan.sizes[parent]() + F.col("__r___row")).alias("__row"), *merged, *extra)
         columns |= own
-    return state, columns
+        sets |= {source: sets[source].met(found) if source in sets else found for source, found in drawn.items()}
+    return state, columns, sets
+
+
+def _compact(state: DataFrame, column: str, sets: Sets, other: Callable[[], int]) -> tuple[DataFrame, Sets]:
+    """State and sets as they are, or with sets numbered anew where pairs with `other` sets would run out of numbers.
+
+    All empty sets become one then, whose number no word has.
+    """
+    if sets.span() * other() < MOST_SETS:
+        return state, sets
+    numbers = settled(densify(sets.words.select("set").distinct().select(F.col("set").alias("__old"), F.col("set").alias(POS))))
+    n = numbers.count()
+    words = sets.words.join(numbers, F.col("set") == F.col("__old")).select(F.col(POS).alias("set"), "word", "bits")
+    renamed = state.join(numbers.withColumnRenamed(POS, "__new"), F.col(column) == F.col("__old"), "left")
+    return renamed.withColumn(column, F.coalesce("__new", F.lit(n).cast("long"))).drop("__old", "__new"), Sets(settled(words), lambda: n + 1)
 
 
 def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None) -> Plan:
@@ -196,27 +253,33 @@ def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None
         raise GridError("E410", f"{unknown} analyse unknown steps")
     for name in plan.order:
         step = plan.steps[name]
-        state, columns = _inherit(plan, step)
+        state, columns, sets = _inherit(plan, step)
         position = ["__row"] if state is not None else []
         sizes = [plan.sizes[p] for p in dict.fromkeys(step.after)]
         counts: dict[str, Callable[[], int]] = {}
         gaps = False
         # Only what parents have drawn binds an import; imports of one step meet freely.
-        bound = {c for c in state.columns if c.startswith("__rows_")} if state is not None else set()
+        bound = set(sets)
         for k, imported in enumerate(step.imports):
             origins = _origins(imported)
-            choices, fresh = _choices(imported, _agreed(step, columns, origins))
+            if imported.grid.bare and imported.grid.columns == (imported.source.rsplit(".", 1)[-1],):
+                plan.bare.add(imported.source)
+            choices, fresh, words = _choices(imported, _agreed(step, columns, origins))
             choices = choices.withColumnRenamed("__choice", f"__c{k}")
             measure = cache(partial(_measured, choices))
             counts[f"__c{k}"] = lambda measure=measure: measure()[0]
-            rows = _rows(imported.source)
+            source, held, offered = imported.source, _set(imported.source), Sets(words, counts[f"__c{k}"])
             if state is None:
-                state = choices.withColumnRenamed("__rows", rows)
-            elif rows in bound:
-                state, gaps = _lineage(state, choices, rows, position, f"__c{k}", fresh), True
+                state, sets[source] = choices.withColumn(held, F.col(f"__c{k}")), offered
+            elif source in bound:
+                state, known = _compact(state, held, sets[source], offered.span)
+                state, sets[source], gaps = *_lineage(state, choices, known, offered, held, f"__c{k}", measure()), True
+            elif source in sets:
+                state, known = _compact(state, held, sets[source], offered.span)
+                state = state.crossJoin(_hinted(choices, measure())).withColumn(held, Sets.pair(F.col(held), F.col(f"__c{k}"), offered))
+                sets[source] = known.met(offered)
             else:
-                both = F.array_intersect(rows, "__rows") if rows in state.columns else F.col("__rows")
-                state = state.crossJoin(_hinted(choices, measure())).withColumn(rows, both).drop("__rows")
+                state, sets[source] = state.crossJoin(_hinted(choices, measure())).withColumn(held, F.col(f"__c{k}")), offered
             position.append(f"__c{k}")
             columns |= {c: origins[c] for c in fresh}
         if state is None:
@@ -225,18 +288,27 @@ def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None
         placed = _numbered(state, position, counts)
         plan.states[name] = (densify(placed) if gaps else placed).withColumnRenamed(POS, "row")
         plan.sizes[name] = cache(state.count) if gaps else _product(*sizes, *counts.values())
-        plan.columns[name] = columns
+        plan.columns[name], plan.sets[name] = columns, sets
     return plan
 
 
-def _lineage(state: DataFrame, choices: DataFrame, rows: str, position: list[str], choice: str, fresh: list[str]) -> DataFrame:
-    """Join each state with the choices that share a source row with it."""
-    left = state.select("*", F.explode(rows).alias("__at"))
-    right = choices.select("*", F.explode("__rows").alias("__at"))
-    pairs = left.join(right, "__at")
-    carried = [c for c in state.columns if c not in (*position, rows)]
-    first = [F.first(c).alias(c) for c in (*carried, *fresh)]
-    return pairs.groupBy(*position, choice).agg(*first, F.sort_array(F.collect_list("__at")).alias(rows))
+def _lineage(state: DataFrame, choices: DataFrame, known: Sets, offered: Sets, name: str, choice: str, measure: tuple[int, int]) -> tuple[DataFrame, Sets]:
+    """Join each state with the choices that its set shares a position with. Sets meet choices, not states positions."""
+    met = known.met(offered)
+    words = settled(met.words)
+    n = offered.span()
+    pairs = words.select("set").distinct().select(F.floor(F.col("set") / n).alias("__old"), (F.col("set") % n).alias("__pick"), F.col("set").alias("__met"))
+    offers = pairs.join(_hinted(choices, measure), F.col("__pick") == F.col(choice))
+    joined = state.join(offers, F.col(name) == F.col("__old")).withColumn(name, F.col("__met"))
+    return joined.drop("__old", "__pick", "__met"), Sets(words, met.span)
+
+
+def drawn(plan: Plan, step: str, source: str) -> DataFrame:
+    """(row, positions) of a step: how many positions of the source each of its rows may still use."""
+    sets = plan.sets[step][source]
+    sizes = sets.words.groupBy("set").agg(F.sum(F.bit_count("bits").cast("long")).alias("positions"))
+    rows = plan.states[step].select("row", F.col(_set(source)).alias("set"))
+    return rows.join(sizes, "set", "left").select("row", F.coalesce("positions", F.lit(0)).alias("positions"))
 
 
 def _numbered(state: DataFrame, position: list[str], counts: Mapping[str, Callable[[], int]]) -> DataFrame:
@@ -305,15 +377,33 @@ def limited_parents(plan: Plan, step: str, n: int) -> dict[str, DataFrame]:
     return kept
 
 
-def parameters(plan: Plan, steps: Sequence[str] = ("*",)) -> DataFrame:
-    """One row per workpackage: `source.column` as text, whatever its alias, `row`, and the step."""
+def parameters(plan: Plan, steps: Sequence[str] = ("*",), benchmark: str | None = None) -> DataFrame:
+    """One row per workpackage: its values as text, `row` and the step, and the benchmark's name if one is given.
+
+    A value's column is `source.column`, whatever its alias, and the bare source for a scalar or list that is imported
+    under its own name. Columns that no workpackage has, since their steps have no rows, are left out.
+    """
     chosen = ancestors(plan, steps)
-    titled = lambda n: {f"{source}.{c}": name for name, (source, c) in plan.columns[n].items()}
-    frames = [
-        plan.states[n].select(*(F.col(name).cast("string").alias(title) for title, name in titled(n).items()), "row", F.lit(n).alias("step"))
-        for n in plan.order if n in chosen
-    ]
+    filled = [n for n in plan.order if n in chosen and plan.sizes[n]()]
+    frames = []
+    for n in filled or [n for n in plan.order if n in chosen]:
+        kinds = dict(plan.states[n].dtypes)
+        titled = {source if source in plan.bare else f"{source}.{c}": name for name, (source, c) in plan.columns[n].items()} if filled else {}
+        cells = (text_of(F.col(name), _shown(kinds[name])).alias(title) for title, name in titled.items())
+        frames.append(plan.states[n].select(*cells, "row", F.lit(n).alias("step")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out.select(*(f"`{c}`" for c in out.columns if c not in ("row", "step")), "row", "step")
+    named = [] if benchmark is None else [F.lit(benchmark).alias("benchmark")]
+    return out.select(*named, *(F.col(f"`{c}`") for c in out.columns if c not in ("row", "step")), "row", "step")
+
+
+def parameters_of(plans: Mapping[str, Plan], steps: Sequence[str] = ("*",)) -> DataFrame:
+    """The parameter tables of several benchmarks, one below the other."""
+    frames = [parameters(plan, steps, name) for name, plan in plans.items()]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return out.select("benchmark", *(F.col(f"`{c}`") for c in out.columns if c not in ("benchmark", "row", "step")), "row", "step")
+
+
+def _shown(kind: str) -> str:
+    return {"float": "double"}.get(kind, kind)

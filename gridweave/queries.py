@@ -6,20 +6,23 @@ import sqlite3
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells, folds
 from .functions import values as V
+from .functions.draws import Seeds
 from .functions.patterns import compile_pattern
 from .functions.shared import settled
 from .functions.tracing import choose
 from .functions.watch import Watch
 from .operators.extract import extract, extract_strict, extract_weak, matches, merged_type, substitute, substitute_all, substitution_count, summary
 from .operators.grid import Grid
-from .plans import status, workplan
+from .plans import frontier, status, workplan, worktypes
 from .plans.workplan import Import, Step
+from .sources.publish import publish, published
 from .sources.sinks import write_csv_parts, write_sqlite, write_texts
 from .sources.tables import exact_files, read_csv, run_files
 
@@ -487,6 +490,19 @@ def substitute_rules(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "events").select("event_id", substitution_count(F.col("props"), "[0-9]").alias("n"), substitute_all(F.col("props"), rules).alias("props"))
 
 
+@query(r"""
+SELECT event_id, regexp_replace(regexp_replace(props, '"([a-z]+)": ([0-9]+)', '"' || event_type || '": ' || event_id, 'g'), '$', '') AS props,
+       CASE WHEN event_id % 2 = 0 THEN 'a=<' || event_type || '>;c' ELSE 'x=<' || event_type || '>;c' END AS chosen FROM events
+""")
+def substitute_spans(s: SparkSession, d: str) -> DataFrame:
+    """Groups within a repeated and within an alternative, which are replaced by their places."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    source = F.when(F.col("event_id") % 2 == 0, "a=1;b").otherwise("x=2;b")
+    return _t(s, d, "events").select(
+        "event_id", substitute(F.col("props"), '(?:"([a-z]+)": ([0-9]+))+', kind, number).alias("props"), substitute(source, "(?:a|x)=(?:([0-9])|[a-z]);(b)", F.concat(F.lit("<"), kind, F.lit(">")), F.lit("c")).alias("chosen")
+    )
+
+
 PORTABLE = [r"(\s+)", r"([a&&c]+)", r"\b(\w+)", r"(?i)(k+)", r"(?U)(a+)", r"(.+)", r"(?m)^(\w+)", r"(\w+)$", r"(\++|[0-9]+)", r"([[:punct:]]+)", r"([^[:alpha:]\s]+)", r"(\pL+)"]
 
 
@@ -589,12 +605,111 @@ def sqlite_export(s: SparkSession, d: str) -> DataFrame:
         return s.createDataFrame(db.execute("SELECT * FROM nation").fetchall(), "n_nationkey long, n_name string, first long")
 
 
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CAST(2 AS BIGINT) AS version FROM nation")
+def published_tables(s: SparkSession, d: str) -> DataFrame:
+    """Two tables published at once, twice; the second table of a third attempt fails, which leaves the second version."""
+    path, nation = _folder(s), _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    publish({"nation": nation.limit(1), "region": _t(s, d, "region")}, path)
+    version = publish({"nation": nation, "region": _t(s, d, "region")}, path)
+    broken = _t(s, d, "region").where(F.raise_error(F.lit("broken")).cast("boolean"))
+    try:
+        publish({"nation": nation.limit(2), "region": broken}, path)
+    except Exception as error:  # the failure is the case
+        if "broken" not in str(error):
+            raise
+    return published(s, path)["nation"].withColumn("version", F.lit(version).cast("long"))
+
+
+@query("SELECT n_name, r_name, CAST(n_nationkey * 5 + r_regionkey AS BIGINT) AS pos FROM nation CROSS JOIN region")
+def rows_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """A small grid's row dictionaries, made a grid again: one source, so that a projection keeps all rows."""
+    grid = _nation(s, d).project("n_name").product(_region(s, d).project("r_name"))
+    return Grid.from_rows(s, grid.rows()).project("n_name", "r_name").positioned()
+
+
+@query("SELECT p_partkey, p_brand || ';' || p_type AS label, p_size::BIGINT AS p_size FROM part")
+def csv_sniffed(s: SparkSession, d: str) -> DataFrame:
+    """Files without a telling name, by tabs since no comma is in the first line; semicolons separate nothing."""
+    path = _folder(s)
+    named = _t(s, d, "part").select("p_partkey", F.concat("p_brand", F.lit(";"), "p_type").alias("label"), "p_size")
+    named.write.option("sep", "\t").csv(path, header=True)
+    return read_csv(s, path)
+
+
 @query("SELECT 'a' AS k, 1 AS i UNION ALL SELECT 'b', 2 UNION ALL SELECT 'a', 1")
 def table_rows(s: SparkSession, d: str) -> DataFrame:
     grid = Grid.from_rows(s, [{"k": "a", "i": 1}, {"k": "b", "i": 2}, {"k": "a", "i": 1}])
     return grid.visible().withColumn("i", F.col("i").cast("int"))
 
 
+def _value_work(s: SparkSession, d: str) -> DataFrame:
+    """Workpackages with a map of values as texts, whose kinds depend on the step."""
+    e, t = F.col("event_id"), F.col("event_type")
+    text = e.cast("string")
+    mixed = F.when(t == "click", text).when(t == "error", F.when(e % 2 == 0, text).otherwise(F.concat(text, F.lit(".5")))).when(t == "login", F.when(e % 3 == 0, "true").otherwise("false")).otherwise(F.concat(F.lit("v"), text))
+    values = F.when(t == "click", F.create_map(F.lit("a"), mixed)).otherwise(F.create_map(F.lit("a"), mixed, F.lit("b"), F.when(e % 5 == 0, "x").otherwise("7")))
+    return _t(s, d, "events").select(t.alias("step"), e.alias("row"), values.alias("values"))
+
+
+@query("""
+SELECT event_type AS step, 'a' AS key, CASE event_type WHEN 'click' THEN 'bigint' WHEN 'error' THEN 'double' WHEN 'login' THEN 'boolean' ELSE 'string' END AS kind, count(*) AS n FROM events GROUP BY event_type
+UNION ALL SELECT event_type, 'b', 'string', count(*) FROM events WHERE event_type <> 'click' GROUP BY event_type
+""")
+def work_value_kinds(s: SparkSession, d: str) -> DataFrame:
+    return worktypes.value_kinds(_value_work(s, d))
+
+
+@query("""
+SELECT event_type AS step, event_id AS row, CASE event_type WHEN 'click' THEN 'bigint' WHEN 'error' THEN 'double' WHEN 'login' THEN 'boolean' ELSE 'string' END AS kind,
+       CASE WHEN event_type = 'click' THEN event_id::DOUBLE WHEN event_type = 'error' THEN event_id + 0.5 * (event_id % 2) WHEN event_type = 'login' THEN (event_id % 3 = 0)::INT ELSE -1 END::DOUBLE AS a,
+       CASE WHEN event_type = 'click' THEN NULL WHEN event_id % 5 = 0 THEN 'x' ELSE '7' END AS b FROM events
+""")
+def work_values_typed(s: SparkSession, d: str) -> DataFrame:
+    """A typed table per step, laid below each other by what all have."""
+    tables = worktypes.typed_steps(_value_work(s, d), ["row"])
+    number = lambda c, kind: c.cast("double") if kind != "string" else F.lit(-1.0)
+    parts = []
+    for step, df in tables.items():
+        kind = dict(df.dtypes)["a"]
+        b = F.col("b") if "b" in df.columns else F.lit(None).cast("string")
+        parts.append(df.select(F.lit(step).alias("step"), "row", F.lit(kind).alias("kind"), number(F.col("a"), kind).alias("a"), b.alias("b")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'FINISHED' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'NOTSTARTED' ELSE 'FINISHED' END AS s0,
+                  CASE WHEN event_id % 3 = 0 THEN 'FINISHED' ELSE 'NOTSTARTED' END AS s1 FROM events),
+b AS (SELECT *, CASE WHEN s1 = 'NOTSTARTED' AND s0 = 'ERROR' THEN 'BLOCKED' ELSE s1 END AS t1 FROM e)
+SELECT 's0' AS step, event_id AS row, s0 AS status, s0 = 'NOTSTARTED' AS ready FROM b
+UNION ALL SELECT 's1', event_id, t1, t1 = 'NOTSTARTED' AND s0 = 'FINISHED' FROM b
+UNION ALL SELECT 's2', event_id, CASE WHEN t1 = 'BLOCKED' THEN 'BLOCKED' ELSE 'NOTSTARTED' END, t1 = 'FINISHED' FROM b
+""")
+def work_blocked(s: SparkSession, d: str) -> DataFrame:
+    """A chain of three steps with a row per event: what failed blocks what comes from it, what is done makes it ready."""
+    events = Grid.scan(_t(s, d, "events").select("event_id"), "event_id")
+    plan = workplan.build([Step("s0", (Import("e", events),)), Step("s1", (), ("s0",)), Step("s2", (), ("s1",))])
+    e = F.col("event_id")
+    first = F.when(e % 4 == 1, "ERROR").when(e % 4 == 2, "NOTSTARTED").otherwise("FINISHED")
+    status_of = {"s0": first, "s1": F.when(e % 3 == 0, "FINISHED").otherwise("NOTSTARTED"), "s2": F.lit("NOTSTARTED")}
+    records = reduce(DataFrame.unionByName, (_t(s, d, "events").select(F.lit(step).alias("step"), e.alias("row"), c.alias("status")) for step, c in status_of.items()))
+    return frontier.resolved(records, frontier.edges(plan))
+
+
+@query(None)
+def sample_replaced(s: SparkSession, d: str) -> DataFrame:
+    """As many draws with replacement as rows, each numbered."""
+    return _orders(s, d, "o_orderstatus").sample(replace_rows=True, seed=Seeds(7)).positioned()
+
+
+@query("SELECT 'one' AS benchmark, '3' AS n, r_name AS \"r.r_name\", CAST(r_regionkey AS BIGINT) AS row, 's' AS step FROM region UNION ALL SELECT 'two', NULL, n_name, CAST(n_nationkey AS BIGINT), 's' FROM nation")
+def plan_parameters_bare(s: SparkSession, d: str) -> DataFrame:
+    """Scalars go by their name alone; benchmarks are told apart."""
+    n = workplan.as_grid(s, 3, "n")
+    one = workplan.build([Step("s", (Import("n", n), Import("r", _region(s, d), ("r_name",))))])
+    two = workplan.build([Step("s", (Import("r", _nation(s, d).project("n_name").rename(n_name="r_name")),))])
+    return workplan.parameters_of({"one": one, "two": two})
+
+
 # Workplans and status --------------------------------------------------------------------------------------------
 
 
@@ -613,7 +728,24 @@ def plan_expand(s: SparkSession, d: str) -> DataFrame:
 def plan_lineage(s: SparkSession, d: str) -> DataFrame:
     grid = _grid(s, d)
     steps = [Step("s0", (Import("g", grid, ("r_name",)),)), Step("s1", (Import("g", grid, ("n_name",)),), ("s0",))]
-    return workplan.build(steps).states["s1"].select("r_name", "n_name", "row", F.size("__rows_g").alias("sources"))
+    plan = workplan.build(steps)
+    return plan.states["s1"].join(workplan.drawn(plan, "s1", "g"), "row").select("r_name", "n_name", "row", F.col("positions").cast("int").alias("sources"))
+
+
+@query("""
+SELECT r_name, s.l_returnflag AS shown, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(1 AS BIGINT) AS least, CAST(1 AS BIGINT) AS most
+FROM region CROSS JOIN lineitem s GROUP BY r_name, s.l_returnflag
+""")
+def plan_lineage_large(s: SparkSession, d: str) -> DataFrame:
+    """A projection to five keys, each of which shares all rows of a table, and the rest imported again."""
+    lines = _t(s, d, "lineitem")
+    grid = _region(s, d).project("r_name").product(Grid.ordered(lines, *lines.columns))
+    steps = [Step("s0", (Import("g", grid, ("r_name",)),)), Step("s1", (Import("g", grid, ("l_orderkey", "l_returnflag", "l_quantity")),), ("s0",))]
+    plan = workplan.build(steps)
+    rows = plan.states["s1"].join(workplan.drawn(plan, "s1", "g"), "row")
+    return rows.groupBy("r_name", F.col("l_returnflag").alias("shown")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.min("positions").alias("least"), F.max("positions").alias("most")
+    )
 
 
 @query("SELECT r_name AS region, n_name, CAST(r_regionkey * 25 + n_nationkey AS BIGINT) AS row FROM region CROSS JOIN nation")

@@ -33,18 +33,29 @@ def infer(raw: DataFrame) -> DataFrame:
     return raw.select(*typed)
 
 
+def delimiter(path: str, first: str | None) -> str:
+    """By the ending `.tsv` or `.csv`; else a tab if the first line that isn't empty has one and no comma."""
+    ending = path.rsplit("/", 1)[-1].lower()
+    if ending.endswith((".tsv", ".csv")):
+        return "\t" if ending.endswith(".tsv") else ","
+    return "\t" if first is not None and "\t" in first and "," not in first else ","
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with a header: `.tsv` by tabs, `.csv` by commas, others by what their first line holds more of.
+    """A delimited file with a header, whose cells must be names and differ.
 
-    Header cells must be names and differ; a row of another length is an error when rows are read.
+    A row of another length is an error when rows are read. A light pass over the lines finds whether any ends inside
+    quotes; only then a file is read by one task, as a whole, else many share it.
     """
-    first = next((r[0] for r in spark.read.text(path).where("trim(value) <> ''").take(1)), None)
+    lines = spark.read.text(path)
+    first = next((r[0] for r in lines.where("trim(value) <> ''").take(1)), None)
     if first is None:
         raise GridError("E106", "empty file")
-    sep = "\t" if path.endswith(".tsv") else "," if path.endswith(".csv") else max(",\t;", key=first.count)
-    names = check_names([x.strip('"') for x in first.removeprefix("﻿").split(sep)])
+    sep = delimiter(path, first)
+    names = check_names([x.strip('"') for x in first.removeprefix("\ufeff").split(sep)])
     schema = ", ".join(f"`{n}` string" for n in names)
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', schema=schema, mode="FAILFAST", enforceSchema=True, multiLine=True)
+    whole = lines.select(F.coalesce(F.bool_and(F.regexp_count("value", F.lit('"')) % 2 == 0), F.lit(True))).first()[0]
+    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', schema=schema, mode="FAILFAST", enforceSchema=True, multiLine=not whole)
     return infer(raw)
 
 
@@ -78,5 +89,6 @@ def exact_files(spark: SparkSession, root: str, runs: DataFrame, name: str) -> D
     found = read_files(spark, root).select(F.substring_index("rel_path", "/", 1).alias("__run"), F.col("rel_path"), "text")
     found = found.where(F.col("rel_path") == F.concat("__run", F.lit("/" + name)))
     joined = runs.select("run_id").join(found, F.col("run_id") == F.col("__run"), "left")
-    missing = F.raise_error(F.concat(F.lit(f"E411: no file {name} in run "), "run_id")).cast("string")
-    return joined.select("run_id", F.when(F.col("__run").isNull(), missing).otherwise(F.col("text")).alias("text"))
+    # As a filter the guard survives column pruning.
+    missing = F.raise_error(F.concat(F.lit(f"E411: no file {name} in run "), "run_id")).cast("boolean")
+    return joined.where(F.when(F.col("__run").isNull(), missing).otherwise(F.lit(True))).select("run_id", "text")

@@ -2,6 +2,7 @@
 
 import importlib
 import os
+from itertools import product
 
 import pytest
 
@@ -20,9 +21,10 @@ def grid(spark):
 
 def test_lineage_restricts_a_second_import(grid):
     plan = workplan.build([Step("s0", (Import("g", grid, ("x",)),)), Step("s1", (Import("g", grid, ("y",)),), ("s0",))])
-    s0, s1 = (plan.states[n].orderBy("row").collect() for n in ("s0", "s1"))
-    assert [len(r["__rows_g"]) for r in s0] == [8] * 6
-    assert len(s1) == 24 and {len(r["__rows_g"]) for r in s1} == {2} and [r.row for r in s1] == list(range(24))
+    s0, s1 = (workplan.drawn(plan, n, "g").orderBy("row").collect() for n in ("s0", "s1"))
+    assert [r.positions for r in s0] == [8] * 6
+    assert len(s1) == 24 and {r.positions for r in s1} == {2} and [r.row for r in s1] == list(range(24))
+    assert [r.row for r in plan.states["s1"].orderBy("row").collect()] == list(range(24))
 
 
 def test_parameter_table(spark):
@@ -60,9 +62,49 @@ def test_parents_that_draw_differently_from_one_source_still_meet(spark):
 
 
 def test_imports_of_one_step_meet_freely(spark):
-    source = Grid.from_rows(spark, [{"a": i, "b": f"b{i}"} for i in range(3)])
-    plan = workplan.build([Step("s", (Import("g", source, ("a",)), Import("g", source, ("b",))))])
+    source = Grid.from_rows(spark, [{"a": i, "b": f"b{i}", "c": -i} for i in range(3)])
+    plan = workplan.build([Step("s", (Import("g", source, ("a",)), Import("g", source, ("b",)))), Step("t", (Import("g", source, ("c",)),), ("s",))])
     assert plan.states["s"].count() == 9
+    assert sorted(r.positions for r in workplan.drawn(plan, "s", "g").collect()) == [0] * 6 + [1] * 3
+    assert sorted((r.a, r.b, r.c) for r in plan.states["t"].collect()) == [(i, f"b{i}", -i) for i in range(3)]
+
+
+def brute_lineage(sizes, picks):
+    """Rows of a chain of steps, each of which projects a grid of so many values a column to its picks: by positions."""
+    positions = list(product(*map(range, sizes)))
+    states = [((), set(positions))]
+    for columns in picks:
+        states = [
+            ((*shown, *key), left)
+            for shown, held in states
+            for key in dict.fromkeys(tuple(p[c] for c in columns) for p in positions)
+            if (left := {p for p in held if tuple(p[c] for c in columns) == key})
+        ]
+    return [(shown, len(held)) for shown, held in states]
+
+
+@pytest.mark.parametrize("most", [1 << 62, 100])
+def test_chains_of_imports_by_brute_force(spark, monkeypatch, most):
+    """Sets over more than one word, with numbers that run out and are given anew, and with ones that don't."""
+    monkeypatch.setattr(workplan, "MOST_SETS", most)
+    one = lambda **c: Grid.table(spark, **c)
+    grid = one(a=list(range(3))).product(one(b=list(range(5)))).product(one(c=list(range(4)))).product(one(d=[0, 1]))
+    picks = [("a",), ("c", "d"), ("b",)]
+    steps = [Step(f"s{k}", (Import("g", grid, p),), (f"s{k - 1}",) if k else ()) for k, p in enumerate(picks)]
+    plan = workplan.build(steps)
+    for k in range(len(picks)):
+        shown = [c for p in picks[: k + 1] for c in p]
+        found = plan.states[f"s{k}"].join(workplan.drawn(plan, f"s{k}", "g"), "row").orderBy("row").collect()
+        assert [(tuple(r[c] for c in shown), r.positions) for r in found] == brute_lineage((3, 5, 4, 2), [["abcd".index(c) for c in p] for p in picks[: k + 1]])
+
+
+def test_lineage_rows_have_a_fixed_size(spark):
+    """A choice that most of a source shares holds no list of positions anywhere in the plan."""
+    grid = Grid.table(spark, k=["a", "b"]).product(Grid.scan(spark.range(20000).toDF("v"), "v"))
+    plan = workplan.build([Step("s0", (Import("g", grid, ("k",)),)), Step("s1", (Import("g", grid, ("v",)),), ("s0",))])
+    assert "collect_" not in plan.states["s0"]._jdf.queryExecution().toString()
+    assert not [t for n in ("s0", "s1") for df in (plan.states[n], plan.sets[n]["g"].words) for _, t in df.dtypes if t.startswith(("array", "binary"))]
+    assert {r.positions for r in workplan.drawn(plan, "s0", "g").collect()} == {20000} and plan.states["s1"].count() == 40000
 
 
 def test_aliases(spark):
