@@ -100,6 +100,11 @@ def word_count(text: str | Column) -> Column:
     return bare.cast("long")
 
 
+def valid_text(name: str = "text") -> Column:
+    """The column with U+FFFD for bytes that aren't UTF-8, which Parquet may hold and Python can't read."""
+    return F.make_valid_utf8(F.col(name)).alias(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, valid_text
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -20,11 +20,13 @@ def fold(parts: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int) -> DataFrame:
     """(doc_id, text, y): at most `most` labelled documents outside the held-out fold, least hash of the id first."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("y IS NOT NULL").filter(fold(parts) != held)
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = checkpoint(chosen.withColumnRenamed("doc_id", "__id"))
     # `most` rows of two numbers: the bound of the sample bounds the broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    return checkpoint(found.select("doc_id", "text", "y").dropDuplicates(["doc_id"]))
+    found = docs.select("doc_id", valid_text()).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    # Of rows that share an id the least label and the text of least hash count, so that reruns agree.
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.coalesce(F.octet_length("text"), F.lit(-1))))
+    return checkpoint(found.groupBy("doc_id", "y").agg(least.alias("text")).select("doc_id", "text", "y"))
 
 
 def words(data: bytes, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

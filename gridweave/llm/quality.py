@@ -8,7 +8,7 @@ of that sample, each document becomes a short unit vector. The labelled vectors
 every document's cosines with all of them are exact products, block by block, and its nearest neighbours vote with
 their similarity.
 
-Defined cases: null and empty texts are the zero vector, similar to nothing, and score the sample's share of label 1;
+Defined cases: bytes that aren't UTF-8 count as U+FFFD; null and empty texts are the zero vector, similar to nothing, and score the sample's share of label 1;
 so does every row if nothing is labelled (0.5); ties among neighbours go to the lower position in the sample; rows
 that repeat a doc_id score by their own text; other columns, and labels outside the training folds, are never read.
 """
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import valid_text
 from .labelled import fold, training_rows, words
 
 #: Bound of the labelled sample, latent dimensions, and voters.
@@ -101,7 +102,7 @@ def _counted(rows: DataFrame, fields: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), *packed], [*fields, "at", "counts"])
 
     kinds = ", ".join(f"{f} {rows.schema[f].dataType.simpleString()}" for f in fields)
-    return rows.select(*fields, "text").mapInArrow(run, f"{kinds}, at binary, counts binary")
+    return rows.select(*fields, valid_text()).mapInArrow(run, f"{kinds}, at binary, counts binary")
 
 
 def truncated_svd(blocks: Callable[[], Iterator[np.ndarray]], centre: np.ndarray, rank: int) -> np.ndarray:
@@ -187,7 +188,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score([x.as_py() for x in batch.column(1)]))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    found = docs.select("doc_id", valid_text()).mapInArrow(run, f"doc_id {kind}, score double")
     return found.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -9,7 +9,7 @@ meets is verified by the bit count of the whole. A part value that more than `BU
 off: its probes look up, one by one, the fingerprints that can still be within the distance. Only distinct fingerprints
 take part, so copies never meet each other, and links are reduced to components without ever being gathered.
 
-Defined cases: null texts count as empty; texts without words have fingerprint zero and are linked like others; texts
+Defined cases: bytes that aren't UTF-8 count as U+FFFD; null texts count as empty; texts without words have fingerprint zero and are linked like others; texts
 shorter than a shingle are one shingle; equal fingerprints are one class; repeated rows each get their row; an empty
 table gives an empty result; columns other than doc_id and text are ignored.
 """
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, checkpoint, drop_rows, with_text_key
+from .common import TEXT_KEY, checkpoint, drop_rows, valid_text, with_text_key
 from .components import components
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(found, pa.int64())], [*fields, "fp"])
 
     kinds = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in fields)
-    return docs.select(*fields, "text").mapInArrow(run, f"{kinds}, fp long")
+    return docs.select(*fields, valid_text()).mapInArrow(run, f"{kinds}, fp long")
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:

@@ -8,7 +8,7 @@ There the windows' 128-bit hashes (two polynomials over 128-bit digests of the w
 of each is found. Longer levels would add nothing to what is covered. Last, each document removes the words under windows
 that start in an earlier one.
 
-Defined cases: null texts have no words; texts shorter than a window lose nothing; a window that repeats within one
+Defined cases: bytes that aren't UTF-8 count as U+FFFD; null texts have no words; texts shorter than a window lose nothing; a window that repeats within one
 document only is kept; no row is smaller than another of the same doc_id, but each loses only words of its own text;
 rows without a doc_id come after all others, by the hash of their text, so only equal texts among them are kept side by
 side; an empty table gives an empty result; only doc_id and text are read.
@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint
+from .common import BROADCAST_ROWS, checkpoint, valid_text
 
 WINDOW = 50
 #: Length of the first level, or up to twice that.
@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, broadcast_rows: int =
 
     Texts shorter than a window can't lose words; rows that share a doc_id lose what repeats in their own text.
     """
-    docs = told_apart(docs)
+    docs = told_apart(docs.withColumn("text", valid_text()))
     marked = _joined(docs, checkpoint(repeated_windows(docs, window, broadcast_rows))).select("doc_id", "text", "first", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ keeps its count for later groups of the task; beyond a bound they are computed a
 The vocabulary is a public one; its order stands in for frequencies: log p falls with the log of a piece's rank. A
 character that no piece covers costs its UTF-8 bytes, each one token. Of equal scores the fewer tokens count.
 
-Defined cases: null and empty texts have no tokens; words of any length are segmented whole; rows that repeat each get
+Defined cases: bytes that aren't UTF-8 count as U+FFFD; null and empty texts have no tokens; words of any length are segmented whole; rows that repeat each get
 their row; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import valid_text
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose documents are segmented together, and terminals that a task keeps.
@@ -103,4 +105,4 @@ def token_counts(docs: DataFrame, scores: dict[str, float] | None = None, held:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long")
+    return docs.select("doc_id", valid_text()).mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long")

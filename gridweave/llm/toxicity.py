@@ -6,7 +6,7 @@ the FTRL-proximal rule with its own rate for each coordinate; L1 keeps most weig
 shards of the sample start from the common state and go over their rows in a fixed order; the states are averaged.
 The weights that aren't zero are broadcast, at most 2**BITS of them, and a score is one pass over a document's words.
 
-Defined cases: null and empty texts have no features and score by the intercept alone; without labelled rows all
+Defined cases: bytes that aren't UTF-8 count as U+FFFD; null and empty texts have no features and score by the intercept alone; without labelled rows all
 scores are 0.5; rows that repeat a doc_id score by their own text; one label of a doc_id that has several counts;
 columns other than doc_id and text, and labels outside the training folds, are never read for a score.
 """
@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import valid_text
 from .labelled import fold, scramble, training_rows, words
 
 BITS = 18
@@ -149,7 +150,7 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(x.as_py() for x in batch.column(1)))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", valid_text()).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
