@@ -28,6 +28,8 @@ from ..functions.watch import Watch
 _SOURCES = count(1)
 #: Rows of a side that may be broadcast in a positional merge.
 MERGE_BROADCAST = 200_000
+#: Rows of a literal table in a partition.
+LITERAL_ROWS = 4096
 
 
 def _pk(column: str) -> str:
@@ -89,7 +91,7 @@ class Grid:
             for i in range(longest)
         ]
         schema = f"`{POS}` long" + "".join(f", `{n}` {_held_type(types[n])}, `{_pk(n)}` struct<src: bigint, idx: bigint>" for n in lists)
-        return Grid(_given(spark.createDataFrame(rows, schema), types), tuple(lists), None, True, warnings)
+        return Grid(_given(spark.createDataFrame(rows, schema), types, longest), tuple(lists), None, True, warnings)
 
     @staticmethod
     def from_rows(spark: SparkSession, rows: Sequence[dict[str, Any]]) -> Grid:
@@ -103,7 +105,7 @@ class Grid:
         types = {n: _literal_type([r[n] for r in rows]) for n in names}
         schema = f"`{POS}` long" + "".join(f", `{n}` {_held_type(types[n])}" for n in names)
         columns = [_held([r[n] for r in rows], types[n]) for n in names]
-        return Grid(_given(spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*columns, strict=True))], schema), types), tuple(names), next(_SOURCES), True)
+        return Grid(_given(spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*columns, strict=True))], schema), types, len(rows)), tuple(names), next(_SOURCES), True)
 
     # Keys --------------------------------------------------------------------------------------------------------
 
@@ -396,6 +398,7 @@ def _held_type(kind: str) -> str:
     return "string" if kind == cells.VARIANT else kind
 
 
-def _given(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Literal columns of mixed kinds, which come as text, as cells."""
+def _given(df: DataFrame, types: dict[str, str], rows: int) -> DataFrame:
+    """A literal table: cells of mixed kinds, which come as text, as such, and few partitions, since products multiply them."""
+    df = df.coalesce(max(1, rows // LITERAL_ROWS))
     return df.select(*(cells.from_literals(F.col(c)).alias(c) if types.get(c) == cells.VARIANT else F.col(c) for c in df.columns))
