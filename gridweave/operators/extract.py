@@ -70,6 +70,29 @@ def extract_strict(work: DataFrame, patterns: Mapping[str, str], key: str, keep:
     return extract(work.where(finished), patterns, [key, *keep], text)
 
 
+def analyse(
+    work: DataFrame, helpers: Sequence[tuple[str, str | tuple[str, str]]], columns: Sequence[str], values: Sequence[str] = (), key: str = "run_id", text: str = "text"
+) -> DataFrame:
+    """The key and `columns` in their order, each the name of a helper pattern or of a value of the work.
+
+    Patterns that no column names aren't run. Of two helpers with one name (E414), a helper with a value's name (E413), a
+    column that is neither (E415) or is named twice (E413) the plan is refused.
+    """
+    names = [n for n, _ in helpers]
+    if doubled := sorted({n for n in names if names.count(n) > 1}):
+        raise GridError("E414", f"helpers named twice: {doubled}")
+    if taken := [n for n in names if n in values or n == key]:
+        raise GridError("E413", f"helpers named as values: {taken}")
+    if unknown := [c for c in columns if c not in names and c not in values]:
+        raise GridError("E415", f"unknown columns {unknown}")
+    if doubled := sorted({c for c in columns if columns.count(c) > 1}):
+        raise GridError("E413", f"columns named twice: {doubled}")
+    used = {n: p for n, p in helpers if n in columns}
+    rows = extract(work, used, [key, *(c for c in columns if c in values)], text)
+    shown = [t for c in columns for t in (titles(c, compile_pattern(used[c] if isinstance(used[c], str) else used[c][1])) if c in used else [c])]
+    return rows.select(key, "match_ix", *(F.col(f"`{t}`") for t in shown))
+
+
 def summary(outputs: Mapping[str, DataFrame]) -> DataFrame:
     """(output, n_rows, n_columns) of each named result."""
     rows = [df.agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns")) for name, df in outputs.items()]

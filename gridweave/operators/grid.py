@@ -10,7 +10,7 @@ key columns, and their projection is a plain select.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce as fold_left
 from itertools import count
 from typing import Any
@@ -52,6 +52,8 @@ class Grid:
     warnings: tuple[str, ...] = ()
     #: Came from a scalar or a list, not from a table: its one column goes by its name alone.
     bare: bool = False
+    #: What is known of the number of rows: the number, or how to find it out.
+    _known: dict[str, int | Callable[[], int]] = field(init=False, default_factory=dict, compare=False, repr=False)
 
     # Sources -----------------------------------------------------------------------------------------------------
 
@@ -91,7 +93,7 @@ class Grid:
             for i in range(longest)
         ]
         schema = f"`{POS}` long" + "".join(f", `{n}` {_held_type(types[n])}, `{_pk(n)}` struct<src: bigint, idx: bigint>" for n in lists)
-        return Grid(_given(spark.createDataFrame(rows, schema), types, longest), tuple(lists), None, True, warnings)
+        return Grid(_given(spark.createDataFrame(rows, schema), types, longest), tuple(lists), None, True, warnings)._rows(longest)
 
     @staticmethod
     def from_rows(spark: SparkSession, rows: Sequence[dict[str, Any]]) -> Grid:
@@ -105,7 +107,7 @@ class Grid:
         types = {n: _literal_type([r[n] for r in rows]) for n in names}
         schema = f"`{POS}` long" + "".join(f", `{n}` {_held_type(types[n])}" for n in names)
         columns = [_held([r[n] for r in rows], types[n]) for n in names]
-        return Grid(_given(spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*columns, strict=True))], schema), types, len(rows)), tuple(names), next(_SOURCES), True)
+        return Grid(_given(spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*columns, strict=True))], schema), types, len(rows)), tuple(names), next(_SOURCES), True)._rows(len(rows))
 
     # Keys --------------------------------------------------------------------------------------------------------
 
@@ -119,10 +121,18 @@ class Grid:
         if self.dense:
             return self
         # Keys hold old positions, so they are written down first.
-        return replace(self, df=densify(self.keyed()), row_keyed=None, dense=True)
+        return replace(self, df=densify(self.keyed()), row_keyed=None, dense=True)._rows(self.length)
 
     def length(self) -> int:
-        return self.df.count()
+        """Rows, counted at most once, and not at all where they follow from the operands'."""
+        known = self._known.get("rows", self.df.count)
+        if callable(known):
+            known = self._known["rows"] = known()
+        return known
+
+    def _rows(self, known: int | Callable[[], int]) -> Grid:
+        self._known["rows"] = known
+        return self
 
     # Algebra -----------------------------------------------------------------------------------------------------
 
@@ -130,9 +140,12 @@ class Grid:
         """Every row with every row, left-major; a shared column must be equal everywhere, else reading raises E042."""
         right = other.densified()
         a, b, shared = _sides(self.keyed(), right.keyed(), self.columns, right.columns)
-        size = b.agg(F.count(F.lit(1)).alias("__n"))
-        joined = a.crossJoin(b).crossJoin(F.broadcast(size))  # the operation is the Cartesian product
-        return self._merged(joined, right, shared, F.col("__l_pos") * F.col("__n") + F.col("__r_pos"), self.dense)
+        joined, size = a.crossJoin(b), right._known.get("rows")  # the operation is the Cartesian product
+        if not isinstance(size, int):  # counted with the rows, not before
+            joined = joined.crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("__n"))))
+        times = F.lit(size) if isinstance(size, int) else F.col("__n")
+        out = self._merged(joined, right, shared, F.col("__l_pos") * times + F.col("__r_pos"), self.dense)
+        return out if shared else out._rows(lambda: self.length() * right.length())
 
     def merge(self, other: Grid) -> Grid:
         """Row i of the longer with row i of the shorter, which repeats cyclically; an empty side empties the result."""
@@ -148,7 +161,8 @@ class Grid:
             joined = steps.join(hint(a, m), F.col("__i") % max(m, 1) == F.col("__l_pos")).join(hint(b, n), F.col("__i") % max(n, 1) == F.col("__r_pos"))
         uneven = ("W101",) if longest and longest % min(m, n) else ()
         merged = left._merged(joined, right, shared, F.col("__i"), True)
-        return replace(merged, warnings=(*merged.warnings, *uneven))
+        out = replace(merged, warnings=(*merged.warnings, *uneven))
+        return out if shared else out._rows(longest)
 
     def _merged(self, joined: DataFrame, right: Grid, shared: list[str], position: Column, dense: bool) -> Grid:
         mine, theirs = self.kinds, right.kinds
@@ -176,7 +190,7 @@ class Grid:
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return Grid(df, first.columns, None, True, tuple(w for g in grids for w in g.warnings))
+        return Grid(df, first.columns, None, True, tuple(w for g in grids for w in g.warnings))._rows(lambda: sum(g.length() for g in grids))
 
     # Columns and rows --------------------------------------------------------------------------------------------
 
@@ -186,7 +200,7 @@ class Grid:
         if unknown := [n for n in wanted if n not in self.columns]:
             raise GridError("E106", f"unknown columns {unknown}")
         if self.row_keyed is not None:
-            return replace(self, df=self.df.select(*wanted, POS), columns=wanted)
+            return replace(self, df=self.df.select(*wanted, POS), columns=wanted)._rows(self.length)
         first = F.row_number().over(Window.partitionBy(*(_pk(c) for c in wanted)).orderBy(POS))
         df = self.df.select(POS, *(x for c in wanted for x in (c, _pk(c)))).withColumn("__rn", first).where("__rn = 1").drop("__rn")
         return Grid(df, wanted, None, False, self.warnings)
@@ -197,7 +211,7 @@ class Grid:
             raise GridError("E106", f"unknown columns {missing}")
         columns = check_names([new.get(c, c) for c in self.columns])
         shown = [x for c, d in zip(self.columns, columns, strict=True) for x in ([F.col(c).alias(d)] if self.row_keyed is not None else [F.col(c).alias(d), F.col(_pk(c)).alias(_pk(d))])]
-        return replace(self, df=self.df.select(POS, *shown), columns=columns)
+        return replace(self, df=self.df.select(POS, *shown), columns=columns)._rows(self.length)
 
     @property
     def kinds(self) -> dict[str, str]:
@@ -226,7 +240,7 @@ class Grid:
         traced = {name: self.trace(f) for name, f in columns.items()}
         df = self.keyed() if watch is None else watch.observed(self.keyed(), {"W102": any_of([e.wraps() for e in traced.values()])})
         added = [x for name, e in traced.items() for x in (e.column.alias(name), _key(next(_SOURCES), F.col(POS)).alias(_pk(name)))]
-        return replace(self, df=df.select(*df.columns, *added), columns=taken, row_keyed=None)
+        return replace(self, df=df.select(*df.columns, *added), columns=taken, row_keyed=None)._rows(self.length)
 
     def gather(self, indexes: Sequence[int]) -> Grid:
         """Rows by 0-based index, repeats and order kept."""
@@ -266,7 +280,7 @@ class Grid:
         """Stable sort by the keys, of any type that has an order; ties keep their order in both directions."""
         columns = [F.col(k) if isinstance(k, str) else k for k in keys]
         if not descending:
-            return replace(self, df=position_by(self.keyed(), columns), row_keyed=None, dense=True)
+            return replace(self, df=position_by(self.keyed(), columns), row_keyed=None, dense=True)._rows(self.length)
         # Rising order with ties turned round, read from the end.
         turned = position_by(self.keyed().withColumn(POS, -F.col(POS)), columns)
         return replace(self, df=turned.withColumn(POS, F.lit(self.length() - 1) - F.col(POS)), row_keyed=None, dense=True)

@@ -18,7 +18,7 @@ from .functions.patterns import compile_pattern
 from .functions.shared import settled
 from .functions.tracing import choose
 from .functions.watch import Watch
-from .operators.extract import extract, extract_strict, extract_weak, matches, merged_type, substitute, substitute_all, substitution_count, summary
+from .operators.extract import analyse, extract, extract_strict, extract_weak, matches, merged_type, substitute, substitute_all, substitution_count, summary
 from .operators.grid import Grid
 from .plans import frontier, status, workplan, worktypes
 from .plans.workplan import Import, Step
@@ -523,6 +523,17 @@ def extract_summary(s: SparkSession, d: str) -> DataFrame:
     return summary({"urls": extract(_t(s, d, "pages"), {}, ["page_id", "url"], "html"), "props": extract_props(s, d)})
 
 
+@query(r"""
+WITH m AS (SELECT page_id, url, regexp_extract_all(html, '<p>([A-Za-z]+)', 1) AS a, regexp_extract_all(html, '<title>([A-Za-z]+)', 1) AS t FROM pages),
+n AS (SELECT *, unnest(range(1, greatest(len(a), len(t)) + 1)) AS i FROM m)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS match_ix, t[i] AS title, url, a[i] AS first_word FROM n
+""")
+def analyse_columns(s: SparkSession, d: str) -> DataFrame:
+    """Columns by name, of helper patterns and values; a helper that no column names isn't run."""
+    helpers = [("first_word", "<p>([[:alpha:]]+)"), ("title", "<title>([[:alpha:]]+)"), ("link", 'href="([^"]+)"')]
+    return analyse(_t(s, d, "pages"), helpers, ["title", "url", "first_word"], ["url"], "page_id", "html")
+
+
 # Sources and sinks -----------------------------------------------------------------------------------------------
 
 

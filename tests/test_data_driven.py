@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.draws import Seeds, draw
 from gridweave.functions.values import GridError
-from gridweave.operators.extract import extract, merged_type, substitute
+from gridweave.operators.extract import analyse, extract, merged_type, substitute
 from gridweave.operators.grid import Grid
 from gridweave.plans import frontier, workplan, worktypes
 from gridweave.plans.workplan import Import, Step
@@ -200,3 +200,28 @@ def test_parameter_titles(spark):
     assert workplan.parameters(none).columns == ["t.t", "row", "step"]
 
 
+
+
+def test_analyses_name_their_columns(spark):
+    work = spark.createDataFrame([("r0", 7, "n=1 p=a-2 n=3")], "run_id string, v long, text string")
+    helpers = [("n", "n=%d"), ("p", "p=([a-z])-%d"), ("unused", "(")]
+    with pytest.raises(GridError):
+        analyse(work, helpers, ["unused"])  # only then is it compiled
+    rows = analyse(work, helpers, ["p", "v", "n"], ["v"]).orderBy("match_ix").collect()
+    assert list(rows[0].asDict()) == ["run_id", "match_ix", "p.0", "p.1", "v", "n"] and [tuple(r) for r in rows] == [("r0", 0, "a", 2, 7, 1), ("r0", 1, None, None, 7, 3)]
+    for args, code in ((([*helpers, ("n", "x%d")], ["n"]), "E414"), (([("v", "x%d")], ["v"], ["v"]), "E413"), ((helpers, ["w"]), "E415"), ((helpers, ["n", "n"]), "E413")):
+        with pytest.raises(GridError, match=code):
+            analyse(work, *args)
+
+
+def test_rows_are_counted_once_or_not_at_all(spark):
+    counted = []
+    base = Grid.scan(spark.range(6).select("id", (F.col("id") % 2).alias("k")), "id")
+    literal = Grid.table(spark, x=[1, 2, 3])
+    spark.sparkContext.setJobGroup("lengths", "")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("lengths"))
+    product = literal.product(Grid.table(spark, y=[1, 2])).rename(x="z")
+    assert product.length() == 6 and product.merge(Grid.table(spark, w=[1])).length() == 6 and Grid.rbind(product, product).length() == 12 and jobs() == 0
+    assert base.length() == 6 and base.project("k").length() == 6 and base.product(literal).length() == 18
+    counted.append(jobs())
+    assert base.filter(lambda r: r.k == 1).length() == 3 and base.order("k").length() == 6 and counted[0] <= 2
