@@ -16,8 +16,8 @@ side; an empty table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpoint, valid_text
 
+#: Anchors of a level that a broadcast filter may mark, and its bits for each (64 MB at most).
+MARKED_ANCHORS, ANCHOR_BITS = 1 << 24, 32
+
 WINDOW = 50
 #: Length of the first level, or up to twice that.
 FIRST = 25
@@ -79,12 +82,39 @@ def anchors(hashes: np.ndarray, window: int, length: int) -> np.ndarray:
     return np.minimum(least[: len(parts) - span + 1], least[span - width :]) if len(parts) >= span else np.empty(0, "u8")
 
 
-def _candidates(hashes: np.ndarray, window: int, alive: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Starts of the windows whose anchors are alive on all of these levels, given as (length, sorted anchors)."""
+#: Bits of an anchor, by shift, that give its places in a filter; the highest are no good, since anchors are minima.
+_MARKS = (0, 20)
+
+
+def anchor_filter(anchors: DataFrame, n: int) -> np.ndarray:
+    """Bytes that mark the n anchors, two bits each; built where the rows lie, 4 KB a row reach the driver."""
+    size = 1 << max(15, (ANCHOR_BITS * n - 1).bit_length())
+    place = F.explode(F.array(*(F.shiftrightunsigned("anchor", s).bitwiseAND(size - 1) for s in _MARKS)))
+    parts = anchors.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    marks = np.zeros((size >> 15, 4096), "u1")
+    for row in parts.toLocalIterator():
+        marks[row.part] = np.frombuffer(row.bits, "u1")
+    return marks.ravel()
+
+
+def _marked(marks: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    places = [(anchors >> np.uint64(s)) & np.uint64(8 * len(marks) - 1) for s in _MARKS]
+    return np.logical_and.reduce([marks[p >> np.uint64(3)] >> (p & np.uint64(7)).astype("u1") & 1 for p in places])
+
+
+def _listed(held: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    return held[np.minimum(np.searchsorted(held, anchors), len(held) - 1)] == anchors if len(held) else np.zeros(len(anchors), bool)
+
+
+#: Length of a level, and whether an anchor lives there; false ones are let through, and only cost.
+Level = tuple[int, Callable[[np.ndarray], np.ndarray]]
+
+
+def _candidates(hashes: np.ndarray, window: int, alive: list[Level]) -> np.ndarray:
+    """Starts of the windows whose anchors are alive on all of these levels."""
     left = np.ones(max(len(hashes) - window + 1, 0), bool)
-    for length, held in alive:
-        least = anchors(hashes, window, length)
-        left &= held[np.minimum(np.searchsorted(held, least), len(held) - 1)] == least if len(held) else False
+    for length, lives in alive:
+        left &= lives(anchors(hashes, window, length))
     return np.flatnonzero(left)
 
 
@@ -119,15 +149,15 @@ def _joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 class Alive:
-    """Anchors that are alive by level: sorted arrays that are broadcast, or lists that the rows carry in columns."""
+    """Anchors that are alive by level: filters that are broadcast, or lists that the rows carry in columns."""
 
     def __init__(self) -> None:
-        self.broadcasts: list[tuple[int, Broadcast]] = []
+        self.filters: list[tuple[int, Broadcast]] = []
         self.columns: list[tuple[int, str]] = []
 
-    def of(self, batch: pa.RecordBatch, i: int) -> list[tuple[int, np.ndarray]]:
+    def of(self, batch: pa.RecordBatch, i: int) -> list[Level]:
         mine = [(length, batch.column(c)[i].as_py() or ()) for length, c in self.columns]
-        return [(n, held.value) for n, held in self.broadcasts] + [(n, np.sort(np.array(x, "i8").view("u8"))) for n, x in mine]
+        return [(n, partial(_marked, marks.value)) for n, marks in self.filters] + [(n, partial(_listed, np.sort(np.array(x, "i8").view("u8")))) for n, x in mine]
 
 
 def anchor_rows(docs: DataFrame, window: int, length: int, alive: Alive) -> DataFrame:
@@ -174,7 +204,7 @@ def whole_windows(docs: DataFrame, window: int, alive: Alive) -> DataFrame:
     return docs.select("text", *names, *(c for _, c in alive.columns)).mapInArrow(run, f"h1 long, h2 long, at int, {_kinds(docs)}")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, marked: int = MARKED_ANCHORS) -> DataFrame:
     """(doc_id, KEY if `docs` has it, first, last: array<int>): runs of windows, by start word, that also start in a document before.
 
     `docs` come from `told_apart`.
@@ -183,10 +213,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, broadcast_rows: int
     for length in levels(window)[:-1]:
         rows = anchor_rows(left, window, length, alive)
         survivors = checkpoint(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-        n = survivors.limit(broadcast_rows + 1).count()
-        if n <= broadcast_rows:
-            held = np.sort(np.array(survivors.toPandas()["anchor"], "i8").view("u8"))
-            alive.broadcasts.append((length, docs.sparkSession.sparkContext.broadcast(held)))
+        n = survivors.count()
+        if n <= marked:
+            alive.filters.append((length, docs.sparkSession.sparkContext.broadcast(anchor_filter(survivors, n))))
         else:
             name = f"alive_{length}"
             mine = rows.join(survivors, "anchor", "left_semi").groupBy(*names).agg(F.collect_list("anchor").alias(name))
@@ -194,7 +223,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, broadcast_rows: int
             alive.columns.append((length, name))
         if not n:
             break
-    windows = whole_windows(left, window, alive)
+    windows = checkpoint(whole_windows(left, window, alive))  # read twice
     ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("open")]
     repeats, after = "(first < last OR first IS NOT NULL AND open)", "(doc_id > first OR doc_id IS NULL AND first IS NOT NULL)"
     if KEY in names:  # rows without a doc_id, among themselves
@@ -220,13 +249,13 @@ def covered(n: int, first: list[int], last: list[int], window: int) -> np.ndarra
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, marked: int = MARKED_ANCHORS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the kept words, joined by one space.
 
     Texts shorter than a window can't lose words; rows that share a doc_id lose what repeats in their own text.
     """
     docs = told_apart(docs.withColumn("text", valid_text()))
-    marked = _joined(docs, checkpoint(repeated_windows(docs, window, broadcast_rows))).select("doc_id", "text", "first", "last")
+    marked = _joined(docs, checkpoint(repeated_windows(docs, window, marked))).select("doc_id", "text", "first", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

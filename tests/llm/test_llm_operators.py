@@ -207,11 +207,11 @@ def brute_contamination(texts, items, window):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [1_000_000, 100])
-def test_contamination(spark, texts, block_rows):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 100])
+def test_contamination(spark, texts, broadcast_rows):
     items = [(1, texts[0]), (2, texts[3]), (10, "one"), (11, None), (12, "..."), (13, "two words"), (1, texts[0]), (14, texts[0].upper()), (15, texts[-3])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in decontamination.contamination(documents(spark, texts), bench, block_rows=block_rows).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in decontamination.contamination(documents(spark, texts), bench, broadcast_rows=broadcast_rows).collect()}
     expected = brute_contamination(texts, items, 13)
     assert got == expected
     kept = {r.doc_id for r in decontamination.drop_contaminated(documents(spark, texts), bench).collect()}
@@ -232,10 +232,43 @@ def test_a_large_benchmark_lets_only_its_own_windows_through(spark):
     assert windows.count() > 200_000
     hits = decontamination.window_hits(docs.withColumn("key", F.col("doc_id")), windows, ["key"]).filter("pos > 0").collect()
     assert [(r.key, r.pos) for r in sorted(hits, key=lambda r: r.pos)] == [(7, 301 + k) for k in range(8)]
-    report = {r.doc_id: (r.n_hit, list(r.item_ids)) for r in decontamination.contamination(docs, bench, block_rows=100_000).collect()}
+    report = {r.doc_id: (r.n_hit, list(r.item_ids)) for r in decontamination.contamination(docs, bench, broadcast_rows=100_000).collect()}
     assert report == {i: (20, ["3"]) if i == 7 else (0, []) for i in range(200)}
 
 
+@pytest.mark.parametrize("bits", [decontamination.FILTER_BITS, decontamination.ROW_BITS])
+def test_any_benchmark_costs_one_scan(spark, texts, tmp_path, monkeypatch, bits):
+    """Beyond the bound of the hash set a bit filter of fixed size stands for it, be it full; the words decide."""
+    monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
+    items = [(1, texts[0]), (2, texts[3]), (10, "one"), (13, "two words"), (15, texts[-3])] + [(100 + i, " ".join(f"x{i}y{k}" for k in range(400))) for i in range(25)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    path = str(tmp_path / "held_docs")
+    documents(spark, texts).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in decontamination.contamination(docs, bench, broadcast_rows=10).collect()}
+    assert got == brute_contamination(texts, items, 13)
+    windows, _ = decontamination.benchmark_windows(bench)
+    probes = windows.select("probe").distinct()
+    filtered, buckets = decontamination.hash_filter(probes, probes.count())
+    assert filtered.count() == buckets and {len(r.bits) for r in filtered.collect()} == {decontamination.ROW_BITS // 64}
+    plan = decontamination.window_hits(docs, windows, ["doc_id"], 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("doc_id" in line and "Relation" in line for line in plan.splitlines()) == 1
+
+
+def test_filters_of_anchors_lose_none(spark):
+    draw = np.random.default_rng(4)
+    hashes = draw.integers(0, 1 << 63, 40_000, dtype="u8") >> np.uint64(5)  # small, as minima are
+    inside, outside = hashes[:20_000], hashes[20_000:]
+    rows = spark.createDataFrame([(int(x),) for x in inside.view("i8")], "anchor long")
+    marks = substring_dedup.anchor_filter(rows, len(inside))
+    assert substring_dedup._marked(marks, inside).all()
+    assert substring_dedup._marked(marks, outside).mean() < 0.02
+    high = np.array([-1, -(1 << 63), (1 << 63) - 1], "i8")
+    marks = substring_dedup.anchor_filter(spark.createDataFrame([(int(x),) for x in high], "anchor long"), 3)
+    assert substring_dedup._marked(marks, high.view("u8")).all()
+    assert not substring_dedup._marked(substring_dedup.anchor_filter(rows.limit(0), 0), inside).any()
+
+
 def test_mixing(spark):
     draw = random.Random(3)
     texts = [" ".join(["w"] * draw.choice([1, 3, 10, 40, 200])) for _ in range(600)] + [None, "", "x"]
