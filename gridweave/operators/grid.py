@@ -30,6 +30,8 @@ _SOURCES = count(1)
 MERGE_BROADCAST = 200_000
 #: Rows of a literal table in a partition.
 LITERAL_ROWS = 4096
+#: Types that grouping refuses or changes, as it does -0.0.
+_NOT_GROUPED = ("double", "float", "map<", cells.VARIANT)
 
 
 def _pk(column: str) -> str:
@@ -65,8 +67,8 @@ class Grid:
     def scan(df: DataFrame, position: str | Column) -> Grid:
         """A table with a dense 0-based `position`; one source row per row."""
         at = F.col(position) if isinstance(position, str) else position
-        columns = check_names(df.columns)
-        return Grid(df.select(*df.columns, at.cast("long").alias(POS)), columns, next(_SOURCES), True)
+        columns = check_names([c for c in df.columns if c != POS])
+        return Grid(df.select(*columns, at.cast("long").alias(POS)), columns, next(_SOURCES), True)
 
     @staticmethod
     def ordered(df: DataFrame, *keys: str) -> Grid:
@@ -201,8 +203,12 @@ class Grid:
             raise GridError("E106", f"unknown columns {unknown}")
         if self.row_keyed is not None:
             return replace(self, df=self.df.select(*wanted, POS), columns=wanted)._rows(self.length)
+        shown = [x for c in wanted for x in (c, _pk(c))]
+        if not any(mark in self.kinds[c] for c in wanted for mark in _NOT_GROUPED):
+            # A key's value is one and the same, so a hash aggregate over both finds the first positions where rows lie.
+            return Grid(self.df.groupBy(*shown).agg(F.min(POS).alias(POS)), wanted, None, False, self.warnings)
         first = F.row_number().over(Window.partitionBy(*(_pk(c) for c in wanted)).orderBy(POS))
-        df = self.df.select(POS, *(x for c in wanted for x in (c, _pk(c)))).withColumn("__rn", first).where("__rn = 1").drop("__rn")
+        df = self.df.select(POS, *shown).withColumn("__rn", first).where("__rn = 1").drop("__rn")
         return Grid(df, wanted, None, False, self.warnings)
 
     def rename(self, **new: str) -> Grid:

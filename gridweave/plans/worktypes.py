@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions import values as V
-from ..functions.values import FLOAT, INT, GridError
+from ..functions.values import FLOAT, INT, GridError, check_names
+from ..functions.positions import POS
 from ..operators.extract import merged_type
+from ..operators.grid import Grid
 
 #: Keys of one step, which become columns.
 MOST_KEYS = 10_000
@@ -78,6 +80,24 @@ def typed_steps(work: DataFrame, keep: Sequence[str] = ("run_id", "row"), values
     return {step: typed(work.where(F.col(by).eqNullSafe(F.lit(step))), found, keep, values) for step, found in types.items()}
 
 
+def grid_of_maps(rows: DataFrame, position: str, values: str = "values") -> Grid:
+    """Row dictionaries, a map in each row, as a grid whose columns share one source, in the first row's order.
+
+    One aggregate finds keys and types; no row reaches the driver but the first one's keys. `position` is 0..n-1. Rows whose
+    keys differ, a missing map among them, are an error, as are more than MOST_KEYS; no rows give a grid without columns.
+    """
+    held = rows.select(F.col(position).cast("long").alias(POS), F.col(values).alias("__values"), F.lit("").alias("__by"))
+    kinds = {r["key"]: r for r in value_kinds(held, "__values", "__by").limit(MOST_KEYS + 1).collect()}
+    n = held.count()
+    if any(r["n"] != n for r in kinds.values()):
+        raise GridError("E106", "rows must have the same keys")
+    if len(kinds) > MOST_KEYS:
+        raise GridError("E106", f"more than {MOST_KEYS} columns")
+    first = held.where(F.col(POS) == 0).select(F.map_keys("__values")).first() if kinds else None
+    names = check_names(list(first[0]) if first else [])
+    return Grid.scan(typed(held, [(k, kinds[k]["kind"]) for k in names], (POS,), "__values"), POS)._rows(n)
+
+
 def type_over_steps(kinds: DataFrame, key: str) -> str:
     """One type of a key in all steps of `value_kinds`."""
     return merged_type([r["kind"] for r in kinds.where(F.col("key") == key).select("kind").distinct().collect()])

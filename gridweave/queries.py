@@ -15,7 +15,7 @@ from .functions import cells, folds
 from .functions import values as V
 from .functions.draws import Seeds
 from .functions.patterns import compile_pattern
-from .functions.shared import settled
+from .functions.shared import settled, shared_folder
 from .functions.tracing import choose
 from .functions.watch import Watch
 from .operators.extract import analyse, extract, extract_strict, extract_weak, matches, merged_type, substitute, substitute_all, substitution_count, summary
@@ -539,10 +539,7 @@ def analyse_columns(s: SparkSession, d: str) -> DataFrame:
 
 def _folder(s: SparkSession) -> str:
     """A new folder that driver and tasks share; one of this machine's only where they are one process."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if shared is None and not s.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared or 'file://' + tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey, c_name || chr(10) || '\"x\"' AS c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_custkey % 2 = 0 AS even FROM customer")
@@ -647,10 +644,24 @@ def csv_sniffed(s: SparkSession, d: str) -> DataFrame:
     return read_csv(s, path)
 
 
-@query("SELECT 'a' AS k, 1 AS i UNION ALL SELECT 'b', 2 UNION ALL SELECT 'a', 1")
+@query("""
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, user_id::BIGINT AS user_id, event_type AS kind, event_id % 2 = 0 AS even,
+       CASE WHEN event_id % 4 = 0 THEN event_id ELSE event_id + 0.5 END::DOUBLE AS at, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE user_id::VARCHAR END AS tag
+FROM events
+""")
 def table_rows(s: SparkSession, d: str) -> DataFrame:
-    grid = Grid.from_rows(s, [{"k": "a", "i": 1}, {"k": "b", "i": 2}, {"k": "a", "i": 1}])
-    return grid.visible().withColumn("i", F.col("i").cast("int"))
+    """A row dictionary per event, as a map of texts, made a grid whose types come from all rows."""
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    texts = {
+        "user_id": user,
+        "kind": F.col("event_type"),
+        "even": F.when(e % 2 == 0, "true").otherwise("false"),
+        "at": F.when(e % 4 == 0, e.cast("string")).otherwise(F.concat(e.cast("string"), F.lit(".5"))),
+        "tag": F.when(e % 3 == 0, "x").otherwise(user),
+    }
+    held = _t(s, d, "events").select("event_id", F.create_map(*(x for k, c in texts.items() for x in (F.lit(k), c))).alias("row"))
+    rows = Grid.ordered(held.select("event_id"), "event_id").positioned().join(held, "event_id")
+    return worktypes.grid_of_maps(rows, "pos", "row").positioned()
 
 
 def _value_work(s: SparkSession, d: str) -> DataFrame:

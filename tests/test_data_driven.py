@@ -225,3 +225,29 @@ def test_rows_are_counted_once_or_not_at_all(spark):
     assert base.length() == 6 and base.project("k").length() == 6 and base.product(literal).length() == 18
     counted.append(jobs())
     assert base.filter(lambda r: r.k == 1).length() == 3 and base.order("k").length() == 6 and counted[0] <= 2
+
+
+def test_rows_of_maps_become_a_grid(spark):
+    rows = spark.range(40).select("id", F.expr("map('n', CAST(id AS STRING), 'half', CAST(IF(id % 2 = 0, id DIV 2, id / 2) AS STRING), 'yes', IF(id > 3, 'true', 'false'), 'a', IF(id = 7, 'x', '1'))").alias("row"))
+    grid = worktypes.grid_of_maps(rows, "id", "row")
+    assert grid.names == ("n", "half", "yes", "a") and grid.length() == 40
+    assert grid.kinds == {"n": "bigint", "half": "double", "yes": "boolean", "a": "string"}
+    assert grid.rows()[7] == {"n": 7, "half": 3.5, "yes": True, "a": "x"}
+    assert grid.project("a").length() == 40  # one source, so equal values stay apart
+    for uneven in ("IF(id = 5, map('n', '1'), row)", "IF(id = 5, CAST(NULL AS map<string, string>), row)"):
+        with pytest.raises(GridError, match="same keys"):
+            worktypes.grid_of_maps(rows.withColumn("row", F.expr(uneven)), "id", "row")
+    with pytest.raises(GridError, match="invalid column"):
+        worktypes.grid_of_maps(rows.withColumn("row", F.expr("map('1 x', 'v')")), "id", "row")
+    empty = worktypes.grid_of_maps(rows.limit(0), "id", "row")
+    assert empty.names == () and empty.length() == 0
+
+
+def test_projection_keeps_first_rows_of_keys(spark):
+    mixed = Grid.table(spark, a=["x", "x", "y"], f=[0.0, -0.0, 1.0]).product(Grid.table(spark, b=[1, 2]))
+    for names, found in ((("a",), ["x", "x", "y"]), (("b",), [1, 2])):
+        grid = mixed.project(*names)
+        assert grid.column(names[0]) == found
+        assert "Window" not in grid.df._jdf.queryExecution().optimizedPlan().toString()
+    assert [str(v) for v in mixed.project("f").column("f")] == ["0.0", "-0.0", "1.0"]
+    assert mixed.project("a", "b").length() == 6
