@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+
 #: A side with at most so many rows of a few longs (tens of MB) may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Text that a broadcast side may carry in all, in bytes.
@@ -21,22 +21,6 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only in local mode, where driver and tasks are one process, is a folder of our own set where that is unset; a
-    cluster without it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gridweave-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder.rstrip('/')}/gridweave-{spark.sparkContext.applicationId}"
-
-
 #: Subfolders of the blocks of `passing_tables` that are open.
 _OPEN: list[str] = []
 
