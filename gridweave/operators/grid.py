@@ -54,8 +54,8 @@ class Grid:
     warnings: tuple[str, ...] = ()
     #: Came from a scalar or a list, not from a table: its one column goes by its name alone.
     bare: bool = False
-    #: What is known of the number of rows: the number, or how to find it out.
-    _known: dict[str, int | Callable[[], int]] = field(init=False, default_factory=dict, compare=False, repr=False)
+    #: What is known of the rows: their number, or how to find it out, and the factors of a product; a changed grid knows nothing.
+    _known: dict[str, Any] = field(init=False, default_factory=dict, compare=False, repr=False)
 
     # Sources -----------------------------------------------------------------------------------------------------
 
@@ -75,7 +75,7 @@ class Grid:
         """A table numbered in the order of `keys`, which are unique together."""
         first = df.withColumn(POS, F.xxhash64(*keys))
         placed = position_by(first, [F.col(k) for k in keys])
-        return Grid(placed, check_names(df.columns), next(_SOURCES), True)
+        return Grid(placed, check_names(df.columns), next(_SOURCES), True)._rows(df.count)
 
     @staticmethod
     def table(spark: SparkSession, **columns: Any) -> Grid:
@@ -95,7 +95,8 @@ class Grid:
             for i in range(longest)
         ]
         schema = f"`{POS}` long" + "".join(f", `{n}` {_held_type(types[n])}, `{_pk(n)}` struct<src: bigint, idx: bigint>" for n in lists)
-        return Grid(_given(spark.createDataFrame(rows, schema), types, longest), tuple(lists), None, True, warnings)._rows(longest)
+        out = Grid(_given(spark.createDataFrame(rows, schema), types, longest), tuple(lists), None, True, warnings)._rows(longest)
+        return out._factors((out,)) if all(len(v) == longest for v in lists.values()) else out
 
     @staticmethod
     def from_rows(spark: SparkSession, rows: Sequence[dict[str, Any]]) -> Grid:
@@ -136,6 +137,15 @@ class Grid:
         self._known["rows"] = known
         return self
 
+    @property
+    def factors(self) -> tuple[Grid, ...] | None:
+        """Dense grids whose full product, left-major, this one is, if that is known; each column's keys tell all rows of its factor apart."""
+        return (self,) if self.row_keyed is not None and self.dense else self._known.get("factors")
+
+    def _factors(self, known: tuple[Grid, ...] | None) -> Grid:
+        self._known["factors"] = known
+        return self
+
     # Algebra -----------------------------------------------------------------------------------------------------
 
     def product(self, other: Grid) -> Grid:
@@ -147,7 +157,10 @@ class Grid:
             joined = joined.crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("__n"))))
         times = F.lit(size) if isinstance(size, int) else F.col("__n")
         out = self._merged(joined, right, shared, F.col("__l_pos") * times + F.col("__r_pos"), self.dense)
-        return out if shared else out._rows(lambda: self.length() * right.length())
+        if shared:
+            return out
+        parts = (*self.factors, *right.factors) if self.factors and right.factors else None
+        return out._rows(lambda: self.length() * right.length())._factors(parts)
 
     def merge(self, other: Grid) -> Grid:
         """Row i of the longer with row i of the shorter, which repeats cyclically; an empty side empties the result."""
@@ -217,7 +230,10 @@ class Grid:
             raise GridError("E106", f"unknown columns {missing}")
         columns = check_names([new.get(c, c) for c in self.columns])
         shown = [x for c, d in zip(self.columns, columns, strict=True) for x in ([F.col(c).alias(d)] if self.row_keyed is not None else [F.col(c).alias(d), F.col(_pk(c)).alias(_pk(d))])]
-        return replace(self, df=self.df.select(POS, *shown), columns=columns)._rows(self.length)
+        out, parts = replace(self, df=self.df.select(POS, *shown), columns=columns)._rows(self.length), self._known.get("factors")
+        if parts is None:
+            return out
+        return out._factors((out,) if parts == (self,) else tuple(p.rename(**{c: new[c] for c in p.columns if c in new}) for p in parts))
 
     @property
     def kinds(self) -> dict[str, str]:

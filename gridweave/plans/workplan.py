@@ -1,18 +1,21 @@
 """Workplans: a DAG of steps whose rows are parents' rows times the rows of imported grids.
 
 A step's state is a DataFrame with `row` (dense), its visible columns, and for each source grid it has drawn from the
-number of the set of that grid's positions it still may use (`__set_<source>`). The sets lie apart from the states that
-share them, in rows of fixed size: 64 positions as the bits of a word. When a step imports a source that its parents have
-used, sets and choices meet word by word, and states are joined with the choices that their set shares a position with,
-never by a filtered product. Parents whose positions have nothing in common still meet; only a later import finds no row
-then.
+number of the set of that grid's positions it still may use (`__set_<source>`). When a step imports a source that its
+parents have used, states are joined with the choices that their set shares a position with, never by a filtered product.
+
+What a projection of a product leaves are boxes: all positions with certain rows of some factors. A box is a number, its
+first position; boxes meet where the rows of the factors that both fix are the same, so no table of positions is made.
+Sets of other grids lie apart from the states that share them, in rows of fixed size: 64 positions as the bits of a word,
+and meet the choices' sets word by word. Parents whose positions have nothing in common still meet; only a later import
+finds no row then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import cache, partial, reduce
+from functools import cache, cached_property, partial, reduce
 from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,20 +86,124 @@ def as_grid(spark: SparkSession, value: object, name: str = "value") -> Grid:
 class Sets:
     """Sets of a source's positions: (set, word, bits), a row for each 64 positions of which the set has some."""
 
-    words: DataFrame
+    made: Callable[[], DataFrame]
     #: All numbers are below it.
     span: Callable[[], int]
 
+    @cached_property
+    def words(self) -> DataFrame:
+        return self.made()
+
     def met(self, other: Sets) -> Sets:
         """The intersection of each set with each of `other`, numbered by both; empty ones have no words."""
+        return Sets(lambda: self._met(other), lambda: self.span() * other.span())
+
+    def _met(self, other: Sets) -> DataFrame:
         theirs = other.words.select(F.col("set").alias("__other"), "word", F.col("bits").alias("__bits"))
         both = self.words.join(theirs, "word").withColumn("bits", F.col("bits").bitwiseAND(F.col("__bits"))).where("bits <> 0")
-        return Sets(both.select(self.pair(F.col("set"), F.col("__other"), other).alias("set"), "word", "bits"), lambda: self.span() * other.span())
+        return both.select((F.col("set") * other.span() + F.col("__other")).alias("set"), "word", "bits")
 
-    @staticmethod
-    def pair(mine: Column, theirs: Column, other: Sets) -> Column:
+    def pair(self, mine: Column, theirs: Column, other: Sets) -> Column:
+        """The number of the intersection of two sets."""
         return mine * other.span() + theirs
 
+    def of_choice(self, choice: Column) -> Column:
+        """The number of a choice's set."""
+        return choice
+
+    def sized(self, rows: DataFrame, column: str) -> DataFrame:
+        """`rows` with `positions`: how many the set has whose number the column holds, which goes."""
+        sizes = self.words.groupBy(F.col("set").alias("__size_of")).agg(F.sum(F.bit_count("bits").cast("long")).alias("positions"))
+        joined = rows.join(sizes, F.col(column) == F.col("__size_of"), "left").drop("__size_of", column)
+        return joined.withColumn("positions", F.coalesce("positions", F.lit(0)))
+
+
+@dataclass(frozen=True)
+class Boxes(Sets):
+    """Sets of a product's positions that hold one row of each factor in `fixed` and all rows of the others.
+
+    A position's digits are the rows of the factors. A set's number is its first position, whose other digits are zero;
+    the number of all positions stands for the empty set. Only where boxes meet sets of another kind are words made.
+    """
+
+    grid: Grid
+    fixed: frozenset[int]
+    #: Some sets may be empty.
+    hollow: bool = False
+
+    @staticmethod
+    def of(grid: Grid, fixed: frozenset[int], hollow: bool = False) -> Boxes:
+        made = lambda: _words(grid.df.select(out.digits(F.col(POS), fixed).alias("set"), POS))
+        out = Boxes(made, lambda: grid.length() + 1, grid, fixed, hollow)
+        return out
+
+    def alike(self, other: Sets) -> bool:
+        return isinstance(other, Boxes) and other.grid is self.grid
+
+    def size(self, factors: frozenset[int]) -> int:
+        return prod(self.grid.factors[i].length() for i in factors)
+
+    def stride(self, i: int) -> int:
+        """Positions that a factor's row takes up."""
+        return max(1, prod(f.length() for f in self.grid.factors[i + 1 :]))
+
+    def digits(self, at: Column, factors: frozenset[int]) -> Column:
+        """The position with these factors' rows and the first rows of the others."""
+        out = F.lit(0).cast("long")
+        for i in sorted(factors):
+            out = out + self.digit(at, i) * self.stride(i)
+        return out
+
+    def digit(self, at: Column, i: int) -> Column:
+        return _div(at, self.stride(i)) % max(1, self.grid.factors[i].length())
+
+    def rank(self, at: Column, factors: frozenset[int]) -> Column:
+        """The number of a set among those that differ in these factors' rows, in the order of their positions."""
+        out = F.lit(0).cast("long")
+        for i in sorted(factors):
+            out = out * self.grid.factors[i].length() + self.digit(at, i)
+        return out
+
+    def of_choice(self, choice: Column) -> Column:
+        out, below = F.lit(0).cast("long"), 1
+        for i in sorted(self.fixed, reverse=True):
+            n = max(1, self.grid.factors[i].length())
+            out, below = out + _div(choice, below) % n * self.stride(i), below * n
+        return out
+
+    def choices(self, cells: Mapping[str, str]) -> DataFrame:
+        """(choice, cells) of each set; cells are given as name and column."""
+        out = at = None
+        for i in sorted(self.fixed):
+            factor = self.grid.factors[i]
+            part = factor.df.select(F.col(POS).alias(f"__at{i}"), *(F.col(c).alias(name) for name, c in cells.items() if c in factor.columns))
+            if out is None:
+                out, at = part, F.col(f"__at{i}")
+            else:
+                out = out.crossJoin(_hinted(part, _measured(part)) if factor.length() <= BROADCAST_ROWS else part)
+                at = at * factor.length() + F.col(f"__at{i}")
+        return out.select(at.alias("__choice"), *cells)
+
+    def met(self, other: Sets) -> Sets:
+        if not self.alike(other):
+            return super().met(other)
+        return Boxes.of(self.grid, self.fixed | other.fixed, self.hollow or other.hollow or bool(self.fixed & other.fixed))
+
+    def pair(self, mine: Column, theirs: Column, other: Sets) -> Column:
+        if not self.alike(other):
+            return super().pair(mine, theirs, other)
+        common, n = self.fixed & other.fixed, self.grid.length()
+        met = (mine < n) & (theirs < n) & (self.digits(mine, common) == self.digits(theirs, common))
+        return F.when(met, mine + self.digits(theirs, other.fixed - self.fixed)).otherwise(F.lit(n).cast("long"))
+
+    def sized(self, rows: DataFrame, column: str) -> DataFrame:
+        n = F.lit(self.size(frozenset(range(len(self.grid.factors))) - self.fixed)).cast("long")
+        return rows.withColumn("positions", F.when(F.col(column) < self.grid.length(), n).otherwise(F.lit(0).cast("long")) if self.hollow else n).drop(column)
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
 
 @dataclass
 class Plan:
@@ -134,13 +241,17 @@ def topological(steps: Sequence[Step]) -> list[str]:
     return done
 
 
-def _choices(imported: Import, inherited: set[str]) -> tuple[DataFrame, list[str], DataFrame]:
-    """(choice, columns) and the words of the choices' positions: one choice per row of a full import, or per distinct
-    source rows of a projection.
+def _choices(imported: Import, inherited: set[str]) -> tuple[DataFrame, list[str], DataFrame | Boxes]:
+    """(choice, columns) and the choices' positions, as boxes or words: one choice per row of a full import, or per
+    distinct source rows of a projection.
     """
     grid, shown = imported.grid.densified(), imported.shown()
     fresh = {name: c for name, c in shown.items() if name not in inherited}
     projected = imported.columns is not None or len(fresh) < len(shown)
+    fixed = frozenset(i for i, f in enumerate(grid.factors or ()) if not projected or set(fresh.values()) & set(f.columns))
+    if fixed:
+        boxes = Boxes.of(grid, fixed)
+        return boxes.choices(fresh), list(fresh), boxes
     if not projected or imported.grid.row_keyed is not None:
         cells = (F.col(c).alias(name) for name, c in fresh.items())
         return grid.df.select(F.col(POS).alias("__choice"), *cells), list(fresh), _words(grid.df.select(F.col(POS).alias("set"), POS))
@@ -170,14 +281,23 @@ def _agreed(step: Step, columns: dict[str, tuple[str, str]], more: dict[str, tup
     return set(columns) & set(more)
 
 
-def _measured(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes, the latter by the lengths of texts and lists."""
+def _measured(df: DataFrame, rows: int | None = None) -> tuple[int, int]:
+    """Rows and bytes, the latter by the lengths of texts and lists; known to be too many rows, they aren't read."""
+    if rows is not None and rows > BROADCAST_ROWS:
+        return rows, 0
     width = F.lit(0)
     for c, kind in df.dtypes:
         width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else 8 * F.size(c) if kind.startswith("array") else F.lit(8))
     return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first())
 
 
+def _crossed(state: DataFrame, rows: int | None, choices: DataFrame, measure: tuple[int, int]) -> DataFrame:
+    """Their product; where the choices are too many, states of a known number are broadcast within the same bounds."""
+    if measure[0] > BROADCAST_ROWS and rows is not None and rows <= BROADCAST_ROWS:
+        return _hinted(state, _measured(state)).crossJoin(choices)
+    return state.crossJoin(_hinted(choices, measure))
+
+
 def _hinted(df: DataFrame, measure: tuple[int, int]) -> DataFrame:
     """Broadcast within the bounds, so that the other side keeps its partitions; beyond them it is left to the optimiser."""
     n, size = measure
@@ -217,9 +337,8 @@ def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, tuple[
         failed = F.raise_error(F.lit(f"E500: parents of {step.name} differ in what they share")).cast("boolean")
         joined = joined.where(F.when(agree, True).otherwise(failed))
         for source in both.values():
-            (joined, left), (joined, right) = _compact(joined, _set(source), sets[source], drawn[source].span), (joined, drawn[source])
-            sets[source] = left
-        merged = [Sets.pair(F.col(c), F.col(f"__r_{c}"), drawn[both[c]]).alias(c) if c in both else F.col(c) for c in state.columns if c != "__row"]
+            joined, sets[source] = _compact(joined, _set(source), sets[source], drawn[source])
+        merged = [sets[both[c]].pair(F.col(c), F.col(f"__r_{c}"), drawn[both[c]]).alias(c) if c in both else F.col(c) for c in state.columns if c != "__row"]
         extra = [F.col(f"__r_{c}").alias(c) for c in mine.columns if c != "__row" and c not in state.columns]
         state = joined.select((F.col("__row") * plan.sizes[parent]() + F.col("__r___row")).alias("__row"), *merged, *extra)
         columns |= own
@@ -227,26 +346,27 @@ def _inherit(plan: Plan, step: Step) -> tuple[DataFrame | None, dict[str, tuple[
     return state, columns, sets
 
 
-def _compact(state: DataFrame, column: str, sets: Sets, other: Callable[[], int]) -> tuple[DataFrame, Sets]:
+def _compact(state: DataFrame, column: str, sets: Sets, other: Sets) -> tuple[DataFrame, Sets]:
     """State and sets as they are, or with sets numbered anew where pairs with `other` sets would run out of numbers.
 
     All empty sets become one then, whose number no word has.
     """
-    if sets.span() * other() < MOST_SETS:
+    if isinstance(sets, Boxes) and sets.alike(other) or sets.span() * other.span() < MOST_SETS:
         return state, sets
     numbers = settled(densify(sets.words.select("set").distinct().select(F.col("set").alias("__old"), F.col("set").alias(POS))))
     n = numbers.count()
     words = sets.words.join(numbers, F.col("set") == F.col("__old")).select(F.col(POS).alias("set"), "word", "bits")
     renamed = state.join(numbers.withColumnRenamed(POS, "__new"), F.col(column) == F.col("__old"), "left")
-    return renamed.withColumn(column, F.coalesce("__new", F.lit(n).cast("long"))).drop("__old", "__new"), Sets(settled(words), lambda: n + 1)
+    return renamed.withColumn(column, F.coalesce("__new", F.lit(n).cast("long"))).drop("__old", "__new"), Sets(cache(partial(settled, words)), lambda: n + 1)
 
 
 def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None) -> Plan:
     """Expand all steps. `analyses` name the steps that they read.
 
     Rows of products are numbered by arithmetic: a state holds its parents' plans once, however long the chain, and
-    only imported choices are counted. A step that imports a source anew has gaps to close, so its rows are computed
-    here, once, and written as a table; all else is computed when a state is read.
+    only imported choices are counted. A step that imports a source anew has gaps to close, unless its sets are boxes of
+    which none is empty, so its rows are computed here, once, and written as a table; all else is computed when a state is
+    read.
     """
     plan = Plan({s.name: s for s in spark_grids}, topological(spark_grids), analyses=dict(analyses or {}))
     if unknown := [a for a, step in plan.analyses.items() if step not in plan.steps]:
@@ -264,22 +384,30 @@ def build(spark_grids: Sequence[Step], analyses: Mapping[str, str] | None = None
             origins = _origins(imported)
             if imported.grid.bare and imported.grid.columns == (imported.source.rsplit(".", 1)[-1],):
                 plan.bare.add(imported.source)
-            choices, fresh, words = _choices(imported, _agreed(step, columns, origins))
-            choices = choices.withColumnRenamed("__choice", f"__c{k}")
-            measure = cache(partial(_measured, choices))
-            counts[f"__c{k}"] = lambda measure=measure: measure()[0]
-            source, held, offered = imported.source, _set(imported.source), Sets(words, counts[f"__c{k}"])
+            choices, fresh, found = _choices(imported, _agreed(step, columns, origins))
+            boxes = isinstance(found, Boxes)
+            choice = f"__c{k}"
+            choices = choices.withColumnRenamed("__choice", choice)
+            measure = cache(partial(_measured, choices, found.size(found.fixed) if boxes else None))
+            rows = None if gaps else _product(*sizes, *counts.values())
+            counts[choice] = lambda measure=measure: measure()[0]
+            source, held, offered = imported.source, _set(imported.source), found if boxes else Sets(lambda words=found: words, counts[choice])
             if state is None:
-                state, sets[source] = choices.withColumn(held, F.col(f"__c{k}")), offered
+                state, sets[source] = choices.withColumn(held, offered.of_choice(F.col(choice))), offered
             elif source in bound:
-                state, known = _compact(state, held, sets[source], offered.span)
-                state, sets[source], gaps = *_lineage(state, choices, known, offered, held, f"__c{k}", measure()), True
+                state, known = _compact(state, held, sets[source], offered)
+                if boxes and found.alike(known):
+                    more = found.fixed - known.fixed
+                    state, sets[source] = _boxed(state, rows and rows(), choices, known, found, held, choice, measure()), Boxes.of(found.grid, known.fixed | found.fixed)
+                    counts[choice], gaps = lambda boxes=found, more=more: boxes.size(more), gaps or known.hollow
+                else:
+                    state, sets[source], gaps = *_lineage(state, choices, known, offered, held, choice, measure()), True
             elif source in sets:
-                state, known = _compact(state, held, sets[source], offered.span)
-                state = state.crossJoin(_hinted(choices, measure())).withColumn(held, Sets.pair(F.col(held), F.col(f"__c{k}"), offered))
+                state, known = _compact(state, held, sets[source], offered)
+                state = _crossed(state, rows and rows(), choices, measure()).withColumn(held, known.pair(F.col(held), offered.of_choice(F.col(choice)), offered))
                 sets[source] = known.met(offered)
             else:
-                state, sets[source] = state.crossJoin(_hinted(choices, measure())).withColumn(held, F.col(f"__c{k}")), offered
+                state, sets[source] = _crossed(state, rows and rows(), choices, measure()).withColumn(held, offered.of_choice(F.col(choice))), offered
             position.append(f"__c{k}")
             columns |= {c: origins[c] for c in fresh}
         if state is None:
@@ -300,15 +428,35 @@ def _lineage(state: DataFrame, choices: DataFrame, known: Sets, offered: Sets, n
     pairs = words.select("set").distinct().select(F.floor(F.col("set") / n).alias("__old"), (F.col("set") % n).alias("__pick"), F.col("set").alias("__met"))
     offers = pairs.join(_hinted(choices, measure), F.col("__pick") == F.col(choice))
     joined = state.join(offers, F.col(name) == F.col("__old")).withColumn(name, F.col("__met"))
-    return joined.drop("__old", "__pick", "__met"), Sets(words, met.span)
+    return joined.drop("__old", "__pick", "__met"), Sets(lambda: words, met.span)
+
+
+def _boxed(state: DataFrame, rows: int | None, choices: DataFrame, known: Boxes, offered: Boxes, name: str, choice: str, measure: tuple[int, int]) -> DataFrame:
+    """As `_lineage`, for boxes of one grid: a join on the rows of the factors that both fix, a product where none is.
+
+    A choice is numbered among those that its state meets, of which each has as many.
+    """
+    common, more = known.fixed & offered.fixed, offered.fixed - known.fixed
+    state = state.where(F.col(name) < known.grid.length()) if known.hollow else state
+    offers = choices.withColumn("__pick", offered.of_choice(F.col(choice)))
+    if common:
+        offers = offers.withColumn("__common", offered.digits(F.col("__pick"), common))
+        joined = state.join(_hinted(offers, measure), known.digits(F.col(name), common) == F.col("__common")).drop("__common")
+    else:
+        joined = _crossed(state, rows, offers, measure)
+    pick = F.col("__pick")
+    return joined.withColumn(name, F.col(name) + offered.digits(pick, more)).withColumn(choice, offered.rank(pick, more)).drop("__pick")
+
+
+def with_drawn(plan: Plan, step: str, source: str) -> DataFrame:
+    """A step's state with the column `positions` of `drawn`."""
+    held = plan.states[step].withColumn("__held", F.col(_set(source)))
+    return plan.sets[step][source].sized(held, "__held")
 
 
 def drawn(plan: Plan, step: str, source: str) -> DataFrame:
     """(row, positions) of a step: how many positions of the source each of its rows may still use."""
-    sets = plan.sets[step][source]
-    sizes = sets.words.groupBy("set").agg(F.sum(F.bit_count("bits").cast("long")).alias("positions"))
-    rows = plan.states[step].select("row", F.col(_set(source)).alias("set"))
-    return rows.join(sizes, "set", "left").select("row", F.coalesce("positions", F.lit(0)).alias("positions"))
+    return with_drawn(plan, step, source).select("row", "positions")
 
 
 def _numbered(state: DataFrame, position: list[str], counts: Mapping[str, Callable[[], int]]) -> DataFrame:

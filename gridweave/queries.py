@@ -764,7 +764,7 @@ def plan_lineage_large(s: SparkSession, d: str) -> DataFrame:
     grid = _region(s, d).project("r_name").product(Grid.ordered(lines, *lines.columns))
     steps = [Step("s0", (Import("g", grid, ("r_name",)),)), Step("s1", (Import("g", grid, ("l_orderkey", "l_returnflag", "l_quantity")),), ("s0",))]
     plan = workplan.build(steps)
-    rows = plan.states["s1"].join(workplan.drawn(plan, "s1", "g"), "row")
+    rows = workplan.with_drawn(plan, "s1", "g")
     return rows.groupBy("r_name", F.col("l_returnflag").alias("shown")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.min("positions").alias("least"), F.max("positions").alias("most")
     )

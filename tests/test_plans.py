@@ -98,6 +98,53 @@ def test_chains_of_imports_by_brute_force(spark, monkeypatch, most):
         assert [(tuple(r[c] for c in shown), r.positions) for r in found] == brute_lineage((3, 5, 4, 2), [["abcd".index(c) for c in p] for p in picks[: k + 1]])
 
 
+@pytest.mark.parametrize("most", [1 << 62, 100])
+def test_chains_of_imports_of_a_grid_that_is_no_product(spark, monkeypatch, most):
+    """A filter forgets that a grid was a product, so its sets have words; their numbers, and those of met parents, are given anew."""
+    monkeypatch.setattr(workplan, "MOST_SETS", most)
+    one = lambda **c: Grid.table(spark, **c)
+    grid = one(a=list(range(3))).product(one(b=list(range(5)))).product(one(c=list(range(4)))).product(one(d=[0, 1])).filter(lambda r: r.a >= 0)
+    assert grid.factors is None
+    picks = [("a",), ("c", "d"), ("b",)]
+    plan = workplan.build([Step(f"s{k}", (Import("g", grid, p),), (f"s{k - 1}",) if k else ()) for k, p in enumerate(picks)])
+    shown = [c for p in picks for c in p]
+    found = workplan.with_drawn(plan, "s2", "g").orderBy("row").collect()
+    assert [(tuple(r[c] for c in shown), r.positions) for r in found] == brute_lineage((3, 5, 4, 2), [["abcd".index(c) for c in p] for p in picks])
+    parents = [Step("p", (Import("g", grid, ("a",)),)), Step("q", (Import("g", grid, ("c", "d")),)), Step("r", (Import("g", grid, ("b",)),))]
+    plan = workplan.build([*parents, Step("child", (), ("p", "q", "r"))])
+    met = workplan.with_drawn(plan, "child", "g").orderBy("row").collect()
+    assert [(r.a, r.c, r.d, r.b, r.positions) for r in met] == [(a, c, d, b, 1) for a in range(3) for c in range(4) for d in (0, 1) for b in range(5)]
+
+
+def test_projections_of_a_product_make_no_table_of_positions(spark, monkeypatch):
+    """Lineage goes by the rows of the factors: nothing is written, no position is a row, and what all agree on is joined."""
+    def refused(*_):
+        raise AssertionError("positions became rows")
+
+    monkeypatch.setattr(workplan, "settled", refused)
+    monkeypatch.setattr(workplan, "_words", refused)
+    grid = Grid.table(spark, k=["a", "b"]).product(Grid.ordered(spark.range(100).selectExpr("id AS v", "id % 7 AS w"), "v")).product(Grid.table(spark, z=[1, 2, 3]))
+    plan = workplan.build([Step("s0", (Import("g", grid, ("k", "z")),)), Step("s1", (Import("g", grid, ("z", "v", "k")),), ("s0",)), Step("s2", (Import("g", grid, ("w",)),), ("s1",))])
+    for name in ("s1", "s2"):
+        found = workplan.with_drawn(plan, name, "g").orderBy("row").collect()
+        assert [(r.k, r.z, r.v, r.row, r.positions) for r in found] == [(k, z, v, i, 1) for i, (k, z, v) in enumerate(product("ab", (1, 2, 3), range(100)))]
+    assert {r.w - r.v % 7 for r in found} == {0} and plan.sizes["s2"]() == 600
+    assert {r.positions for r in workplan.drawn(plan, "s0", "g").collect()} == {100}
+
+
+def test_parents_that_share_factors_meet_where_their_rows_agree(spark):
+    one = lambda **c: Grid.table(spark, **c)
+    grid = one(a=[0, 1]).product(one(b=[0, 1, 2])).product(one(c=[0, 1])).product(one(d=[0, 1]))
+    other = grid.filter(lambda r: r.a >= 0)
+    for second in (grid, other):  # by rows of factors, and by words against them
+        parents = [Step("p", (Import("g", grid, ("a", "b"), None),)), Step("q", (Import("g", grid.rename(b="e"), ("c",)), Import("g", second.rename(b="e"), ("e",))))]
+        plan = workplan.build([*parents, Step("child", (), ("p", "q")), Step("again", (Import("g", second, ("d",)),), ("child",))])
+        met = workplan.with_drawn(plan, "child", "g").orderBy("row").collect()
+        assert [(r.a, r.b, r.c, r.e, r.positions) for r in met] == [(a, b, c, e, 2 * (b == e)) for a in (0, 1) for b in range(3) for c in (0, 1) for e in range(3)]
+        again = workplan.with_drawn(plan, "again", "g").orderBy("row").collect()
+        assert [(r.a, r.b, r.c, r.e, r.d, r.row, r.positions) for r in again] == [(*x, d, i, 1) for i, (x, d) in enumerate(product([(a, b, c, b) for a in (0, 1) for b in range(3) for c in (0, 1)], (0, 1)))]
+
+
 def test_lineage_rows_have_a_fixed_size(spark):
     """A choice that most of a source shares holds no list of positions anywhere in the plan."""
     grid = Grid.table(spark, k=["a", "b"]).product(Grid.scan(spark.range(20000).toDF("v"), "v"))
