@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterable, Mapping
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.values import GridError
@@ -25,14 +28,51 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     df.repartition(1).sortWithinPartitions(*order).write.mode("overwrite").csv(path, header=True)
 
 
+#: Files that one task writes, and the most tasks.
+TASK_FILES, TASKS = 1024, 10_000
+#: Characters that Spark's writer escapes in the name of a subfolder.
+_ESCAPED = {c: f"%{c:02X}" for c in (*range(1, 32), *b"\"#%'*/:=?\\{[]^", 127)}
+
+
+def _subfolder(value: str | None) -> str:
+    """The name that Spark's writer gives a value's subfolder."""
+    return f"run={value.translate(_ESCAPED) if value else '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def _write_files(root: str, rows: Iterable[Row]) -> None:
+    """One file a subfolder, of rows sorted by it; a file has its name once it is whole, so a task may run again."""
+    for name, same in groupby(rows, lambda r: _subfolder(r.run)):
+        folder = f"{root}/{name}"
+        os.makedirs(folder, exist_ok=True)
+        passing = f"{folder}/.{uuid.uuid4().hex}"
+        with open(passing, "wb") as out:
+            out.writelines(bytes(r.value or b"") + b"\n" for r in same)
+        os.replace(passing, f"{folder}/part-00000.txt")
+
+
 def write_texts(df: DataFrame, root: str, folder: str, text: str) -> None:
     """Every row's text as a file in the subfolder that the column `folder` names, which is to be unique.
 
-    Spark's own writer makes the files where the rows lie; a file's name is Spark's, its subfolder the row's, and a line
-    end follows the text.
+    The file's name begins with `part-`, its subfolder is the row's, and a line end follows the text. Small files take far
+    longer than their bytes say, so a count of the rows, not the partitions they lie in, decides how many tasks share them.
+    Rows are dealt by the subfolder, so a task that runs again writes the same files. On a mounted folder (file://) tasks
+    write the files themselves, since Hadoop starts several processes a file there to set its mode. Elsewhere Spark's own
+    writer does, and each task moves its files to their place, which the driver would otherwise do one by one.
     """
-    rows = df.select(F.col(folder).alias("run"), F.col(text).alias("value"))
-    rows.write.mode("overwrite").partitionBy("run").text(root)
+    rows = df.select(F.col(folder).cast("string").alias("run"), F.col(text).alias("value"))
+    n = min(TASKS, df.count() // TASK_FILES + 1)
+    dealt = rows.repartition(n, "run")
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        dealt.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("run").text(root)
+        return
+    files.delete(place, True)
+    files.mkdirs(place)
+    local = place.toUri().getPath()
+    dealt.select("run", F.col("value").cast("binary")).sortWithinPartitions("run").foreachPartition(lambda part: _write_files(local, part))
+    files.create(context._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")).close()
 
 
 def write_sqlite(tables: Mapping[str, DataFrame], path: str) -> None:

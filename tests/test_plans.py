@@ -10,6 +10,7 @@ from gridweave.functions.values import GridError
 from gridweave.operators.grid import Grid
 from gridweave.plans import status, workplan
 from gridweave.plans.workplan import Import, Step
+from gridweave.sources import sinks
 from gridweave.streaming.files import stream_rows
 
 
@@ -226,6 +227,27 @@ def test_status(spark, tmp_path):
     assert {(r.step, r.status) for r in status.final_status(records, "step").collect()} == {("s", "ERROR"), ("t", "FINISHED")}
 
 
+def test_text_files_are_shared_by_many_tasks_and_lie_as_spark_lays_them(spark, tmp_path, monkeypatch):
+    """One partition of many rows isn't one task that writes all files; names, odd ones too, and texts are Spark's."""
+    monkeypatch.setattr(sinks, "TASK_FILES", 4)
+    odd = ["a/b", "50%", "x=y", "ä {b", "", None, "#", "'q'", 'w"', "[", "]", "^", "?", "*", ":", "\\", "\t", "}"]
+    rows = [(n, f"text of {n}\nsecond") for n in odd if n] + [(None, "nobody"), ("empty", ""), ("null", None)] + [(str(i), f"v{i} ü") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, body string").coalesce(1)
+    group = str(tmp_path)
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "stale.txt").write_text("of an earlier run")
+    spark.sparkContext.setJobGroup(group, "")
+    sinks.write_texts(df, f"file://{tmp_path}/mine", "id", "body")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(k).numTasks for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds]
+    assert max(tasks) == len(rows) // 4 + 1
+    df.select(df.id.alias("run"), df.body.alias("value")).write.partitionBy("run").text(f"file://{tmp_path}/theirs")
+    held = lambda name: {f.parent.relative_to(tmp_path / name): f.read_bytes() for f in (tmp_path / name).rglob("*.txt")}
+    assert held("mine") == held("theirs") and len(held("mine")) == len(rows)
+    assert {f.name[:5] for f in (tmp_path / "mine").rglob("*") if f.is_file() and not f.name.startswith((".", "_"))} == {"part-"}
+
+
 def test_streamed_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
